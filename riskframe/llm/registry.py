@@ -1,9 +1,15 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from riskframe.llm import bpe, token_files
+from riskframe.llm import bpe, media, mixing, token_files, urls
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op5_media": media.op5_media,
     "op7_bpe": bpe.op7_bpe,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_urls": urls.op9_urls,
+}
+ORACLE_SQL = {
+    "op8_mixing": mixing.SQL_OP8,
+    "op9_urls": urls.SQL_OP9,
 }
-ORACLE_SQL: dict[str, str] = {}
