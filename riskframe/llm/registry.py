@@ -1,17 +1,19 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from riskframe.llm import bpe, media, mixing, token_files, topk, urls
+from riskframe.llm import bpe, jaccard, media, mixing, token_files, topk, urls
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_topk": topk.op2_topk,
     "op5_media": media.op5_media,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_bpe": bpe.op7_bpe,
     "op8_mixing": mixing.op8_mixing,
     "op9_urls": urls.op9_urls,
 }
 ORACLE_SQL = {
     "op2_topk": topk.SQL_OP2,
+    "op6_jaccard": jaccard.SQL_OP6,
     "op8_mixing": mixing.SQL_OP8,
     "op9_urls": urls.SQL_OP9,
 }
