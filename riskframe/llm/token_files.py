@@ -15,6 +15,7 @@ table gives no files.  Other columns of the input are not touched.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -122,22 +123,38 @@ class ShardIndex:
         return cls(arrays)
 
 
-def chunk_encoder(tokenizer_file: str):
-    """Distinct chunks to arrays of ids, by the tokenizers library."""
-    import os
+class ChunkEncoder:
+    """Distinct chunks to bytes of 32-bit ids, by the tokenizers library, which sees each part once.
+
+    Punctuation after a letter is encoded apart: the splitter separates the two in any case.
+    """
+
+    def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.parts = words.Remembered(self._library, 600_000)
+
+    def _library(self, new: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def __call__(self, distinct: list[str]) -> list[bytes]:
+        pairs = [words.apart(words.folded(chunk)) for chunk in distinct]
+        stems, tails = (list(x) for x in zip(*pairs, strict=True)) if pairs else ([], [])
+        return [a + b for a, b in zip(self.parts(stems), self.parts(tails), strict=True)]
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+_encoders: dict[str, ChunkEncoder] = {}
 
-    def encode(new: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
-    remembered = words.Remembered(encode)
-    return lambda distinct: remembered([words.folded(x) for x in distinct])
+def chunk_encoder(tokenizer_file: str) -> ChunkEncoder:
+    """One encoder a worker process, so that later tasks know what earlier ones have seen."""
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = ChunkEncoder(tokenizer_file)
+    return _encoders[tokenizer_file]
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text", id_type: str = "<u2") -> DataFrame:

@@ -41,10 +41,10 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.asarray(coded.indices, dtype=np.int64), offsets - offsets[0], coded.dictionary.to_pylist()
 
 
-def gather(values: list[np.ndarray], codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenate ``values[code]`` for all codes; also where each text's part begins."""
-    lengths = np.fromiter((len(v) for v in values), np.int64, len(values))
-    flat = np.concatenate(values) if values else np.empty(0, np.int64)
+def gather(values: list[bytes], codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate ``values[code]`` (bytes of 32-bit ids) for all codes; also where each text's part begins."""
+    lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    flat = np.frombuffer(b"".join(values), "<u4")
     firsts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     per = lengths[codes]
     ends = np.concatenate(([0], np.cumsum(per)))
@@ -69,3 +69,29 @@ class Remembered:
 def folded(chunk: str) -> str:
     """ASCII chunks in lower case, as every normaliser of the word tokenizer makes them; others as they are."""
     return chunk.lower() if chunk.isascii() and "<|" not in chunk else chunk
+
+
+_TAIL = ".,;:!?*$%&#"
+
+
+def apart(chunk: str) -> tuple[str, str]:
+    """A folded chunk's stem and the punctuation after its last letter, which every splitter separates."""
+    stem = chunk.rstrip(_TAIL)
+    if stem and len(stem) < len(chunk) and stem[-1] < "\u0250" and stem[-1].isalpha():
+        return stem, chunk[len(stem) :]
+    return chunk, ""
+
+
+def ascii_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As :func:`chunks`, for words between any of the six ASCII blanks, A-Z in lower case, without empty ones."""
+    plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    for blank in "\x0b\x0c":
+        plain = pc.replace_substring(plain, blank, " ")
+    codes, offsets, distinct = chunks(plain)
+    if "" not in distinct:
+        return codes, offsets, distinct
+    empty = distinct.index("")
+    full = codes != empty
+    bounds = np.concatenate(([0], np.cumsum(full)))[offsets]
+    codes = codes[full]
+    return codes - (codes > empty), bounds, distinct[:empty] + distinct[empty + 1 :]
