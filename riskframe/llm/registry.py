@@ -1,15 +1,18 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from riskframe.llm import bpe, jaccard, media, mixing, token_files, topk, urls
+from riskframe.llm import bpe, jaccard, langid, lm, media, mixing, pii, token_files, topk, urls
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_topk": topk.op2_topk,
+    "op3_langid": langid.op3_langid,
+    "op4_lm": lm.op4_lm,
     "op5_media": media.op5_media,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_bpe": bpe.op7_bpe,
     "op8_mixing": mixing.op8_mixing,
     "op9_urls": urls.op9_urls,
+    "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL = {
     "op2_topk": topk.SQL_OP2,
