@@ -223,7 +223,10 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id (the smallest key reachable by links) of every row."""
+    """key, n_shingles, component_id (the smallest key reachable by links), class_id and mark of every row.
+
+    class_id is one for all rows of a class, null without words; mark is the xxhash64 of the text.
+    """
     sim = Similarity(percent)
     frequent = frequent_shingles(docs, text, width)
     # Sets below this size are linked with equal sets only.
@@ -257,9 +260,10 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3, key: str
     lowest = placed.groupBy("node").agg(F.min("key").alias("low"))
     classed = lowest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = classed.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = classed.select("node", "label").join(ids, "label").select("node", "component_id")
-    out = placed.select("key", "node", "n").join(named, "node")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+    named = classed.select("node", "label").join(ids, "label").select("node", "label", "component_id")
+    out = placed.select("key", "mark", "node", "n").join(named, "node")
+    component = F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("n") > 0, F.col("label")).alias("class_id"), "mark")
 
 
 def _classes(rows: DataFrame, placed: DataFrame, occurrences: DataFrame, active: DataFrame, sim: Similarity, width: int, least) -> DataFrame:
@@ -306,7 +310,7 @@ def _classes(rows: DataFrame, placed: DataFrame, occurrences: DataFrame, active:
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, shingles of three words, similarity of 0.9 or more."""
-    return jaccard_classes(store.table(spark, sf_dir, "documents"))
+    return jaccard_classes(store.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 SQL_OP6 = r"""
