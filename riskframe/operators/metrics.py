@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.contracts import check_costs, check_threshold
@@ -11,13 +11,17 @@ from riskframe.operators.curves import score_groups, with_totals
 from riskframe.operators.validate import check_scored
 
 
-def confusion(df: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
-    """true_negatives, false_positives, false_negatives, true_positives."""
+def _counts(label: str, score: str, threshold: float) -> list[Column]:
     check_threshold(threshold)
     y, hit = number(label) == 1, number(score) >= threshold
-    return df.agg(
-        count_where(~y & ~hit).alias("true_negatives"), count_where(~y & hit).alias("false_positives"), count_where(y & ~hit).alias("false_negatives"), count_where(y & hit).alias("true_positives")
-    )
+    return [
+        count_where(~y & ~hit).alias("true_negatives"), count_where(~y & hit).alias("false_positives"), count_where(y & ~hit).alias("false_negatives"), count_where(y & hit).alias("true_positives"),
+    ]
+
+
+def confusion(df: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
+    """true_negatives, false_positives, false_negatives, true_positives."""
+    return df.agg(*_counts(label, score, threshold))
 
 
 def ranking_quality(groups: DataFrame) -> DataFrame:
@@ -40,12 +44,10 @@ def evaluate(df: DataFrame, label: str, score: str, threshold: float, groups: Da
     """threshold, seven qualities and four counts."""
     if not checked:
         check_scored(df, label, score)
-    counts = confusion(df, label, score, threshold)
-    brier = df.agg(F.avg(F.pow(number(score) - number(label), F.lit(2))).alias("brier_score"))
+    counts = df.agg(*_counts(label, score, threshold), F.avg(F.pow(number(score) - number(label), F.lit(2))).alias("brier_score"))
     ranking = ranking_quality(groups if groups is not None else score_groups(df, label, score))
     tn, fp, fn, tp = (F.col(c) for c in ("true_negatives", "false_positives", "false_negatives", "true_positives"))
-    one = F.broadcast  # each side is a single row
-    return counts.join(one(brier)).join(one(ranking)).select(
+    return counts.join(F.broadcast(ranking)).select(  # both are single rows
         F.lit(float(threshold)).alias("threshold"), "roc_auc", "average_precision", "brier_score", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ((ratio(tp, tp + fn) + ratio(tn, tn + fp)) / 2).alias("balanced_accuracy"), "true_negatives", "false_positives", "false_negatives", "true_positives",
     )

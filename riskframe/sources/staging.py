@@ -27,11 +27,23 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a query that has ended gives its shuffle files back.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: one layout for all later uses, and no lineage before it."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: one layout for all later uses, and no lineage before it.
+
+    Once the table is written nothing needs the shuffles that led to it, so they are given back.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _path(spark: SparkSession, path: str):
