@@ -36,8 +36,9 @@ from riskframe.llm import store, words
 from riskframe.llm.graph import components
 from riskframe.llm.token_files import mixed
 
-#: nodes of an index shard; queries that one search task takes at a time; shingles put last in the order
-SHARD, QUERIES, FREQUENT = 512, 2048, 65_536
+#: nodes of an index shard; queries that one search task takes at a time; shingles put last in the order;
+#: classes up to which a shingle is counted class by class
+SHARD, QUERIES, FREQUENT, CLASSES = 512, 2048, 65_536, 64
 _SET = "node long, n long, tokens binary"
 
 
@@ -58,9 +59,9 @@ class Similarity:
         return n * 100 // self.percent
 
     def occurrences(self, n):
-        """T for a set of n: a quarter of the shortest signature."""
+        """T for a set of n: half of the shortest signature."""
         p = n - self.shortest(n) + 1
-        return np.maximum(1, p // 4)
+        return np.maximum(1, p // 2)
 
     def signature(self, n: int) -> int:
         return int(n - self.shortest(n) + self.occurrences(n))
@@ -199,7 +200,9 @@ def _sharded(sets: DataFrame, turn: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.select(["node", "n", "tokens"]).columns, pa.array(shard)], ["node", "n", "tokens", "shard"])
 
     keyed = store.keep(sets.select("node", "n", "tokens").mapInArrow(key, _SET + ", low long"))
-    return store.keep(keyed.repartitionByRange("low", "node").sortWithinPartitions("low", "node").mapInArrow(cut, _SET + ", shard long"))
+    cut_up = store.keep(keyed.repartitionByRange("low", "node").sortWithinPartitions("low", "node").mapInArrow(cut, _SET + ", shard long"))
+    store.discard(keyed)
+    return cut_up
 
 
 def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
@@ -252,10 +255,11 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3, key: str
     nodes = placed.where("signature IS NOT NULL").dropDuplicates(["node"])
     spread = nodes.select("node", "n", F.explode("signature").alias("token"))
     shared = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    least = F.greatest(F.lit(1), F.floor((F.ceil(F.lit(percent) * F.col("n") / 100) - F.ceil(F.lit(percent) * F.ceil(F.lit(percent) * F.col("n") / 100) / 100) + 1) / 4))
+    least = F.greatest(F.lit(1), F.floor((F.ceil(F.lit(percent) * F.col("n") / 100) - F.ceil(F.lit(percent) * F.ceil(F.lit(percent) * F.col("n") / 100) / 100) + 1) / 2))
     occurrences = store.keep(spread.join(shared, "token").select("token", "node", "n"))
     active = store.keep(occurrences.groupBy("node", "n").agg(F.count("*").alias("met")).where(F.col("met") >= least).select("node"))
     label = _classes(rows, placed, occurrences, active, sim, width, least)
+    store.discard(occurrences, active)
 
     lowest = placed.groupBy("node").agg(F.min("key").alias("low"))
     classed = lowest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -278,36 +282,53 @@ def _classes(rows: DataFrame, placed: DataFrame, occurrences: DataFrame, active:
     text_of = rows.join(one, (F.col("mark") == F.col("own")) & F.col("key").eqNullSafe(F.col("of"))).select("node", "text")
     sets = store.keep(text_of.mapInArrow(whole, "wanted long, " + _SET).where("wanted = node").dropDuplicates(["node"]).select("node", "n", "tokens"))
     home = _sharded(sets, 0)
+    store.discard(sets)
     label = store.keep(home.groupBy("shard").applyInArrow(_within(sim), "node long, label long"))
     for turn in (1, 2):
-        leaders = sets.join(label.where("node = label").select("node"), "node", "left_semi")
-        found = _sharded(leaders, turn).groupBy("shard").applyInArrow(_within(sim), "node long, label long")
+        leaders = home.join(label.where("node = label").select("node"), "node", "left_semi")
+        found = (packed := _sharded(leaders, turn)).groupBy("shard").applyInArrow(_within(sim), "node long, label long")
         moved = store.keep(found.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("to")))
         label = store.keep(label.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        store.discard(packed)
     known = store.keep(home.select("node", "shard").join(label, "node"))
 
-    met = occurrences.join(known, "node")
-    by_shard = met.groupBy("token", F.col("shard").alias("other")).agg(
-        F.min("label").alias("first"), F.max("label").alias("last"), F.min("n").alias("shortest"), F.max("n").alias("longest")
-    )
-    many = by_shard.groupBy("token").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a <> b").select("token")
-    crossing = met.join(many, "token", "left_semi").join(by_shard.join(many, "token", "left_semi"), "token")
-    in_reach = (F.col("longest") * 100 >= F.col("n") * sim.percent) & (F.col("shortest") * sim.percent <= F.col("n") * 100)
-    visits = store.keep(
-        crossing.where((F.col("shard") > F.col("other")) & ((F.col("first") != F.col("label")) | (F.col("last") != F.col("label"))) & in_reach)
-        .groupBy("node", "n", "label", "other").agg(F.count("*").alias("met")).where(F.col("met") >= least).select("node", "label", F.col("other").alias("shard"))
-    )
+    visits = _visits(occurrences.join(known, "node"), sim, least)
     if visits.isEmpty():
+        store.discard(home)
         return label
     parts = visits.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     queries = visits.join(parts, "shard").select("node", "label", "shard", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
-    queries = queries.join(sets.select("node", "tokens"), "node")
+    queries = queries.join(store.again(home).select("node", "tokens"), "node")
     index = home.join(parts, "shard").join(label, "node").select("shard", "node", "label", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     linked = store.keep(queries.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInArrow(_across(sim), "a long, b long"))
+    store.discard(home)
     merged = components(linked).select(F.col("id").alias("label"), F.col("label").alias("to"))
     return store.keep(label.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
+def _visits(met: DataFrame, sim: Similarity, least) -> DataFrame:
+    """(node, label, shard): the shards of lower number where a node can have a partner of another class.
+
+    met: (token, node, n, shard, label), the signatures.  Shingles of few classes count by class; those
+    of more than CLASSES are counted by shard, as if one class there had them all.
+    """
+    met = store.keep(met)
+    by_class = met.groupBy("token", "label", F.col("shard").alias("other")).agg(F.min("n").alias("shortest"), F.max("n").alias("longest"))
+    spread = by_class.groupBy("token").agg(F.count("*").alias("classes"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    in_reach = (F.col("longest") * 100 >= F.col("n") * sim.percent) & (F.col("shortest") * sim.percent <= F.col("n") * 100)
+    few = spread.where(F.col("classes") <= CLASSES).select("token")
+    there = by_class.join(few, "token").withColumnRenamed("label", "their")
+    near = met.join(there, "token").where((F.col("shard") > F.col("other")) & (F.col("label") != F.col("their")) & in_reach)
+    own = near.groupBy("node", "n", "label", "other", "their").agg(F.count("*").alias("c")).groupBy("node", "n", "label", "other").agg(F.max("c").alias("c"))
+    many = spread.where(F.col("classes") > CLASSES).select("token")
+    by_shard = by_class.join(many, "token").groupBy("token", "other").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("shortest").alias("shortest"), F.max("longest").alias("longest"))
+    crowd = met.join(by_shard, "token").where((F.col("shard") > F.col("other")) & ((F.col("a") != F.col("label")) | (F.col("b") != F.col("label"))) & in_reach)
+    both = own.union(crowd.groupBy("node", "n", "label", "other").agg(F.count("*").alias("c"))).groupBy("node", "n", "label", "other").agg(F.sum("c").alias("c"))
+    found = store.keep(both.where(F.col("c") >= least).select("node", "label", F.col("other").alias("shard")))
+    store.discard(met)
+    return found
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, shingles of three words, similarity of 0.9 or more."""
     return jaccard_classes(store.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -26,15 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a query that has ended gives its shuffle files back.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there."""
+    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there.
+
+    Once the table is written nothing needs the shuffles that led to it, so they are given back.
+    """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     kept = spark.read.schema(nullable(df.schema)).parquet(path)
     kept._kept_at = path
     return kept
 
 
+def again(kept: DataFrame) -> DataFrame:
+    """A kept table as a new DataFrame, for joins with itself."""
+    return kept.sparkSession.read.schema(kept.schema).parquet(kept._kept_at)
+
+
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 

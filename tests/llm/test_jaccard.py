@@ -53,6 +53,7 @@ def frame(spark, rows):
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SHARD", 8)
     monkeypatch.setattr(jaccard, "QUERIES", 5)
+    monkeypatch.setattr(jaccard, "CLASSES", 6)
     rows = corpus(1, 60, 12, 150)
     rows += [(None, None), (1, ""), (2, " \t\n"), (4, "one"), (5, "ONE "), (None, "one"), (7, "one two"), (8, rows[0][1]), (8, rows[0][1]), (None, rows[1][1]), (9, "z " * 5000), (None, "only null ids"), (None, "only null ids")]
     got = jaccard.jaccard_classes(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
