@@ -38,7 +38,7 @@ from riskframe.llm.token_files import mixed
 
 #: nodes of an index shard; queries that one search task takes at a time; shingles put last in the order;
 #: classes up to which a shingle is counted class by class
-SHARD, QUERIES, FREQUENT, CLASSES = 512, 2048, 65_536, 64
+SHARD, QUERIES, FREQUENT, CLASSES = 512, 2048, 1 << 19, 64
 _SET = "node long, n long, tokens binary"
 
 
@@ -210,10 +210,14 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen = np.zeros(1 << 24, np.uint8)  # bits of what this task has met
         for batch in words.slices(batches, "text"):
             flat = np.concatenate([*shingle_sets(batch["text"], width), np.empty(0, np.uint64)])
             own, counts = np.unique(flat, return_counts=True)
-            held.append((own[counts > 1], counts[counts > 1]))
+            at, bit = (own >> np.uint64(40)).astype(np.int64), (np.uint8(1) << ((own >> np.uint64(37)) & np.uint64(7)).astype(np.uint8))
+            often = (counts > 1) | (seen[at] & bit > 0)
+            np.bitwise_or.at(seen, at, bit)
+            held.append((own[often], counts[often]))
         if held:
             own, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([h[1] for h in held]), len(own)).astype(np.int64)
@@ -221,8 +225,8 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(own[top].astype(np.int64)), pa.array(counts[top])], ["token", "n"])
 
     counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "token long, n long")
-    top = counted.groupBy("token").agg(F.sum("n").alias("n")).where("n >= 5").orderBy(F.col("n").desc(), "token").limit(FREQUENT).collect()
-    return np.sort(np.array([r.token for r in top], np.int64).astype(np.uint64))
+    top = counted.groupBy("token").agg(F.sum("n").alias("n")).where("n >= 5").orderBy(F.col("n").desc(), "token").limit(FREQUENT).select("token").toArrow()
+    return np.sort(np.asarray(top["token"]).astype(np.uint64))
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
