@@ -34,7 +34,7 @@ from riskframe.llm import store, words
 from riskframe.llm.lattice import START, Lattice
 
 #: bytes of text in a batch; the prior's mass in piece counts
-BATCH, PRIOR_MASS = 24 << 20, 32_000.0
+BATCH, PRIOR_MASS = 12 << 20, 32_000.0
 
 
 def read_pieces(model_file: str) -> tuple[list[str], np.ndarray, np.ndarray, float]:
