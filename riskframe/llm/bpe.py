@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from riskframe.llm import store, words
 
 _ALWAYS = 1 << 60
+_NONE: dict[str, bool] = {}
 
 
 class TokenAutomaton:
@@ -47,7 +48,8 @@ class TokenAutomaton:
         self.cut: dict[tuple[str, str], int] = {}
         for rank, (u, v) in enumerate(merges):
             self._gadget(u, v, rank)
-        self.table: dict[tuple[str, str], bool] = {}
+        self.table: dict[str, dict[str, bool]] = {}
+        self.arcs_known = 0
 
     def _gadget(self, u: str, v: str, rank: int) -> None:
         x = u + v
@@ -55,41 +57,46 @@ class TokenAutomaton:
         self.state[x] = ((x, _ALWAYS), *((t, min(until, rank - 1)) for t, until in self.state[v]))
         self.starts[x] = ((x, _ALWAYS), *((t, min(grown, rank)) for t, grown in self.starts[u]))
 
-    def arc(self, last: str | None, token: str) -> bool:
-        """Whether the state after ``last`` (None: the first state) has an arc ``token``."""
-        if last is None:
-            return True
-        known = self.table.get((last, token))
-        if known is None:
-            cut, known = self.cut, True
-            for owner, until in self.state[last]:
-                for start, grown in self.starts[token]:
-                    rank = cut.get((owner, start))
-                    if rank is not None and rank <= until and rank <= grown:
-                        known = False
-            if len(self.table) > 2_000_000:
-                self.table.clear()
-            self.table[last, token] = known
-        return known
+    def arc(self, last: str, token: str) -> bool:
+        """Whether the state after ``last`` has an arc ``token``; the answer is kept in the transition table."""
+        if self.arcs_known > 500_000:
+            self.table, self.arcs_known = {}, 0
+        cut, free = self.cut, True
+        for owner, until in self.state[last]:
+            for start, grown in self.starts[token]:
+                rank = cut.get((owner, start))
+                if rank is not None and rank <= until and rank <= grown:
+                    free = False
+        self.table.setdefault(last, {})[token] = free
+        self.arcs_known += 1
+        return free
 
     def encode(self, word: str) -> list[int]:
         """Ids of one pre-split word (base symbols; the last gets the mark of a word's end)."""
-        n, tokens, arc = len(word), self.tokens, self.arc
-        reached: list[tuple[str | None, int]] = [(None, 0)]
+        n, tokens, longest = len(word), self.tokens, self.longest
+        last: list[str] = [""] * (n + 1)  # the arc of the accepted path that ends here
+        begins = [0] * (n + 1)
         for i in range(1, n + 1):
             end = self.word_end if i == n else ""
-            for j in range(max(0, i - self.longest), i):
-                if (j == 0 or reached[j][0] is not None) and (token := word[j:i] + end) in tokens and arc(reached[j][0], token):
-                    reached.append((token, j))
-                    break
-            else:
-                reached.append((None, 0))
+            for j in range(i - longest if i > longest else 0, i):
+                token = word[j:i] + end
+                if token not in tokens:
+                    continue
+                if j:
+                    before = last[j]
+                    if not before:
+                        continue
+                    free = self.table.get(before, _NONE).get(token)
+                    if not (self.arc(before, token) if free is None else free):
+                        continue
+                last[i], begins[i] = token, j
+                break
         path, i = [], n
         while i:
-            token, i = reached[i]
-            if token is None:
+            if not last[i]:
                 raise ValueError(f"no path spells {word[:40]!r}")
-            path.append(self.vocab[token])
+            path.append(self.vocab[last[i]])
+            i = begins[i]
         return path[::-1]
 
 
@@ -111,7 +118,8 @@ class WordBPE:
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         library = Tokenizer.from_file(tokenizer_file)
         self.normalise, self.presplit = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.word = words.Remembered(lambda new: [tuple(self.automaton.encode(w)) for w in new], 300_000)
+        self.word = words.Remembered(lambda new: [self.automaton.encode(w) for w in new], 60_000)
+        self.part = words.Remembered(lambda new: [self._spelled(x) for x in new], 200_000)
 
     def presplit_words(self, part: str) -> list[str]:
         if part.isascii() and not re.search(r"[\x00-\x20\x7f]", part):
@@ -128,6 +136,16 @@ class WordBPE:
                     ids += word
         return ids
 
+    def _spelled(self, chunk: str) -> tuple[int, str, str]:
+        ids = self.chunk(chunk)
+        return len(ids), " ".join(map(str, ids)), self.labels(ids)
+
+    def parts(self, distinct: list[str]) -> list[tuple[int, str, str]]:
+        """(number of ids, the ids, their labels) of each chunk; stems and punctuation are remembered apart."""
+        pairs = [words.apart(words.folded(chunk)) for chunk in distinct]
+        stems, tails = self.part([a for a, _ in pairs]), self.part([b for _, b in pairs])
+        return [(a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}") if b[0] and a[0] else (a if a[0] else b) for a, b in zip(stems, tails, strict=True)]
+
     def labels(self, ids: list[int]) -> str:
         """Decode: the labels of the arcs, one blank between two; special ids are labels like others."""
         return " ".join(self.label[i] for i in ids if i in self.label)
@@ -154,18 +172,10 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, columns: list[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_file)
 
-        def make(new: list[str]) -> list[tuple]:
-            out = []
-            for chunk in new:
-                ids = tokenizer.chunk(chunk)
-                out.append((np.array(ids, np.int32), " ".join(map(str, ids)), tokenizer.labels(ids)))
-            return out
-
-        remembered = words.Remembered(make, 250_000)
         for batch in words.slices(batches, "text", 4 << 20):
             codes, offsets, distinct = words.chunks(batch["text"])
-            got = remembered([words.folded(x) for x in distinct])
-            sizes = np.fromiter((len(g[0]) for g in got), np.int64, len(got))
+            got = tokenizer.parts(distinct)
+            sizes = np.fromiter((g[0] for g in got), np.int64, len(got))
             full = sizes[codes] > 0
             kept, bounds = codes[full].tolist(), np.concatenate(([0], np.cumsum(full)))[offsets].tolist()
             totals = np.concatenate(([0], np.cumsum(sizes[codes])))[offsets]
@@ -173,14 +183,15 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, columns: list[str] | None
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 own = kept[a:b]
                 for n in names:
-                    if n == "ids":
-                        out[n].append(np.concatenate([got[c][0] for c in own]) if own else np.empty(0, np.int32))
-                    elif n != "n_tokens":
-                        joined = " ".join([got[c][1 if n == "ids_sha256" else 2] for c in own])
-                        out[n].append(joined if n == "decoded" else hashlib.sha256(joined.encode()).hexdigest())
+                    if n != "n_tokens":
+                        joined = " ".join([got[c][2 if n.startswith("decoded") else 1] for c in own])
+                        out[n].append(np.fromstring(joined, np.int32, sep=" ") if n == "ids" else joined if n == "decoded" else hashlib.sha256(joined.encode()).hexdigest())
             out["n_tokens"] = np.diff(totals)
-            types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([batch["key"], *(pa.array(out[n], types.get(n, pa.string())) for n in names)], [key, *names])
+            if "ids" in out:
+                flat = np.concatenate([np.empty(0, np.int32), *out["ids"]])
+                out["ids"] = pa.ListArray.from_arrays(pa.array(totals, pa.int32()), pa.array(flat))
+            columns = [out[n] if n == "ids" else pa.array(out[n], pa.int64() if n == "n_tokens" else pa.string()) for n in names]
+            yield pa.RecordBatch.from_arrays([batch["key"], *columns], [key, *names])
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
