@@ -229,7 +229,7 @@ def stream_score_requests(spark, d):
 
 
 def _trained(spark, d, **how) -> RiskModel:
-    return train(event_table(spark, d), "label", ("event_id", "ts") if how.get("split_strategy") != "temporal" else ("event_id", "ts"), TrainingConfig(time_column="ts", **how))
+    return train(event_table(spark, d), "label", ("event_id", "ts"), TrainingConfig(time_column="ts", **how))
 
 
 def _held_out(spark, d, **how):
