@@ -76,9 +76,12 @@ _TAIL = ".,;:!?*$%&#"
 
 
 def apart(chunk: str) -> tuple[str, str]:
-    """A folded chunk's stem and the punctuation after its last letter, which every splitter separates."""
+    """A folded chunk's stem and the punctuation after its last letter, which every splitter separates.
+
+    U+0130 is no such letter: in lower case it ends with a mark, which splitters join to punctuation.
+    """
     stem = chunk.rstrip(_TAIL)
-    if stem and len(stem) < len(chunk) and stem[-1] < "\u0250" and stem[-1].isalpha():
+    if stem and len(stem) < len(chunk) and stem[-1] < "\u0250" and stem[-1] != "\u0130" and stem[-1].isalpha():
         return stem, chunk[len(stem) :]
     return chunk, ""
 

@@ -73,3 +73,12 @@ def test_token_files(spark):
 def test_ids_that_do_not_fit(spark):
     with pytest.raises(Exception, match="does not fit"):
         write_token_files(docs(spark, [(1, "hello world", "", "")]), FILE, 1, id_type="u1")
+
+
+def test_punctuation_after_a_letter_with_a_mark(spark):
+    library = Tokenizer.from_file(FILE)
+    rows = [(k, x, "a", "b") for k, x in enumerate(["ALİ. İ!", "İ?! é. ALI.", *(f"x{chr(c)}." for c in range(0x80, 0x250) if chr(c).isalpha())])]
+    want = {k: library.encode(x, add_special_tokens=False).ids for k, x, *_ in rows}
+    assert {r.doc_id: r.ids for r in encode_texts(docs(spark, rows), FILE).collect()} == want
+    got = read_token_files(write_token_files(docs(spark, rows), FILE, 1)).collect()
+    assert {r.doc_id: r.ids_crc32 for r in got} == {k: zlib.crc32(np.array([*ids, 1], "<u4")) for k, ids in want.items()}
