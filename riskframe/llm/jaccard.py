@@ -78,7 +78,7 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     bounds, hashes = np.concatenate(([0], np.cumsum(full)))[offsets], hashes[full]
     rolled = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
     for k in range(width):
-        rolled = mixed(rolled ^ hashes[k : len(hashes) - width + 1 + k], k)
+        rolled = mixed(rolled ^ hashes[k : k + len(rolled)], k)
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= width:

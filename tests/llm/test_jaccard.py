@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from riskframe.llm import graph, jaccard
 
@@ -83,3 +84,13 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(30)] + [(100, 7), (200, 201), (202, 201), (5, 5)]
     got = {r.id: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(1, 31)}, 100: 0, 201: 200, 202: 200}
+
+
+def test_fewer_words_than_a_shingle():
+    for width in range(1, 8):
+        for n in range(10):
+            text = " ".join("abcdefghij"[:n])
+            own = jaccard.shingle_sets(pa.array([text]), width)[0]
+            assert len(own) == (n - width + 1 if n >= width else min(n, 1))
+            # alone in a batch or not, a text has the same set
+            assert np.array_equal(own, jaccard.shingle_sets(pa.array(["x y z " * 4, text, None]), width)[1])

@@ -71,3 +71,9 @@ def test_run_and_empty(spark, tmp_path):
     assert P.run(spark, sf).count() > 100
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_of_three_words(spark):
+    row = (1, "one two three", "en", "a", 13)
+    docs = spark.createDataFrame([row], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r[:] for r in P.near_duplicates(spark, docs, "").collect()] == [row]
