@@ -7,6 +7,7 @@ crosses a word's start.  The vocabulary's scores are ranks, so a piece first wei
 under it (forward and backward recursion, ``passes`` times) are added to a prior mass.  The vocabulary
 itself is not changed.  The word model of the training texts backs off to the lattice with the
 Witten-Bell share: (c + V * lattice) / (N + V) for a word seen c times among N with V distinct ones.
+``score`` is of this mixture; ``lattice_score`` is the text's probability by the lattice alone.
 
 Texts are packed into batches of bounded size.  Each batch asks for its distinct words only: counts
 are summed by word over all batches, the lattice sees each distinct word of the corpus once, and the
@@ -114,7 +115,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_texts(docs: DataFrame, held_out: Column, model_file: str, key: str = "doc_id", text: str = "text", passes: int = 2) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (log10) of every row."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"))
     packed = _packed(rows)
     asked = packed.mapInArrow(_asked, "batch long, code int, word string, n long")
@@ -148,10 +149,9 @@ def score_texts(docs: DataFrame, held_out: Column, model_file: str, key: str = "
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = np.asarray(batch["c"], np.float64)
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(mixed(c, lattice.log10(batch["word"].to_pylist())))], ["word", "c", "score"])
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(lattice.log10(batch["word"].to_pylist()))], ["word", "c", "inner"])
 
-    answers = asked.select("batch", "code", "word").join(counted.mapInArrow(known, "word string, c long, score double"), "word").drop("word")
+    answers = asked.select("batch", "code", "word").join(counted.mapInArrow(known, "word string, c long, inner double"), "word").drop("word")
     base = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     end_known, end_base, end_mixed = int(ends > 0), float(base(np.float64(ends))), float(mixed(np.array([float(ends)]), np.array([end_score]))[0])
 
@@ -161,15 +161,15 @@ def score_texts(docs: DataFrame, held_out: Column, model_file: str, key: str = "
         at = np.asarray(told["code"])
         if len(at) != len(distinct):
             raise ValueError("a batch lacks answers")
-        c, score = np.zeros(len(distinct)), np.zeros(len(distinct))
-        c[at], score[at] = np.asarray(told["c"]), np.asarray(told["score"])
+        c, inner = np.zeros(len(distinct)), np.zeros(len(distinct))
+        c[at], inner[at] = np.asarray(told["c"]), np.asarray(told["inner"])
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         total = lambda x: np.bincount(row, x[codes], len(offsets) - 1)
         n_known = total((c > 0).astype(float)).astype(np.int64) + end_known
-        columns = [docs["key"], docs["held_out"], pa.array(np.diff(offsets) + 1), pa.array(n_known), pa.array(np.full(len(n_known), n)), pa.array(total(base(c)) + end_base), pa.array(total(score) + end_mixed)]
-        return pa.Table.from_arrays([pa.chunked_array([x]) for x in columns], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        columns = [docs["key"], docs["held_out"], pa.array(np.diff(offsets) + 1), pa.array(n_known), pa.array(np.full(len(n_known), n)), pa.array(total(base(c)) + end_base), pa.array(total(mixed(c, inner)) + end_mixed), pa.array(total(inner) + end_score)]
+        return pa.Table.from_arrays([pa.chunked_array([x]) for x in columns], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
 
-    schema = f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(summed, schema)
 
 

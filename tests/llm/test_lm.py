@@ -73,3 +73,16 @@ def test_no_training_and_no_rows(spark):
     assert [r.n_known for r in got] == [0, 0] and all(math.isfinite(r.score) for r in got)
     assert got[0].base_score == pytest.approx(3 * math.log10(0.1 / 0.1))
     assert lm.score_texts(frame.limit(0), F.lit(True), FILE).count() == 0
+
+
+def test_lattice_score_is_of_the_lattice_alone(spark):
+    frame = spark.createDataFrame([(1, "a b a b a"), (2, "a unseenword"), (3, None)], "doc_id long, text string")
+    held = F.col("doc_id") > 1
+    bare = {r.doc_id: r for r in lm.score_texts(frame, F.lit(True), FILE).collect()}
+    unlearned = {r.doc_id: r for r in lm.score_texts(frame, held, FILE, passes=0).collect()}
+    learned = {r.doc_id: r for r in lm.score_texts(frame, held, FILE).collect()}
+    for k in (1, 2, 3):
+        assert bare[k].lattice_score == bare[k].score
+        assert unlearned[k].lattice_score == pytest.approx(bare[k].score)
+    assert learned[1].lattice_score > unlearned[1].lattice_score
+    assert learned[1].score > learned[1].lattice_score
