@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the
 columns of documents.  Between stages the rows are written and read again.
 
-1. language_id: rejects documents without a language (no letters) or without a main one (score under
-   LEAST_SHARE of the letters).  The model learns from documents whose crc32 of the id leaves no 2 by 4.
+1. language_id: rejects documents without a language (no letters); those of several languages stay.  The
+   model learns from all documents with a label; without any, every document with letters stays.
 2. near_duplicates: one document of each class of the n-gram Jaccard join stays (five words, 0.8): the one with
    the smallest doc_id, then the smallest hash of its text.  Documents without words are kept.
 3. personal_data: spans are replaced by their kind in angle brackets.
@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from riskframe.llm import bpe, jaccard, langid, mixing, pii, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.train(docs.where(~langid.held_out_quarter(F.col("doc_id"))))
-    judged = langid.predict(docs, model, carry=tuple(COLUMNS))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+    model = langid.train(docs)
+    if not model.languages:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    return langid.predict(docs, model, carry=tuple(COLUMNS)).where("score > 0").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

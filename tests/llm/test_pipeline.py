@@ -77,3 +77,13 @@ def test_near_duplicates_of_three_words(spark):
     row = (1, "one two three", "en", "a", 13)
     docs = spark.createDataFrame([row], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r[:] for r in P.near_duplicates(spark, docs, "").collect()] == [row]
+
+
+def test_language_id_keeps_what_has_letters(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    ids = lambda rows: sorted(r.doc_id for r in P.language_id(spark, spark.createDataFrame(rows, schema), "").collect())
+    odd = [(1, "12 34", None, "a", 5), (2, None, None, "a", None), (3, "é", None, "a", 1)]
+    assert ids([*odd, (4, "plain text", None, "b", 10)]) == [3, 4]  # no labels
+    assert ids([(5, "plain text", "en", "b", 10)]) == [5]  # the only label is in op3's held-out quarter
+    three = [(6, "river stone " * 9, "en", "a", 1), (7, "река камень " * 9, "ru", "a", 1), (8, "ποτάμι πέτρα " * 9, "el", "a", 1)]
+    assert ids([*three, (9, "river stone " * 4 + "река камень " * 4 + "ποτάμι πέτρα " * 4, None, "a", 1), odd[0]]) == [6, 7, 8, 9]
