@@ -6,7 +6,7 @@ columns of documents.  Between stages the rows are written and read again.
 1. language_id: rejects documents without a language (no letters); those of several languages stay.  The
    model learns from all documents with a label; without any, every document with letters stays.
 2. near_duplicates: one document of each class of the n-gram Jaccard join stays (five words, 0.8): the one with
-   the smallest doc_id, then the smallest hash of its text.  Documents without words are kept.
+   the smallest doc_id, then the smallest hash of its text.  Rows without words are kept, each of them.
 3. personal_data: spans are replaced by their kind in angle brackets.
 4. mixing: documents as the mix takes them, repeated documents as repeated rows; what the budget cuts
    off from the last one taken is no reason to drop it.
@@ -35,12 +35,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classed = store.keep(jaccard.jaccard_classes(docs, percent=80, width=5))
-    first = classed.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "mark")).alias("row")).select("row.doc_id", "row.mark")
-    stays = first.union(classed.where("n_shingles = 0").select("doc_id", "mark").distinct()).select(F.col("doc_id").alias("id"), F.col("mark").alias("of"))
-    marked = docs.select(*COLUMNS, F.xxhash64("text").alias("mark"))
+    first = classed.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "mark")).alias("row"))
+    stays = first.select(F.col("row.doc_id").alias("id"), F.col("row.mark").alias("of"))
+    worded = F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
+    marked = docs.select(*COLUMNS, F.xxhash64("text").alias("mark")).where(worded)
     kept = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")), "left_semi")
     one = kept.groupBy("doc_id", "mark", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
-    return one.select("doc_id", "text", "rest.*").select(*COLUMNS)
+    return one.select("doc_id", "text", "rest.*").select(*COLUMNS).union(docs.select(*COLUMNS).where(~worded))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

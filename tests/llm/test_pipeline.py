@@ -87,3 +87,10 @@ def test_language_id_keeps_what_has_letters(spark):
     assert ids([(5, "plain text", "en", "b", 10)]) == [5]  # the only label is in op3's held-out quarter
     three = [(6, "river stone " * 9, "en", "a", 1), (7, "река камень " * 9, "ru", "a", 1), (8, "ποτάμι πέτρα " * 9, "el", "a", 1)]
     assert ids([*three, (9, "river stone " * 4 + "река камень " * 4 + "ποτάμι πέτρα " * 4, None, "a", 1), odd[0]]) == [6, 7, 8, 9]
+
+
+def test_near_duplicates_keeps_every_row_without_words(spark):
+    wordless = [(None, None, "en", "a", None), (None, None, "de", "b", None), (3, " \t", None, "a", 2), (3, " \t", None, "a", 2), (3, "", "en", "a", 0)]
+    docs = spark.createDataFrame([*wordless, (3, "one", "en", "a", 3), (3, "one", "de", "a", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r[:] for r in P.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([*wordless, (3, "one", "de", "a", 3)], key=str)
