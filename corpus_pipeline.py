@@ -49,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(docs, carry=("text", "lang", "n_chars"))
+    mixed = mixing.mix_sources(docs, carry=("text", "lang", "n_chars"), shuffle_by=("text",))
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     return mixed.where("taken > 0").withColumn("time", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
 

@@ -9,9 +9,11 @@ A target stops at ``repeats`` times its source's size; what is above goes to the
 With sources in the order of size over weight, the capped ones come first, so the targets follow
 from running sums.
 
-No queue is summed in one task: a source's words are summed by slices of the shuffle order, then
-running sums of the slices are joined to the documents.  Likewise the finish times are cut into
-ranges of equal width, which hold about equal numbers of words because every queue advances alike.
+No queue is summed in one task: a source's words are summed by ranges of the shuffle order (with the
+size and a row number, so that rows of one doc_id spread over ranges), then running sums of the ranges
+are joined to the documents.  ``shuffle_by`` names columns whose hash joins the doc_id in the shuffle
+key, for tables where many rows share a doc_id; without it those rows are taken by size, as SQL_OP8 says.
+Likewise the finish times are cut into ranges of equal width, which hold about equal numbers of words because every queue advances alike.
 
 Defined results: a document without words (null, empty, blanks only) has size 0 and takes 0; equal
 rows are separate documents; documents that share a doc_id and differ in size are ordered by size; a
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from riskframe.llm import store
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slices of a source's shuffle order (hex digits of its key) and ranges of one unit of finish time.
-SLICE_DIGITS, RANGES = 3, 2048
+#: Ranges of one unit of finish time.
+RANGES = 2048
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
@@ -52,20 +54,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) ->
     return level.withColumn("target", F.when(F.col("capped"), cap.cast("double")).otherwise(share)).select("source", "source_size", "place", "weight", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+def sliced(items: DataFrame) -> DataFrame:
+    """Adds ``slice``: numbers of ranges in shuffle order, of about equal numbers of rows."""
+    return store.keep(items.repartitionByRange("place", "epoch", "order", "size", "row").withColumn("slice", F.spark_partition_id()))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: str = "mix", carry: tuple[str, ...] = (), shuffle_by: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, source and the ``carry`` columns of every document."""
     rows = store.keep(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry)
-        .withColumn("row", F.monotonically_increasing_id())
+        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry, *(c for c in shuffle_by if c not in carry))
+        .withColumns({"row": F.monotonically_increasing_id(), "_by": F.xxhash64(*shuffle_by).cast("string") if shuffle_by else F.lit(None).cast("string")})
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = store.keep(source_targets(sizes, weights, repeats).coalesce(1))
-    slim = rows.where("size > 0").select("row", "doc_id", "source", "size")
+    slim = rows.where("size > 0").select("row", "doc_id", "source", "size", "_by")
     # A source's epochs that its target reaches; the table of targets has a row a source.
     epochs = targets.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).where(F.col("epoch") * F.col("source_size") < F.col("target"))
-    order = F.md5(F.concat_ws("#", F.lit(seed), F.col("epoch").cast("string"), F.col("doc_id").cast("string")))
-    items = slim.withColumnRenamed("source", "from").join(epochs, F.col("from").eqNullSafe(F.col("source"))).withColumn("order", order).withColumn("slice", F.substring("order", 1, SLICE_DIGITS))
-    items = items.select("row", "size", "place", "epoch", "order", "slice", "target")
+    order = F.md5(F.concat_ws("#", F.lit(seed), F.col("epoch").cast("string"), F.col("doc_id").cast("string"), "_by"))
+    items = slim.withColumnRenamed("source", "from").join(epochs, F.col("from").eqNullSafe(F.col("source"))).withColumn("order", order)
+    items = sliced(items.select("row", "size", "place", "epoch", "order", "target"))
     before = W.partitionBy("place").orderBy("epoch", "slice").rowsBetween(W.unboundedPreceding, -1)
     slices = items.groupBy("place", "epoch", "slice").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = W.partitionBy("place", "epoch", "slice").orderBy("order", "size", "row").rowsBetween(W.unboundedPreceding, 0)

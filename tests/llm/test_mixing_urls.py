@@ -69,3 +69,20 @@ def test_cascade_is_exact(spark):
     cascade = urls.Cascade(hashes=2, bits_per_key=3).fit(keys)
     assert len(cascade.levels) > 3
     assert keys.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
+
+
+def test_mixing_of_one_doc_id(spark, request):
+    # small ranges as they are, not put together
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    rows = [(None, f"w{k} " * (1 + k % 40), "xyz"[k % 3]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    items = spark.range(600).select(F.col("id").alias("row"), (F.col("id") % 40).alias("size"), F.lit(1).alias("place"), F.lit(0).alias("epoch"), F.lit("a").alias("order"), F.lit(9.0).alias("target"))
+    assert mixing.sliced(items).groupBy("slice").count().agg(F.max("count")).first()[0] < 400
+    by_size, shuffled = mixing.mix_sources(docs).toPandas(), mixing.mix_sources(docs, shuffle_by=("text",)).toPandas()
+    for got in (by_size, shuffled):
+        assert len(got) == 600 and got["taken"].sum() == got["size"].sum()
+    few = lambda got: got[(got["source"] == "z") & (got["taken"] > 0)]["size"]
+    assert few(by_size).max() < 40 and few(shuffled).max() == 40
+    again = mixing.mix_sources(docs.repartition(7), shuffle_by=("text",)).toPandas()
+    assert sorted(shuffled[["size", "taken"]].values.tolist()) == sorted(again[["size", "taken"]].values.tolist())
