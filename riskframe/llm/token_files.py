@@ -126,13 +126,16 @@ class ShardIndex:
 class ChunkEncoder:
     """Distinct chunks to bytes of 32-bit ids, by the tokenizers library, which sees each part once.
 
-    Punctuation after a letter is encoded apart: the splitter separates the two in any case.
+    Punctuation after a letter is encoded apart: the splitter separates the two in any case.  A file
+    whose normaliser and splitter don't work this way (``by_chunk`` is false) encodes whole texts.
     """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(tokenizer_file, encoding="utf-8") as f:
+            self.by_chunk = words.cuts_chunks(json.load(f))
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -141,10 +144,21 @@ class ChunkEncoder:
     def _library(self, new: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
-    def __call__(self, distinct: list[str]) -> list[bytes]:
-        pairs = [words.apart(words.folded(chunk)) for chunk in distinct]
-        stems, tails = (list(x) for x in zip(*pairs, strict=True)) if pairs else ([], [])
-        return [a + b for a, b in zip(self.parts(stems), self.parts(tails), strict=True)]
+    def __call__(self, distinct: pa.Array) -> list[bytes]:
+        halves = []
+        for half in words.apart(distinct):
+            coded = half.dictionary_encode()
+            got = self.parts(coded.dictionary.to_pylist())
+            halves.append([got[k] for k in coded.indices.to_pylist()])
+        return [a + b for a, b in zip(*halves, strict=True)]
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin. Null is the empty text."""
+        if self.by_chunk:
+            codes, offsets, distinct = words.coded_chunks(texts)
+            return words.gather(self(distinct), codes, offsets)
+        own = self._library(["" if t is None else t for t in texts.to_pylist()])
+        return words.gather(own, np.arange(len(own)), np.arange(len(own) + 1))
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -173,8 +187,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, key: st
         name = f"{base}/{shard:06d}-{uuid.uuid4().hex}"
         keys, null_rows, lengths, out = [], 0, [], None
         for batch in words.slices(batches, "text"):
-            codes, offsets, distinct = words.chunks(batch["text"])
-            flat, begins = words.gather(encode(distinct), codes, offsets)
+            flat, begins = encode.texts(batch["text"])
             if len(flat) and flat.max() > np.iinfo(id_type).max:
                 raise ValueError(f"an id does not fit {id_type}")
             ids = np.insert(flat, begins[1:], end_id).astype(id_type)

@@ -29,7 +29,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20)
             at = stop
 
 
-def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def coded_chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(code of each chunk, where each text's chunks begin, the distinct chunks). Null is the empty text."""
     plain = pc.fill_null(texts.cast(pa.large_string()), "")
     for blank in "\n\t\r":
@@ -39,7 +39,13 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         parts = parts.combine_chunks()
     coded = parts.flatten().dictionary_encode()
     offsets = np.asarray(parts.offsets, dtype=np.int64)
-    return np.asarray(coded.indices, dtype=np.int64), offsets - offsets[0], coded.dictionary.to_pylist()
+    return np.asarray(coded.indices, dtype=np.int64), offsets - offsets[0], coded.dictionary
+
+
+def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The same with the distinct chunks as a list."""
+    codes, offsets, distinct = coded_chunks(texts)
+    return codes, offsets, distinct.to_pylist()
 
 
 def gather(values: list[bytes], codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,23 +73,34 @@ class Remembered:
         return [self.known[k] for k in keys]
 
 
-def folded(chunk: str) -> str:
-    """ASCII chunks in lower case, as every normaliser of the word tokenizer makes them; others as they are."""
-    return chunk.lower() if chunk.isascii() and "<|" not in chunk else chunk
+#: A stem that ends with a letter below U+0250, and the punctuation after it.  U+0130 is no such letter:
+#: in lower case it ends with a mark, which splitters join to punctuation.
+_APART = r"(?s)^(?P<stem>.*[a-zA-ZªµºÀ-ÖØ-öø-įı-ɏ])(?P<tail>[.,;:!?*$%&#]+)$"
+_SPECIAL = "<|"
 
 
-_TAIL = ".,;:!?*$%&#"
+def apart(distinct: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each chunk's stem and the punctuation after its last letter, which every splitter of words separates.
 
+    ASCII chunks come in lower case, as the normaliser of the word tokenizer makes them; others as they are.
+    """
+    plain = pc.and_(pc.string_is_ascii(distinct), pc.invert(pc.match_substring(distinct, _SPECIAL)))
+    folded = pc.if_else(plain, pc.ascii_lower(distinct), distinct)
+    found = pc.extract_regex(folded, _APART)
+    return pc.coalesce(pc.struct_field(found, "stem"), folded), pc.coalesce(pc.struct_field(found, "tail"), pa.scalar("", distinct.type))
 
-def apart(chunk: str) -> tuple[str, str]:
-    """A folded chunk's stem and the punctuation after its last letter, which every splitter separates.
 
-    U+0130 is no such letter: in lower case it ends with a mark, which splitters join to punctuation.
-    """
-    stem = chunk.rstrip(_TAIL)
-    if stem and len(stem) < len(chunk) and stem[-1] < "\u0250" and stem[-1] != "\u0130" and stem[-1].isalpha():
-        return stem, chunk[len(stem) :]
-    return chunk, ""
+def cuts_chunks(spec: dict) -> bool:
+    """Whether a tokenizers file (parsed) works as :func:`apart` and :func:`chunks` assume: lower case, words of letters."""
+    normalisers = spec.get("normalizer") or {}
+    kinds = [n.get("type") for n in normalisers.get("normalizers", [normalisers])]
+    splitters = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    patterns = [s["pattern"].get("Regex") for s in splitters if s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert")]
+    return kinds == ["NFC", "Replace", "Lowercase"] and patterns == [SPLIT] and [s.get("add_prefix_space") for s in splitters[1:]] == [False]
+
+
+#: Fixed value: the word pattern of the public word tokenizer.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def ascii_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
