@@ -3,47 +3,51 @@
 Vectors are integers, floor(scale * x).  Each vector is cut into segments at several resolutions; a
 segment keeps its mean and deviation.  By Cauchy-Schwarz the squared distance of two vectors is at
 least the sum over segments of length * ((mean difference)^2 + (deviation difference)^2), so the inner
-product, (|q|^2 + |x|^2 - distance^2) / 2, is bounded from above.  Coarse bounds of a whole block come
-first; what can still reach a query's k-th best score gets finer bounds; survivors get exact scores.
+product, (|q|^2 + |x|^2 - distance^2) / 2, is bounded from above.  Coarse bounds come first; what can
+still reach a query's k-th best score gets finer bounds; survivors get exact scores, one by one where
+they are few, as one matrix product where the bounds let most of a block through (as they do for
+vectors of independent components).
 
-Queries and candidates are packed into blocks of bounded size, and each query block meets each
-candidate block in one row of a join on the block number, so that memory is bounded by two blocks.
-Each meeting yields at most k rows a query; a window keeps the k best of all.
+Candidates are written once, as blocks of bounded size in the narrowest exact type.  Queries are dealt
+over tasks.  A task holds a bounded group of queries, streams all blocks past it, and carries each
+query's k best scores along, so that the bounds tighten from block to block, blocks whose longest
+vector is too short are passed over, and k rows a query leave the task.  No vector is shuffled for a
+meeting; reading grows with candidates times query groups (GROUP queries each).
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part, nor
 does a null id; vectors meet only vectors of the same length (length 0 scores 0); a vector does not
-meet rows of its own id; equal rows (id and vector) count once; ties go to the smaller id; scores
-beyond 64 bits raise an error; an empty table gives an empty result; other columns are not touched.
+meet rows of its own id; equal rows (id and integer vector) count once; ties go to the smaller id;
+scores beyond 64 bits raise an error; an empty table gives an empty result; other columns are not
+touched.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskframe.llm import store
 
-_BLOCK = "block string, dim int, ids binary, vectors binary"
-#: numbers of segments, coarse to fine
-RESOLUTIONS = (4, 16)
+_BLOCK = "dim int, longest double, ids binary, kind string, vectors binary"
+#: numbers of segments, coarse to fine; queries that a task holds at a time, and that meet a block at a time
+RESOLUTIONS, GROUP, STRIP = (4, 16), 1 << 14, 512
+#: share of a strip's pairs up to which survivors are scored one by one
+FEW = 0.05
 
 
-def segment_statistics(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Means and deviations of ``parts`` segments, scaled so that their products sum to bounds of inner products."""
+def segment_statistics(x: np.ndarray, parts: int) -> np.ndarray:
+    """Means, then deviations of ``parts`` segments, scaled so that the products of two rows bound an inner product."""
     n, dim = x.shape
     cuts = [k * dim // parts for k in range(parts + 1)]
     pieces = [x[:, a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-    root = [np.sqrt(p.shape[1]) for p in pieces]
-    means = np.stack([p.mean(1) * r for p, r in zip(pieces, root, strict=True)], 1) if pieces else np.zeros((n, 1))
-    spread = np.stack([p.std(1) * r for p, r in zip(pieces, root, strict=True)], 1) if pieces else np.zeros((n, 1))
-    return means, spread
+    columns = [f(p, 1) * np.sqrt(p.shape[1]) for f in (np.mean, np.std) for p in pieces]
+    return np.stack(columns, 1) if columns else np.zeros((n, 1))
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -58,77 +62,145 @@ def _beyond() -> np.ndarray:
     raise OverflowError("an inner product does not fit 64 bits")
 
 
-def block_topk(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of each query's k best in a block, or fewer; at least those that can be among its k best of all."""
-    found = ([], [], [])
-    dim = q.shape[1]
-    levels = [(segment_statistics(q, p), segment_statistics(x, p)) for p in RESOLUTIONS]
-    # Rounding must not undercut a bound: the slack is above the error of sums of this size.
-    slack = 1e-9 * (1 + np.sqrt((q**2).sum(1)) * np.sqrt((x**2).sum(1).max(initial=0)))
-    (qm, qs), (xm, xs) = levels[0]
-    coarse = qm @ xm.T + qs @ xs.T
-    coarse[q_ids[:, None] == x_ids[None, :]] = -np.inf
-    for i in range(len(q)):
-        bound = coarse[i]
-        alive = np.flatnonzero(bound > -np.inf)
-        if not len(alive):
-            continue
-        first = alive[np.argpartition(-bound[alive], min(k, len(alive)) - 1)[:k]]
-        least = np.sort(exact_scores(np.broadcast_to(q[i], (len(first), dim)), x[first]))[0] if len(first) >= k else -np.inf
-        alive = alive[bound[alive] + slack[i] >= least]
-        for (fm, fs), (gm, gs) in levels[1:]:
-            alive = alive[gm[alive] @ fm[i] + gs[alive] @ fs[i] + slack[i] >= least]
-        scores = exact_scores(np.broadcast_to(q[i], (len(alive), dim)), x[alive])
-        best = np.lexsort((x_ids[alive], -scores))[:k]
-        for out, values in zip(found, (np.full(len(best), q_ids[i]), x_ids[alive][best], scores[best]), strict=True):
-            out.append(values)
-    return tuple(np.concatenate(v) if v else np.empty(0, np.int64) for v in found)
-
-
-def _packed(vectors: DataFrame, size: int, scale: float) -> DataFrame:
-    """Blocks of at most ``size`` vectors of one length, cut from Spark's partitions."""
-
-    def pack(dim: int, own: list) -> pd.DataFrame:
-        values = np.floor(scale * np.array([v for _, v in own], "<f8").reshape(len(own), dim))
-        ids = np.array([i for i, _ in own], "<i8")
-        return pd.DataFrame({"block": [uuid.uuid4().hex], "dim": [dim], "ids": [ids.tobytes()], "vectors": [values.tobytes()]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for i, v in zip(batch["id"], batch["vector"], strict=True):
-                own = held.setdefault(len(v), [])
-                own.append((i, v))
-                if len(own) == size:
-                    yield pack(len(v), held.pop(len(v)))
-        for dim, own in held.items():
-            yield pack(dim, own)
-
-    return vectors.mapInPandas(run, _BLOCK)
+class Best:
+    """The k best candidates so far of a group of queries of one length."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.norms, self.most = np.sqrt((q**2).sum(1)), np.abs(q).max(initial=0)
+        self.statistics = [segment_statistics(q, p) for p in RESOLUTIONS]
+        self.least = np.full(len(q), -np.inf)  # the k-th best score
+        self.rows, self.found, self.scores = (np.empty(0, np.int64) for _ in range(3))
+
+    def offer(self, x_ids: np.ndarray, x: np.ndarray, longest: float) -> None:
+        """Let a block of candidates compete; ``longest`` is the norm of its longest vector."""
+        # Rounding must not undercut a bound: the slack is above the error of sums of this size.
+        slack = 1e-9 * (1 + self.norms * longest)
+        if not len(x) or (self.norms * longest + slack < self.least).all():
+            return
+        statistics, exact = [segment_statistics(x, p) for p in RESOLUTIONS], self.most * np.abs(x).max(initial=0) * x.shape[1] < 2**53
+        for a in range(0, len(self.q), STRIP):
+            own = slice(a, min(a + STRIP, len(self.q)))
+            needed = (self.least[own] - slack[own])[:, None]
+            alive = self.ids[own, None] != x_ids[None, :]
+            for mine, theirs in zip(self.statistics, statistics, strict=True):
+                if np.isneginf(needed).all():
+                    break
+                alive &= mine[own] @ theirs.T >= needed
+            i, j = np.nonzero(alive) if exact and alive.mean() <= FEW else (None, None)
+            if i is None:
+                product = np.where(alive, self.q[own] @ x.T, -np.inf)
+                room = 0 if exact else 2 * slack[own]
+                if len(x) > self.k:
+                    kth = np.partition(product, len(x) - self.k, 1)[:, len(x) - self.k] - room
+                    needed = np.maximum(needed, kth[:, None])
+                i, j = np.nonzero((product >= needed) & alive)
+                scores = product[i, j].astype(np.int64) if exact else exact_scores(self.q[own][i], x[j])
+            else:
+                scores = exact_scores(self.q[own][i], x[j])
+                good = scores >= self.least[own][i]
+                i, j, scores = i[good], j[good], scores[good]
+            self._merge(i + a, x_ids[j], scores)
+
+    def _merge(self, rows: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
+        rows, found, scores = np.concatenate((self.rows, rows)), np.concatenate((self.found, found)), np.concatenate((self.scores, scores))
+        order = np.lexsort((found, -scores, rows))
+        rows = rows[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = order[rank < self.k]
+        last = order[rank == self.k - 1]
+        self.rows, self.found, self.scores = rows[rank < self.k], found[keep], scores[keep]
+        self.least[rows[rank == self.k - 1]] = scores[last]
+
+    def told(self) -> pa.RecordBatch:
+        rank = np.arange(len(self.rows)) - np.searchsorted(self.rows, self.rows) + 1
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.rows]), pa.array(rank.astype(np.int32)), pa.array(self.found), pa.array(self.scores)], ["query_id", "rank", "vec_id", "score"])
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of each length in a batch, in its order."""
+    ids, lengths = np.asarray(batch["id"]), np.asarray(batch["vector"].value_lengths())
+    flat, ends = np.asarray(batch["vector"].flatten(), np.float64), np.cumsum(lengths)
+    for dim in np.unique(lengths):
+        own = np.flatnonzero(lengths == dim)
+        yield ids[own], flat[(ends[own] - dim)[:, None] + np.arange(dim)]
+
+
+def _blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """Blocks of at most ``size`` vectors of one length, the longest vectors of a task first."""
+
+    def pack(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        most = np.abs(x).max(initial=0)
+        kind = "<i2" if most < 2**15 else "<f8"
+        values = [[x.shape[1]], [float(np.sqrt((x**2).sum(1)).max())], [ids.tobytes()], [kind], [x.astype(kind).tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.float64(), pa.binary(), pa.string(), pa.binary()), strict=True)], ["dim", "longest", "ids", "kind", "vectors"])
 
-
-def exact_topk(rows: DataFrame, is_query: Column, k: int, id: str, vector: str, scale: float = 1.0, query_block: int = 1024, candidate_block: int = 4096) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for ids, x in _by_length(batch):
+                dim = x.shape[1]
+                if dim in held:
+                    ids, x = np.concatenate((held[dim][0], ids)), np.concatenate((held[dim][1], x))
+                while len(ids) >= size:
+                    yield pack(ids[:size], x[:size])
+                    ids, x = ids[size:], x[size:]
+                held[dim] = (ids, x)
+        for ids, x in held.values():
+            if len(ids):
+                yield pack(ids, x)
+
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)
+    return store.keep(vectors.sortWithinPartitions(norm.desc()).mapInArrow(run, _BLOCK), "uncompressed")
+
+
+def _streamed(folder: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+    """(length, ids, vectors, norm of the longest) of every block of a kept table, one in memory at a time."""
+    filesystem, base = pafs.FileSystem.from_uri(folder)
+    for name in sorted(f.path for f in filesystem.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")):
+        with filesystem.open_input_file(name) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
+                r = batch.to_pylist()[0]
+                ids = np.frombuffer(r["ids"], "<i8")
+                yield r["dim"], ids, np.frombuffer(r["vectors"], r["kind"]).reshape(len(ids), r["dim"]).astype(np.float64), r["longest"]
+
+
+def exact_topk(rows: DataFrame, is_query: Column, k: int, id: str, vector: str, scale: float = 1.0, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products of floor(scale * x)."""
     spark, values = rows.sparkSession, F.col(f"`{vector}`").cast("array<double>")
     finite = F.col(f"`{id}`").isNotNull() & values.isNotNull() & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    clean = rows.where(finite).select(F.col(f"`{id}`").cast("long").alias("id"), values.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).distinct()
-    candidates = store.keep(_packed(clean.select("id", "vector"), candidate_block, scale))
-    queries = store.keep(_packed(clean.where("asks").select("id", "vector"), query_block, scale))
-    queries = queries.select("dim", *(F.col(c).alias(f"q_{c}") for c in ("block", "ids", "vectors")))
-    meetings = queries.select("dim", "q_block").join(candidates.select("dim", "block"), "dim")
-    met = meetings.join(queries.drop("dim"), "q_block").join(candidates.drop("dim"), "block")
-    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", "q_block").select("dim", "q_ids", "q_vectors", "ids", "vectors")
+    # beyond 2^53 a double has no fraction, and floor() would end at 64 bits
+    whole = F.transform(values, lambda x: F.when(F.abs(scale * x) < 2.0**53, F.floor(scale * x).cast("double")).otherwise(scale * x))
+    clean = rows.where(finite).select(F.col(f"`{id}`").cast("long").alias("id"), whole.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    distinct = store.keep(clean.groupBy("id", "vector").agg(F.max("asks").alias("asks")))
+    folder = _blocks(distinct.select("id", "vector"), block)._kept_at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            groups = {dim: Best(*(np.concatenate(v) for v in zip(*own, strict=True)), k) for dim, own in held.items()}
+            held.clear()
+            for dim, ids, x, longest in _streamed(folder) if groups else ():
+                if dim in groups:
+                    groups[dim].offer(ids, x, longest)
+            yield from (g.told() for g in groups.values())
+
+        n = 0
         for batch in batches:
-            for r in batch.to_pylist():
-                own = [np.frombuffer(r[c], "<i8") for c in ("q_ids", "ids")]
-                q, x = (np.frombuffer(r[c], "<f8").reshape(len(i), r["dim"]) for c, i in zip(("q_vectors", "vectors"), own, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in block_topk(own[0], q, own[1], x, k)], ["query_id", "vec_id", "score"])
-
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = met.mapInArrow(run, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for at in range(0, batch.num_rows, GROUP):
+                part = batch.slice(at, GROUP)
+                if n + part.num_rows > GROUP:
+                    yield from answered()
+                    n = 0
+                n += part.num_rows
+                for ids, x in _by_length(part):
+                    held.setdefault(x.shape[1], []).append((ids, x))
+        yield from answered()
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    queries = distinct.where("asks").select("id", "vector").repartition(tasks, "id", "vector")
+    return queries.mapInArrow(run, "query_id long, rank int, vec_id long, score long")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

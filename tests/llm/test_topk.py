@@ -23,13 +23,36 @@ def test_odd_rows(spark):
 
 def test_pruning_against_brute_force():
     rng = np.random.default_rng(2)
-    for dim, spread in ((64, 10), (7, 3), (1, 2), (64, 1 << 24)):
+    for dim, spread, repeats in ((64, 10, 1), (7, 3, 1), (1, 2, 1), (64, 1 << 24, 1), (16, 40, 25)):
         x = np.floor(rng.normal(size=(500, dim)) * spread)
+        if repeats > 1:  # close groups of long and short vectors: the bounds leave few survivors
+            x = np.floor(np.repeat(x[: 500 // repeats] * rng.choice([1, 30], (500 // repeats, 1)), repeats, 0) + rng.normal(size=(500, dim)))
         ids = rng.permutation(500).astype(np.int64)
-        full = x.astype(object) @ x.T.astype(object)
-        q, c, s = topk.block_topk(ids[:40], x[:40], ids, x, 20)
+        full = x.astype(np.int64).astype(object) @ x.T.astype(np.int64).astype(object)
+        best = topk.Best(ids[:40], x[:40], 20)
+        order = np.argsort(-np.sqrt((x**2).sum(1)))
+        for at in range(0, 500, 70):
+            own = order[at : at + 70]
+            best.offer(ids[own], x[own], float(np.sqrt((x[own] ** 2).sum(1)).max()))
+        got = best.told().to_pandas()
         for i in range(40):
             want = sorted((-full[i, j], ids[j]) for j in range(500) if j != i)[:20]
-            assert [(-b, a) for a, b in zip(c[q == ids[i]], s[q == ids[i]], strict=True)] == want
+            mine = got[got.query_id == ids[i]]
+            assert mine["rank"].tolist() == list(range(1, 21))
+            assert [(-b, a) for a, b in zip(mine.vec_id, mine.score, strict=True)] == want
     with pytest.raises(OverflowError):
         topk.exact_scores(np.full((1, 2), 2.0**32), np.full((1, 2), 2.0**32))
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(3)
+    x, y = np.floor(rng.normal(size=(200, 50)) * 20), np.floor(rng.normal(size=(100, 50)) * 20)
+    exact = x @ y.T
+    coarse, fine = ((topk.segment_statistics(x, p) @ topk.segment_statistics(y, p).T) for p in topk.RESOLUTIONS)
+    assert (coarse >= exact - 1e-6).all() and (fine >= exact - 1e-6).all() and fine.mean() < coarse.mean()
+
+
+def test_vectors_equal_after_rounding_down(spark):
+    frame = spark.createDataFrame([(20, [1.001]), (20, [1.002]), (3, [2.001]), (3, [2.002])], "vec_id long, embedding array<double>")
+    got = topk.exact_topk(frame, F.col("vec_id") % 20 == 0, 3, "vec_id", "embedding", 64.0)
+    assert sorted(map(tuple, got.collect())) == [(20, 1, 3, 64 * 128)]
