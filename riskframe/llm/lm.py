@@ -2,22 +2,25 @@
 
 A word's probability sums over all its segmentations into the pieces of an existing vocabulary, by
 log-space forward recursion; a text's is the product over its words and one end, because no piece
-crosses a word's start.  The vocabulary's scores are ranks, so a piece first weighs 1 / (rank + 1)
-(Zipf's law).  These weights are the prior of the model; expected piece counts of the training words
-under it (forward and backward recursion, ``passes`` times) are added to a prior mass.  The vocabulary
-itself is not changed.  The word model of the training texts backs off to the lattice with the
-Witten-Bell share: (c + V * lattice) / (N + V) for a word seen c times among N with V distinct ones.
-``score`` is of this mixture; ``lattice_score`` is the text's probability by the lattice alone.
+crosses a word's start.  Pieces, bytes and the end share one unigram distribution, so ``score`` is the
+text's marginal probability over all segmentations: known and new words alike are scored by the
+lattice, never by word counts.
+
+The vocabulary's scores are ranks, so a piece first weighs 1 / (rank + 1) (Zipf's law).  These weights
+are the prior of the model; expected piece counts of the training words under it (forward and backward
+recursion, ``passes`` times) are added to a prior mass.  The vocabulary itself is not changed.
 
 Texts are packed into batches of bounded size.  Each batch asks for its distinct words only: counts
 are summed by word over all batches, the lattice sees each distinct word of the corpus once, and the
-answers go back to the batches, where documents are summed.  Nothing that grows with the corpus is
-broadcast; the driver gets one number a piece of the vocabulary.
+answers go back to the batches, where documents are summed.  Batches are dealt over tasks by
+a quarter of their number, so a task reads a few of them whatever the corpus.  Nothing that grows with the
+corpus is broadcast; the driver gets one number a piece of the vocabulary.
 
 Defined results: a null text is the empty text, one end token; words are cut at ASCII blanks and A-Z
 are folded; any other string is a word, spelled by bytes where no piece fits; a null doc_id has no
-checksum and counts as training; rows that repeat are documents like others; with no training text the
-lattice keeps its prior, and base scores treat every token as new; an empty table gives an empty result.
+checksum and counts as training; rows that repeat are documents like others; a text above the size of
+a batch is a batch of its own; with no training text the lattice keeps its prior, and base scores treat
+every token as new; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,11 +63,10 @@ class Vocabulary:
         self.counts, self.ends = np.zeros(len(self.pieces)), 0.0
 
     def lattice(self) -> tuple[Lattice, float]:
-        """The lattice, and log10 of the probability that a text ends instead of starting a word."""
+        """The lattice, and log10 of the end's weight; pieces, bytes and the end sum to 1."""
         whole = self.counts.sum() + self.ends + PRIOR_MASS
         p, end = (self.counts + PRIOR_MASS * self.prior) / whole, (self.ends + PRIOR_MASS * self.end) / whole
-        starts = sum(p[k] for k, piece in enumerate(self.pieces) if piece[0] == START)
-        return Lattice(self.pieces, np.log(p), np.log(PRIOR_MASS * self.bytes / whole)), math.log10(end / (end + starts))
+        return Lattice(self.pieces, np.log(p), np.log(PRIOR_MASS * self.bytes / whole)), math.log10(end)
 
 
 def _blob(ids: pa.Array, held: pa.Array, texts: pa.Array) -> bytes:
@@ -115,10 +117,10 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_texts(docs: DataFrame, held_out: Column, model_file: str, key: str = "doc_id", text: str = "text", passes: int = 2) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (log10) of every row."""
+    """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"))
     packed = _packed(rows)
-    asked = packed.mapInArrow(_asked, "batch long, code int, word string, n long")
+    asked = store.keep(packed.mapInArrow(_asked, "batch long, code int, word string, n long"), "zstd")
     counted = store.keep(asked.groupBy("word").agg(F.sum("n").alias("c")), "zstd")
     ends = rows.where(~F.col("held_out")).count()
     n_words, distinct = counted.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -140,20 +142,13 @@ def score_texts(docs: DataFrame, held_out: Column, model_file: str, key: str = "
         vocabulary.counts[[r.piece for r in found]] = [r.n for r in found]
     lattice, end_score = vocabulary.lattice()
 
-    def mixed(c: np.ndarray, inner: np.ndarray) -> np.ndarray:
-        """log10 of (c + V * lattice) / (N + V)."""
-        if not n:
-            return inner
-        with np.errstate(divide="ignore"):
-            return np.logaddexp2(np.log2(c), np.log2(v) + inner * math.log2(10)) * math.log10(2) - math.log10(n + v)
-
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(lattice.log10(batch["word"].to_pylist()))], ["word", "c", "inner"])
 
     answers = asked.select("batch", "code", "word").join(counted.mapInArrow(known, "word string, c long, inner double"), "word").drop("word")
     base = lambda c: np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-    end_known, end_base, end_mixed = int(ends > 0), float(base(np.float64(ends))), float(mixed(np.array([float(ends)]), np.array([end_score]))[0])
+    end_known, end_base = int(ends > 0), float(base(np.float64(ends)))
 
     def summed(packs: pa.Table, told: pa.Table) -> pa.Table:
         docs = _unblob(packs["blob"][0].as_py())
@@ -166,11 +161,12 @@ def score_texts(docs: DataFrame, held_out: Column, model_file: str, key: str = "
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         total = lambda x: np.bincount(row, x[codes], len(offsets) - 1)
         n_known = total((c > 0).astype(float)).astype(np.int64) + end_known
-        columns = [docs["key"], docs["held_out"], pa.array(np.diff(offsets) + 1), pa.array(n_known), pa.array(np.full(len(n_known), n)), pa.array(total(base(c)) + end_base), pa.array(total(mixed(c, inner)) + end_mixed), pa.array(total(inner) + end_score)]
-        return pa.Table.from_arrays([pa.chunked_array([x]) for x in columns], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
+        columns = [docs["key"], docs["held_out"], pa.array(np.diff(offsets) + 1), pa.array(n_known), pa.array(np.full(len(n_known), n)), pa.array(total(base(c)) + end_base), pa.array(total(inner) + end_score)]
+        return pa.Table.from_arrays([pa.chunked_array([x]) for x in columns], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    schema = f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(summed, schema)
+    schema = f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    parts = -(-packed.count() // 4) or 1
+    return packed.repartition(parts, "batch").groupBy("batch").cogroup(answers.repartition(parts, "batch").groupBy("batch")).applyInArrow(summed, schema)
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,14 +75,48 @@ def test_no_training_and_no_rows(spark):
     assert lm.score_texts(frame.limit(0), F.lit(True), FILE).count() == 0
 
 
-def test_lattice_score_is_of_the_lattice_alone(spark):
-    frame = spark.createDataFrame([(1, "a b a b a"), (2, "a unseenword"), (3, None)], "doc_id long, text string")
-    held = F.col("doc_id") > 1
-    bare = {r.doc_id: r for r in lm.score_texts(frame, F.lit(True), FILE).collect()}
-    unlearned = {r.doc_id: r for r in lm.score_texts(frame, held, FILE, passes=0).collect()}
-    learned = {r.doc_id: r for r in lm.score_texts(frame, held, FILE).collect()}
-    for k in (1, 2, 3):
-        assert bare[k].lattice_score == bare[k].score
-        assert unlearned[k].lattice_score == pytest.approx(bare[k].score)
-    assert learned[1].lattice_score > unlearned[1].lattice_score
-    assert learned[1].score > learned[1].lattice_score
+def segmentations(word, pieces):
+    """Every way to spell a word: lists of pieces, bytes as numbers."""
+    if not word:
+        return [[]]
+    heads = [[b for b in word[0].encode()]] + [[word[:k]] for k in range(1, len(word) + 1) if word[:k] in pieces]
+    return [head + rest for head in heads for rest in segmentations(word[sum(len(x) for x in head) if isinstance(head[0], str) else 1 :], pieces)]
+
+
+@pytest.mark.parametrize("passes", [0, 1, 2])
+def test_score_against_enumeration(spark, passes):
+    """Prior from ranks, expected counts, forward recursion: all of it again by listing every segmentation."""
+    train, texts = ["a b ab", "the cat é", "ab ab"], {1: "a b ab", 2: "the cat é", 3: "ab ab", 11: "the é", 12: "cab", 13: "", 14: None, 15: "zq"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score_texts(frame, F.col("doc_id") > 10, FILE, passes=passes).collect()}
+    pieces, prior, bytes_, end = lm.read_pieces(FILE)
+    assert prior.sum() + bytes_.sum() + end == pytest.approx(1)
+    first = dict(zip(pieces, prior, strict=True)) | dict(enumerate(bytes_)) | {"end": end}
+    weights, ways = first, {}
+
+    def weighed(word):
+        ways.setdefault(word, segmentations(START + word, set(pieces)))
+        return [(way, math.prod(weights[x] for x in way)) for way in ways[word]]
+
+    for _ in range(passes):
+        counts = Counter({"end": len(train)})
+        for word in " ".join(train).split():
+            every = weighed(word)
+            for way, w in every:
+                for x in way:
+                    if isinstance(x, str):
+                        counts[x] += w / sum(v for _, v in every)
+        whole = sum(counts.values()) + lm.PRIOR_MASS
+        weights = {x: (counts[x] + lm.PRIOR_MASS * p) / whole for x, p in first.items()}
+    for k, text in texts.items():
+        want = sum(math.log10(sum(v for _, v in weighed(w))) for w in (text or "").split()) + math.log10(weights["end"])
+        assert got[k] == pytest.approx(want, rel=1e-9)
+
+
+def test_text_above_a_batch(spark, monkeypatch):
+    rows = [(k, f"word{k} " * 400) for k in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = sorted(lm.score_texts(frame, F.lit(False), FILE).collect())
+    monkeypatch.setattr(lm, "BATCH", 1000)
+    cut = sorted(lm.score_texts(frame, F.lit(False), FILE).collect())
+    assert [r[:5] for r in cut] == [r[:5] for r in whole] and np.allclose([r.score for r in cut], [r.score for r in whole])
