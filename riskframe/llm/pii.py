@@ -3,14 +3,19 @@
 The base finds e-mail addresses, IPv4 addresses, payment cards and phone numbers by linear-time
 patterns and checks (parts up to 255, Luhn, numbers of digits).  Its spans in a bounded sample of
 windows (TRAIN_WINDOWS of the corpus, in the order of a hash; a documented parameter), some of them
-rewritten in forms that the patterns don't cover, and drawn examples of each kind train a
-bidirectional LSTM with CRF transitions, in numpy.
+rewritten in forms that the patterns don't cover, and drawn examples from grammars of each kind
+(DRAWN of them) train a bidirectional LSTM with CRF transitions, in numpy.  Besides the four kinds
+the tagger learns secrets (keys, tokens, passwords), which are told apart from personal data.
 
 The tagger reads texts in overlapping windows.  Spans of all windows of a text are reconciled
 together: those of one kind that touch or overlap become one, base spans come first, then longer
-ones, and what overlaps an accepted span goes.  An added span must pass the check of its kind.  Every
-span of these kinds has a digit or an at sign, so windows are read only where they or a neighbour
-have one: others can't yield a span.
+ones, and what overlaps an accepted span goes.  An added span must pass the check of its kind, which
+looks at what the span says (digits and Luhn, four parts up to 255, a name, an at sign or word and a
+domain) and not at how it is written.
+
+Every check asks for a digit, an at sign, a bracketed "at" or the word "dot", so a window without one
+of these, and without such a neighbour, can yield no accepted span: it is not read, and the result is
+that of reading all windows (tested; ``every=True`` reads all).
 
 Defined results: a null text is the empty text and has no spans; texts of any length are read whole;
 rows that repeat or have null ids give a row each; an empty table gives an empty result; without any
@@ -20,6 +25,7 @@ text to learn from the tagger is trained on the drawn examples alone.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
 from collections.abc import Iterator
@@ -33,8 +39,12 @@ from riskframe.llm import store, words
 from riskframe.llm.tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
-#: characters of a window and of what two windows share; windows of the corpus and drawn ones that train the tagger
-WINDOW, SHARED, TRAIN_WINDOWS, DRAWN = 96, 32, 800, 800
+#: what the tagger tells apart: the kinds, and secrets
+TAGS = (*KINDS, "secret")
+#: characters of a window and of what two windows share, and of a window that trains; windows of the corpus and drawn ones that train
+WINDOW, SHARED, LEARNT, TRAIN_WINDOWS, DRAWN = 96, 48, 72, 800, 5000
+#: the tags of drawn examples, in turn: more of those with many forms
+TURNS = (0, 3, 1, 0, 3, 2, 0, 3, 1, 4)
 Span = tuple[int, int, int]  # start, end, kind
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -42,7 +52,9 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_BASIC = re.compile(r"[0-9@]")
+#: What every accepted span holds.
+_TRIGGER = re.compile(r"(?i)[0-9@]|[\[({<]\s?at\b|\bdot\b")
 
 
 def luhn(digits: str) -> bool:
@@ -63,7 +75,7 @@ def _valid(kind: int, text: str) -> bool:
 
 def base_spans(text: str) -> list[Span]:
     """Leftmost matches of each kind that pass its check, ordered by start and kind."""
-    if not _TRIGGER.search(text):
+    if not _BASIC.search(text):
         return []
     found, done, at = [], 0, text.find("@")
     while at >= 0:
@@ -86,7 +98,7 @@ _CLASS = np.full(128, 1, np.int16)
 for _c in range(128):
     _x = chr(_c)
     _CLASS[_c] = ord(_x.lower()) - 93 if _x.isalpha() else 2 if _x.isdigit() else 3 if _x in "\t\n\r" else 30 + " !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~".find(_x) if _c >= 32 and _c < 127 else 1
-CLASSES, LABELS = 30 + 34, 1 + 2 * len(KINDS)
+CLASSES, LABELS = 30 + 34, 1 + 2 * len(TAGS)
 
 
 def _classes(text: str) -> np.ndarray:
@@ -102,95 +114,182 @@ def _labels(length: int, spans: list[Span]) -> np.ndarray:
     return out
 
 
-def _rewritten(kind: int, text: str, rng: random.Random) -> str:
-    """The same entity in a form that the base patterns don't cover."""
-    digits = _digits(text)
-    if kind == 2:
-        return rng.choice([".", "  ", "_", "/"]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
-    if kind == 3:
-        d = digits[-10:]
-        return rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"00{digits[:2]} {digits[2:5]} {digits[5:]}", f"({d[:3]}) {d[3:6]} {d[6:]}"])
-    if kind == 0:
-        name, _, host = text.partition("@")
-        return f"{name}{rng.choice([' @ ', '@ ', ' @'])}{host}"
-    return text.replace(".", " . ")
-
-
-def _drawn(kind: int, rng: random.Random) -> str:
-    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    w = lambda a, b: "".join(rng.choice("abcdefghiklmnoprstuvwyz") for _ in range(rng.randint(a, b)))
-    if kind == 0:
-        return f"{w(2, 9)}{rng.choice(['', '.', '_', '+'])}{rng.choice(['', w(1, 6), d(2)])}@{w(3, 9)}.{rng.choice(['com', 'org', 'net', 'example.com', 'co.uk', 'de'])}".replace(".@", "@")
-    if kind == 1:
-        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
-    if kind == 2:
-        digits = d(rng.choice([12, 15, 15, 15, 18]))
-        digits = next(digits + str(k) for k in range(10) if luhn(digits + str(k)))
-        return rng.choice(["", " ", "-"]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
-    return f"+{rng.randint(1, 99)}{rng.choice([' ', ' (', '-'])}{d(3)}{rng.choice([' ', ') ', '-'])}{d(3)}{rng.choice([' ', '-', '.'])}{d(4)}"
+class Grammar:
+    """Draws entities of each kind in many forms. ``held_out`` draws only forms that training never sees."""
+
+    def __init__(self, rng: random.Random, held_out: bool = False):
+        self.rng, self.held_out = rng, held_out
+
+    def _pick(self, seen: list, unseen: list):
+        return self.rng.choice(unseen if self.held_out else seen)
+
+    def _number(self, n: int) -> str:
+        return "".join(self.rng.choice("0123456789") for _ in range(n))
+
+    def _word(self, a: int, b: int, letters: str = "abcdefghijklmnoprstuvwyz") -> str:
+        return "".join(self.rng.choice(letters) for _ in range(self.rng.randint(a, b)))
+
+    def _cut(self, digits: str, sizes: list[int], between: str) -> str:
+        ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+        return between.join(digits[e - n : e] for e, n in zip(ends, sizes, strict=True) if digits[e - n : e])
+
+    def email(self, name: str = "", host: str = "") -> str:
+        rng = self.rng
+        name = name or self._word(1, 9) + rng.choice(["", ".", "_", "-"]) + rng.choice(["", self._word(1, 7), self._number(2)])
+        name = name.rstrip("._-")
+        host = host or rng.choice(["mail.", "", "", f"mail{self._number(1)}."]) + self._word(3, 9) + "." + rng.choice(["com", "org", "net", "co.uk", "de", "example.com", "fr", "info"])
+        at = self._pick([" @ ", "@ ", " @", "[at]", "(at)", " (at) ", " [at] ", " at ", " AT "], ["{at}", " {at} ", "<at>", " [ at ] "])
+        dot = rng.choice([" dot ", " DOT "]) if at.strip().lower() == "at" else rng.choice([".", ".", "[dot]", "(dot)", " dot ", " . "] if "@" not in at else [".", ".", " . ", ". "])
+        return name.replace(".", dot if rng.random() < 0.3 else ".") + at + host.replace(".", dot)
+
+    def ip(self, text: str = "") -> str:
+        if not text and self.rng.random() < 0.15 and not self.held_out:
+            return ":".join(f"{self.rng.randrange(1 << 16):x}" for _ in range(8))
+        text = text or ".".join(str(self.rng.randint(0, 255)) for _ in range(4))
+        return text.replace(".", self._pick([" . ", ". ", " .", "[.]", "(.)", ",", ":"], [" [.] ", "{.}", " dot ", "_"]))
+
+    def card(self, digits: str = "") -> str:
+        n = self.rng.choice([12, 15, 16, 16, 16, 16, 18, 19])
+        stem = self._number(n - 1)
+        digits = digits or next(stem + str(k) for k in range(10) if luhn(stem + str(k)))
+        sizes = [4, 6, 5] if len(digits) == 15 and self.rng.random() < 0.5 else [4] * 5
+        return self._cut(digits, sizes, self._pick([".", "  ", "_", "/", " - ", ". ", ", "], ["--", " . ", ":", " / "]))
+
+    def phone(self, digits: str = "") -> str:
+        rng = self.rng
+        d = digits or self._number(rng.choice([10, 10, 10, 11, 9]))
+        if len(d) == 10 and rng.random() < 0.7:
+            a, b, c = d[:3], d[3:6], d[6:]
+            seen = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"{a} {b} {c}", f"({a}){b}-{c}", f"1-{a}-{b}-{c}", f"{a} {b}-{c}", f"1 ({a}) {b}-{c}", f"001 {a} {b} {c}"]
+            return self._pick(seen, [f"{a}/{b}/{c}", f"({a}) {b}.{c}", f"{a} - {b} - {c}", f"1.{a}.{b}.{c}", f"[{a}] {b}-{c}"])
+        sizes = rng.choice([[2, 3, 3, 4], [3, 4, 4], [4, 6], [3, 2, 2, 2, 2], [5, 5, 2], [2, 2, 2, 2, 2, 2]])
+        return self._pick(["00", "0", ""], ["00 ", "0-"]) + self._cut(d, sizes, rng.choice([" ", "-", ".", "/", " "]))
+
+    def secret(self) -> str:
+        kinds = ["0123456789abcdef"] * 3 + ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789_-"]
+        n = self.rng.choice([20, 24, 32, 40, 40])
+        return self._pick(["", "", "", "sk-", "ghp_", "AKIA", "xoxb-"], ["pk_", "glpat-"]) + self._word(n, n, self.rng.choice(kinds))
+
+    def plain(self, kind: int) -> str:
+        """An entity as the base patterns write it."""
+        rng = self.rng
+        if kind == 0:
+            return f"{self._word(1, 9)}.{self._number(2)}@mail{self._number(1)}.example.com" if rng.random() < 0.3 else f"{self._word(2, 9)}{rng.choice(['', '.', '_', '+'])}{self._word(1, 6)}@{self._word(3, 9)}.{rng.choice(['com', 'org', 'net', 'co.uk', 'de'])}"
+        if kind == 1:
+            return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        if kind == 2:
+            stem = self._number(rng.choice([12, 15, 15, 15, 18]))
+            digits = next(stem + str(k) for k in range(10) if luhn(stem + str(k)))
+            return rng.choice(["", " ", "-"]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
+        return f"+{rng.randint(1, 99)}{rng.choice([' ', ' (', '-'])}{self._number(3)}{rng.choice([' ', ') ', '-'])}{self._number(3)}{rng.choice([' ', '-', '.'])}{self._number(4)}"
+
+    def other(self, kind: int, text: str = "") -> str:
+        """An entity (the one of ``text``, if given) in a form that the base patterns don't cover."""
+        digits = _digits(text)
+        if kind == 0:
+            return self.email(*text.split("@", 1)) if "@" in text else self.email()
+        return self.ip(text) if kind == 1 else self.card(digits) if kind == 2 else self.phone(digits[-10:]) if kind == 3 else self.secret()
+
+    def lead(self, kind: int) -> str:
+        """Words before an entity."""
+        if kind == 4:
+            return self.rng.choice(["token", "key", "secret", "api_key", "password", "auth", "TOKEN", "access token"]) + self.rng.choice([" = ", "=", ": ", " "]) + self.rng.choice(['"', '"', "'", ""])
+        words = [["mail ", "write to ", "contact: "], ["ip ", "from ", "host "], ["card ", "paid with "], ["tel ", "call ", "phone: "]][kind]
+        return self.rng.choice(words) if self.rng.random() < 0.3 else self.rng.choice(["", "", "", "(", '"', "- "])
+
+    def nothing(self) -> str:
+        """Numbers and signs that are no entity."""
+        rng = self.rng
+        return rng.choice([
+            str(rng.randint(0, 99999)), f"{rng.randint(1, 99)}.{rng.randint(0, 99)}", f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}.{rng.randint(1900, 2030)}",
+            f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", f"Version {rng.randint(1, 9)}.0.", f"CC BY {rng.randint(1, 4)}.0", f"@{self._word(3, 8)}", f"{rng.randint(1, 12)}:{rng.randint(0, 59):02}", f"${rng.randint(1, 999)},{rng.randint(0, 999):03}.{rng.randint(0, 99):02}",
+            self._number(rng.choice([5, 6, 7, 8, 16, 16, 17, 20])), f"{rng.randint(1, 99)} {rng.randint(1, 99)} {rng.randint(1, 999)}", f"dot {self._word(2, 6)} at {self._word(2, 8)}", f"{rng.randint(1, 9)}, {rng.randint(1, 9)}, {rng.randint(1, 9)} and {rng.randint(10, 99)}", f"{rng.randint(256, 999)}.{rng.randint(256, 999)}.{rng.randint(0, 999)}.{rng.randint(0, 999)}",
+            f"{rng.randint(1, 9)}.{rng.randint(1, 9)}.{rng.randint(1, 9)} {self._word(3, 8)}", f"<{self._word(1, 4)}>", f"no. {rng.randint(1, 9999)}/{rng.randint(1, 99)}",
+        ])
 
 
 def _example(before: str, entity: str, kind: int, after: str, rng: random.Random) -> tuple[str, np.ndarray]:
-    room = max(0, WINDOW - len(entity))
+    room = max(0, LEARNT - len(entity))
     left = rng.randint(min(0, room), room)
-    before, after = before[len(before) - left :] if left <= len(before) else before, after
-    text = (before + entity + after)[:WINDOW]
-    end = min(len(before) + len(entity), WINDOW)
-    spans = [(len(before), end, kind)] if kind >= 0 and entity else []
-    return text.ljust(WINDOW), _labels(WINDOW, spans)
+    before = before[len(before) - left :] if left <= len(before) else before
+    # some spans are cut by a window's edge
+    whole = LEARNT + 8 * (len(before) % 3)
+    cut = max(0, min(len(before + entity + after), whole) - LEARNT)
+    start, end = max(0, len(before) - cut), min(max(0, len(before) + len(entity) - cut), LEARNT)
+    spans = [(start, end, kind)] if kind >= 0 and end > start else []
+    return (before + entity + after)[:whole][-LEARNT:].ljust(LEARNT), _labels(LEARNT, spans)
 
 
-def train(docs: DataFrame, text: str = "text", windows: int = TRAIN_WINDOWS, drawn: int = DRAWN, epochs: int = 6) -> Tagger:
-    """Labelled windows of the corpus, at most ``windows`` with a span and as many without, and ``drawn`` ones."""
+def _sample(docs: DataFrame, text: str, windows: int) -> list:
+    """Windows of the corpus in the order of a hash, at most ``windows`` around a base span and as many without one."""
+    order = lambda r: (r[0], r[1], r[3], r[2], r[4])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[set, set] = (set(), set())
         for batch in words.slices(batches, "text"):
-            out = []
             for k, x in zip(batch["mark"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 x = x or ""
                 spans = base_spans(x)
                 for n, (a, b, kind) in enumerate(spans):
-                    clear = max([0, *(e for _, e, _ in spans[:n])]), min([len(x), *(s for s, _, _ in spans[n + 1 :])])
-                    out.append((k, kind, x[max(clear[0], a - WINDOW) : a], x[a:b][:WINDOW], x[b : max(b, min(clear[1], b + WINDOW))]))
+                    clear = max([0, *(e for _, e, _ in spans[max(0, n - 9) : n])]), min([len(x), *(s for s, _, _ in spans[n + 1 : n + 2])])
+                    held[1].add((k, kind, x[max(clear[0], a - WINDOW) : a], x[a:b][:WINDOW], x[b : max(b, min(clear[1], b + WINDOW))]))
                 if not spans and x:
                     at = k % max(1, len(x) - WINDOW)
-                    out.append((k, -1, "", x[at : at + WINDOW], ""))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.string()] * 3), strict=True)], ["mark", "kind", "before", "entity", "after"])
+                    held[0].add((k, -1, "", x[at : at + WINDOW], ""))
+            # a task keeps no more than the whole sample needs
+            for own in held:
+                if len(own) > windows:
+                    least = sorted(own, key=order)[:windows]
+                    own.clear()
+                    own.update(least)
+        out = sorted(held[0]) + sorted(held[1])
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.string()] * 3), strict=True)], ["mark", "kind", "before", "entity", "after"])
 
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    found = rows.mapInArrow(cut, "mark long, kind int, before string, entity string, after string").distinct()
-    order = ["mark", "kind", "entity", "before", "after"]
-    sample = store.keep(found)
-    some = [r for clean in ("kind < 0", "kind >= 0") for r in sample.where(clean).orderBy(*order).limit(windows).collect()]
-    rng, x, y = random.Random(5), [], []
-    plain = [r.entity for r in some if r.kind < 0] or ["some words of no interest, 12 of them. " * 3]
-    for r in some:
-        entity = _rewritten(r.kind, r.entity, rng) if r.kind >= 0 and rng.random() < 0.4 else r.entity
-        w = _example(r.before, entity, r.kind, r.after, rng)
-        x.append(w[0])
-        y.append(w[1])
+    found = store.keep(rows.mapInArrow(cut, "mark long, kind int, before string, entity string, after string"))
+    named = ["mark", "kind", "entity", "before", "after"]
+    some = [r for clean in ("kind < 0", "kind >= 0") for r in found.where(clean).distinct().orderBy(*named).limit(windows).collect()]
+    store.discard(found)
+    return some
+
+
+def train(docs: DataFrame, text: str = "text", windows: int = TRAIN_WINDOWS, drawn: int = DRAWN, epochs: int = 8, hidden: int = 24) -> Tagger:
+    """Labelled windows of the corpus, at most ``windows`` with a span and as many without, and ``drawn`` ones."""
+    return train_on(_sample(docs, text, windows), drawn, epochs, hidden)
+
+
+def train_on(some: list, drawn: int = DRAWN, epochs: int = 8, hidden: int = 24) -> Tagger:
+    """some: rows (mark, kind or -1, text before, entity, text after)."""
+    rng, examples = random.Random(5), []
+    grammar = Grammar(rng)
+    plain = [r[3] for r in some if r[1] < 0 and not _TRIGGER.search(r[3])] or ["some words of no interest, a few of them. " * 3]
+    for _, kind, before, entity, after in some:
+        if kind >= 0 and rng.random() < 0.5:
+            entity = grammar.other(kind, entity)
+        examples.append(_example(before, entity, kind, after, rng))
     for k in range(drawn):
-        entity, around = _drawn(k % 4, rng), rng.choice(plain) + " "
-        entity = _rewritten(k % 4, entity, rng) if rng.random() < 0.4 else entity
-        w = _example(around, entity, k % 4, " " + rng.choice(plain), rng)
-        x.append(w[0])
-        y.append(w[1])
-        # numbers that are nothing: years, prices, counts, codes
-        number = rng.choice([str(rng.randint(0, 99999)), f"{rng.randint(1, 99)}.{rng.randint(0, 99)}", f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", f"{rng.randrange(16**12):x}", f"@{rng.randint(1, 99)}"])
-        w = _example(around, number, -1, " " + rng.choice(plain), rng)
-        x.append(w[0])
-        y.append(w[1])
-    tagger = Tagger(CLASSES, LABELS)
-    tagger.fit(np.stack([_classes(t) for t in x]), np.stack(y).astype(np.int64), epochs=epochs)
+        kind = TURNS[k % len(TURNS)]
+        entity = grammar.plain(kind) if kind < 4 and rng.random() < 0.25 else grammar.other(kind)
+        lead = grammar.lead(kind)
+        ends = {"(": ")"}.get(lead, lead[-1]) if lead and lead[-1] in "\"'(" else ""
+        before, after = rng.choice(plain) + " " + lead, ends + rng.choice([" ", " ", " ", ". ", ", ", "! ", "*** ", ";", "\n"]) + rng.choice(plain)
+        examples.append(_example(before, entity, kind, after, rng))
+        if k % 2 == 0:
+            examples.append(_example(rng.choice(plain) + " ", grammar.nothing(), -1, rng.choice([" ", ". ", ", "]) + rng.choice(plain), rng))
+    tagger = Tagger(CLASSES, LABELS, hidden)
+    tagger.fit(np.stack([_classes(t) for t, _ in examples]), np.stack([y for _, y in examples]).astype(np.int64), epochs=epochs, batch=96, rate=0.02)
     return tagger
 
 
-def _read(tagger: Tagger, texts: list[str], size: int = 1024) -> list[list[Span]]:
+def _read(tagger: Tagger, texts: list[str], size: int = 1024, every: bool = False) -> list[list[Span]]:
     """Spans of the tagger in each text, windows joined: touching spans of one kind are one."""
     step = WINDOW - SHARED
     cut: list[tuple[int, int]] = []
     for k, text in enumerate(texts):
+        if every:
+            cut += [(k, at) for at in range(0, max(1, len(text) - SHARED), step)]
+            continue
         hits = {m.start() // step for m in _TRIGGER.finditer(text)}
         near = sorted({n + d for n in hits for d in (-2, -1, 0, 1)})
         cut += [(k, n * step) for n in near if n >= 0 and (n == 0 or n * step + SHARED < len(text))]
@@ -221,70 +320,90 @@ def _read(tagger: Tagger, texts: list[str], size: int = 1024) -> list[list[Span]
     return joined
 
 
+_AT = re.compile(r"(?i)\s*(?:@|[\[({<]\s?at\s?[\])}>])\s*|\s+at\s+")
+_DOT = re.compile(r"(?i)\s*[\[({<]\s?(?:dot|\.)\s?[\])}>]\s*|\s+dot\s+|\s*\.\s*")
+
+
 def _acceptable(kind: int, text: str) -> bool:
-    """The check of an added span: as strict as the base's, for the forms that it lacks."""
+    """The check of an added span: what it says, however it is written."""
     if kind == 0:
-        name, _, host = text.replace(" ", "").partition("@")
+        parts = _AT.split(text)
+        if len(parts) != 2 or not (_TRIGGER.search(text[len(parts[0]) :])):
+            return False
+        name, host = (_DOT.sub(".", p).strip() for p in parts)
         return bool(_LOCAL.fullmatch(name)) and bool(_DOMAIN.fullmatch(host)) and host.rpartition(".")[2].isalpha()
     if kind == 1:
-        parts = text.replace(" ", "").split(".")
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts) and _valid(1, ".".join(parts))
-    if kind == 2:
-        return bool(re.fullmatch(r"[0-9](?:[\x20._/-]{0,2}[0-9])+", text)) and _valid(2, text)
-    return bool(re.fullmatch(r"[(+]?[0-9][\x20().0-9-]+[0-9]", text)) and len(re.findall(r"[0-9]+", text)) >= 3 and _valid(3, text) and not re.fullmatch(r"[0-9.]+", text)
+        if text.count(":") > 3:
+            try:
+                return bool(_digits(text)) and ipaddress.ip_address(text).version == 6
+            except ValueError:
+                return False
+        return bool(re.fullmatch(r"(?i)[0-9]+(?:(?:[^0-9a-z]{1,5}|\s+dot\s+)[0-9]+){3}", text)) and _valid(1, ".".join(re.findall(r"[0-9]+", text)))
+    if kind == 4:
+        return len(text) >= 16 and not re.search(r"\s", text) and bool(re.search(r"[0-9]", text)) and bool(re.search(r"[A-Za-z]", text))
+    return not re.search(r"[^\W\d_]", text) and bool(re.search(r"[0-9]", text)) and _valid(kind, text)
 
 
 def reconcile(text: str, base: list[Span], added: list[Span]) -> list[Span]:
     """Base spans, then added ones that pass their check and overlap nothing accepted; longer ones first."""
     taken = list(base)
     for s, e, kind in sorted(added, key=lambda v: (v[0] - v[1], v)):
-        while s < e and text[s] in " \n\t.,;:":
+        while s < e and text[s] in " \n\t.,;:\"'":
             s += 1
-        while e > s and text[e - 1] in " \n\t.,;:":
+        while e > s and text[e - 1] in " \n\t.,;:\"'":
             e -= 1
         if s < e and _acceptable(kind, text[s:e]) and all(e <= a or b <= s for a, b, _ in taken):
             taken.append((s, e, kind))
     return sorted(taken, key=lambda v: (v[0], v[2]))
 
 
-def find_spans(tagger: Tagger, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text."""
+def find_spans(tagger: Tagger, texts: list[str | None], every: bool = False) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text; secrets are among all spans."""
     whole = [t or "" for t in texts]
     base = [base_spans(t) for t in whole]
-    hot = [k for k, t in enumerate(whole) if _TRIGGER.search(t)]
-    read = dict(zip(hot, _read(tagger, [whole[k] for k in hot]), strict=True))
+    hot = [k for k, t in enumerate(whole) if every or _TRIGGER.search(t)]
+    read = dict(zip(hot, _read(tagger, [whole[k] for k in hot], every=every), strict=True))
     return [(b, reconcile(t, b, read[k]) if k in read else b) for k, (t, b) in enumerate(zip(whole, base, strict=True))]
 
 
 def _told(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[kind]}:{s}:{e}" for s, e, kind in spans)
+    return ",".join(f"{TAGS[kind]}:{s}:{e}" for s, e, kind in spans)
 
 
 def detect(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and all spans, of every row."""
+    """key, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, all spans, n_added of them by the
+    tagger, the secrets, and n_found, the number of spans and secrets, of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(tagger)
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "secrets", "n_found"]
+    kinds = [*[pa.int64()] * len(KINDS), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
-            found = find_spans(tagger, batch["text"].to_pylist())
-            counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
-            digests = pa.array([hashlib.sha256(_told(base).encode()).hexdigest() for base, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch["key"], *counts, digests, pa.array([_told(spans) for _, spans in found], pa.string())], [key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            out = []
+            for base, every in find_spans(sent.value, batch["text"].to_pylist()):
+                personal, secrets = [s for s in every if s[2] < len(KINDS)], [s for s in every if s[2] == len(KINDS)]
+                counts = [sum(s[2] == k for s in base) for k in range(len(KINDS))]
+                out.append((*counts, hashlib.sha256(_told(base).encode()).hexdigest(), _told(personal), len(personal) - len(base), _told(secrets), len(every)))
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch["key"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [key, *names])
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    told = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, kinds, strict=True))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, {told}")
 
 
 def redact(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
-    """The same rows with every span of ``text`` replaced by its kind in angle brackets. A null text stays null."""
+    """The same rows with every span and secret of ``text`` replaced by its kind in angle brackets. A null text stays null."""
+    sent = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, text):
             out = []
-            for x, (_, spans) in zip(batch[text].to_pylist(), find_spans(tagger, batch[text].to_pylist()), strict=True):
+            for x, (_, spans) in zip(batch[text].to_pylist(), find_spans(sent.value, batch[text].to_pylist()), strict=True):
                 parts, at = [], 0
                 for s, e, kind in spans:
                     if s >= at:
-                        parts += [x[at:s], f"<{KINDS[kind]}>"]
+                        parts += [x[at:s], f"<{TAGS[kind]}>"]
                     at = max(at, e)
                 out.append("".join([*parts, x[at:]]) if spans else x)
             k = batch.schema.names.index(text)

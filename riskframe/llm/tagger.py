@@ -5,10 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Tagger:
     """Sequences of character classes (n, length) to labels. Parameters are float32 arrays by name."""
 
@@ -21,27 +17,36 @@ class Tagger:
             self.p |= {f"W{d}": draw(classes, 4 * hidden), f"U{d}": draw(hidden, 4 * hidden), f"b{d}": np.zeros(4 * hidden, np.float32)}
             self.p[f"b{d}"][hidden : 2 * hidden] = 1
 
-    # gates in the order input, forget, output, candidate
-    def _run(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
+    # gates in the order input, forget, output, candidate; both directions take a step together
+    def _run(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """(length, 2, n, hidden): states from the left, and from the right in reversed order."""
         n, length = x.shape
-        k, table, u = self.hidden, self.p[f"W{d}"] + self.p[f"b{d}"], self.p[f"U{d}"]
-        h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
-        out = np.empty((length, n, k), np.float32)
-        for t in range(length) if d == "f" else range(length - 1, -1, -1):
-            z = table[x[:, t]] + h @ u
-            g, a = _sigmoid(z[:, : 3 * k]), np.tanh(z[:, 3 * k :])
+        k, u = self.hidden, np.stack((self.p["Uf"], self.p["Ub"]))
+        into = np.stack([(self.p[f"W{d}"] + self.p[f"b{d}"])[x.T[::step]] for d, step in (("f", 1), ("b", -1))], 1)
+        h, c = np.zeros((2, n, k), into.dtype), np.zeros((2, n, k), into.dtype)
+        out = np.empty((length, 2, n, k), into.dtype)
+        for t in range(length):
+            z = into[t]
+            z += h @ u
+            z[..., : 3 * k] *= 0.5
+            np.tanh(z, out=z)
+            g, a = z[..., : 3 * k], z[..., 3 * k :]
+            g *= 0.5
+            g += 0.5
             before, h_before = c, h
-            c = g[:, k : 2 * k] * c + g[:, :k] * a
+            c = g[..., k : 2 * k] * c + g[..., :k] * a
             s = np.tanh(c)
-            h = g[:, 2 * k :] * s
-            out[t] = h
+            h = np.multiply(g[..., 2 * k :], s, out=out[t])
             if keep is not None:
                 keep.append((t, g, a, before, s, h_before))
         return out
 
+    def _states(self, out: np.ndarray) -> np.ndarray:
+        return np.concatenate((out[:, 0], out[::-1, 1]), 2)
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(length, n, labels)"""
-        return np.concatenate((self._run(x, "f"), self._run(x, "b")), 2) @ self.p["O"] + self.p["c"]
+        return self._states(self._run(x)) @ self.p["O"] + self.p["c"]
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Viterbi labels (n, length)."""
@@ -61,46 +66,51 @@ class Tagger:
     def _loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log-likelihood a sequence, and its gradients."""
         n, length = x.shape
-        kept = {"f": [], "b": []}
-        states = np.concatenate((self._run(x, "f", kept["f"]), self._run(x, "b", kept["b"])), 2)
+        kept: list[tuple] = []
+        states = self._states(self._run(x, kept))
         e, move = states @ self.p["O"] + self.p["c"], self.p["E"]
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-
-        def summed(v: np.ndarray, axis: int) -> np.ndarray:
-            m = v.max(axis, keepdims=True)
-            return (m + np.log(np.exp(v - m).sum(axis, keepdims=True))).squeeze(axis)
-
-        alpha[0] = e[0]
-        for t in range(1, length):
-            alpha[t] = summed(alpha[t - 1][:, :, None] + move, 1) + e[t]
+        # forward and backward in probabilities, scaled at each step
+        top, through = e.max(2, keepdims=True), np.exp(move - move.max())
+        seen, scale = np.exp(e - top), np.empty((length, n, 1), e.dtype)
+        alpha, beta = np.empty_like(e), np.ones_like(e)
+        for t in range(length):
+            alpha[t] = seen[t] if t == 0 else (alpha[t - 1] @ through) * seen[t]
+            scale[t] = alpha[t].sum(1, keepdims=True)
+            alpha[t] /= scale[t]
         for t in range(length - 2, -1, -1):
-            beta[t] = summed(move + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        log_z = summed(alpha[-1], 1)
+            beta[t] = (seen[t + 1] * beta[t + 1] / scale[t + 1]) @ through.T
+        log_z = np.log(scale).sum() + top.sum() + n * (length - 1) * move.max()
         rows, steps = np.arange(n), np.arange(length)
         gold = e[steps[:, None], rows, y.T].sum() + move[y[:, :-1], y[:, 1:]].sum()
-        d_e = np.exp(alpha + beta - log_z[:, None])
-        pair = np.zeros_like(move)
-        for t in range(1, length):
-            pair += np.exp(alpha[t - 1][:, :, None] + move + (e[t] + beta[t])[:, None, :] - log_z[:, None, None]).sum(0)
+        d_e = alpha * beta
+        flat = lambda v: v.reshape(-1, v.shape[-1])
+        pair = through * (flat(alpha[:-1]).T @ flat(seen[1:] * beta[1:] / scale[1:]))
         np.subtract.at(pair, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
         d_e[steps[:, None], rows, y.T] -= 1
-        grads = {"E": pair, "O": np.einsum("tnh,tnl->hl", states, d_e), "c": d_e.sum((0, 1))}
+        grads = {"E": pair, "O": flat(states).T @ flat(d_e), "c": d_e.sum((0, 1))}
         d_h = d_e @ self.p["O"].T
-        k = self.hidden
-        for d, own in (("f", d_h[:, :, :k]), ("b", d_h[:, :, k:])):
-            w, u, b = np.zeros_like(self.p[f"W{d}"]), np.zeros_like(self.p[f"U{d}"]), np.zeros(4 * k, np.float32)
-            into_h, into_c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
-            for t, g, a, before, s, h_before in reversed(kept[d]):
-                dh = own[t] + into_h
-                dc = into_c + dh * g[:, 2 * k :] * (1 - s * s)
-                dz = np.concatenate((dc * a, dc * before, dh * s), 1) * g * (1 - g)
-                dz = np.concatenate((dz, dc * g[:, :k] * (1 - a * a)), 1)
-                np.add.at(w, x[:, t], dz)
-                u += h_before.T @ dz
-                b += dz.sum(0)
-                into_h, into_c = dz @ self.p[f"U{d}"].T, dc * g[:, k : 2 * k]
-            grads |= {f"W{d}": w, f"U{d}": u, f"b{d}": b}
-        return float(log_z.sum() - gold) / n, {name: v / n for name, v in grads.items()}
+        k, back = self.hidden, np.stack((self.p["Uf"].T, self.p["Ub"].T))
+        own = np.stack((d_h[:, :, :k], d_h[::-1, :, k:]), 1)
+        d_z, h_last = np.empty((length, 2, n, 4 * k), e.dtype), np.empty((length, 2, n, k), e.dtype)
+        into_h, into_c = np.zeros((2, n, k), e.dtype), np.zeros((2, n, k), e.dtype)
+        for t, g, a, before, s, h_before in reversed(kept):
+            dh = own[t] + into_h
+            dc = into_c + dh * g[..., 2 * k :] * (1 - s * s)
+            z = d_z[t]
+            z[..., :k], z[..., k : 2 * k], z[..., 2 * k : 3 * k] = dc * a, dc * before, dh * s
+            z[..., : 3 * k] *= g * (1 - g)
+            z[..., 3 * k :] = dc * g[..., :k] * (1 - a * a)
+            h_last[t] = h_before
+            into_h, into_c = z @ back, dc * g[..., k : 2 * k]
+        for side, (d, step) in enumerate((("f", 1), ("b", -1))):
+            # rows of the input table are summed class by class
+            read, gate = x.T[::step].ravel(), flat(np.ascontiguousarray(d_z[:, side]))
+            order = np.argsort(read, kind="stable")
+            used, first = np.unique(read[order], return_index=True)
+            w = np.zeros_like(self.p[f"W{d}"])
+            w[used] = np.add.reduceat(gate[order], first, 0)
+            grads |= {f"W{d}": w, f"U{d}": flat(h_last[:, side]).T @ gate, f"b{d}": gate.sum(0)}
+        return float(log_z - gold) / n, {name: v / n for name, v in grads.items()}
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.03, seed: int = 11) -> list[float]:
         """Adam over shuffled batches; returns the mean loss of each epoch."""
