@@ -35,11 +35,19 @@ class FeatureContract:
     key: tuple[str, ...] = ()
 
 
-def check_names(names: list[str], error: type[RiskError] = DataError) -> None:
-    """Column names are unique (by case) and not empty."""
+def check_names(names: list[str], error: type[RiskError] = DataError, case_sensitive: bool = True) -> None:
+    """Column names are unique and not empty.
+
+    Names that differ only by case are different columns, which a session tells apart if
+    ``spark.sql.caseSensitive`` is true; where it isn't, they are an error here instead of one of analysis.
+    """
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:
         raise error(f"Duplicate column names: {twice}")
+    if not case_sensitive:
+        low = [n.lower() for n in names]
+        if alike := sorted(n for n in names if low.count(n.lower()) > 1):
+            raise error(f"Columns that differ only by case need spark.sql.caseSensitive: {alike}")
     if any(not n.strip() for n in names):
         raise error("Feature names must not be empty")
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.contracts import DriftError, FeatureContract
-from riskframe.functions import number
+from riskframe.functions import count_where, number, quoted
 from riskframe.operators.prefix import running
-from riskframe.operators.validate import check_scorable
+from riskframe.operators.validate import bad_rows, check_scorable, match_schema
+from riskframe.sources.staging import discard, keep
 
 # Limits of the index, and the guard inside its logarithm.
 WARNING, DRIFTED, EPSILON = 0.10, 0.25, 1e-6
@@ -23,9 +24,13 @@ def long_form(df: DataFrame, features: tuple[str, ...] | list[str]) -> DataFrame
     return df.select(F.inline(pairs))
 
 
-def _sorted_edges(df: DataFrame, features: tuple[str, ...], bins: int) -> DataFrame:
+def counted_values(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """ordinal, feature, value, c: how often each value occurs; kept, for edges and bins."""
+    return keep(long_form(df, features).groupBy("ordinal", "feature", "value").agg(F.count("*").alias("c")))
+
+
+def _sorted_edges(counted: DataFrame, bins: int) -> DataFrame:
     """Exact quantiles by running counts of distinct values: nothing is held in one task's memory."""
-    counted = long_form(df, features).groupBy("feature", "value").agg(F.count("*").alias("c"))
     cumulated = running(counted, ["feature"], [F.col("value")], {"upto": "c"})
     totals = cumulated.groupBy("feature").agg(F.max("upto").alias("n"))
     wanted = totals.select("feature", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("q"), "n").withColumn("h", (F.col("n") - 1) * F.col("q") / bins)
@@ -37,10 +42,11 @@ def _sorted_edges(df: DataFrame, features: tuple[str, ...], bins: int) -> DataFr
 
 
 def quantile_edges(df: DataFrame, features: tuple[str, ...], bins: int, method: str) -> dict[str, list[float]]:
-    """Interior edges of each feature, ascending and distinct. ``method``: exact, sorted or approx."""
+    """Interior edges of each feature, ascending and distinct, by Spark's aggregates.
+
+    ``method``: exact (one task holds the distinct values of all features: small tables) or approx.
+    """
     points = [k / bins for k in range(1, bins)]
-    if method == "sorted":
-        return {r.feature: r.edges for r in _sorted_edges(df, features, bins).collect()}
     pick = F.percentile if method == "exact" else F.percentile_approx
     row = df.agg(*(pick(number(f), points if method == "approx" else F.array(*map(F.lit, points))).alias(f"q{k}") for k, f in enumerate(features))).first()
     return {f: sorted(set(row[k])) for k, f in enumerate(features)}
@@ -51,26 +57,43 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
-def binned(df: DataFrame, edges: dict[str, list[float]], features: tuple[str, ...]) -> DataFrame:
-    """feature, ordinal, bin, n: rows of each bin that has any."""
+def binned(df: DataFrame, edges: dict[str, list[float]], features: tuple[str, ...], counted: bool = False) -> DataFrame:
+    """feature, ordinal, bin, n: rows of each bin that has any; ``counted``: df is of :func:`counted_values`."""
     known = F.create_map(*(x for f in features for x in (F.lit(f), F.array(*map(F.lit, edges[f])).cast("array<double>"))))
-    placed = long_form(df, features).withColumn("bin", bin_of(F.col("value"), F.element_at(known, F.col("feature"))))
-    return placed.groupBy("feature", "ordinal", "bin").agg(F.count("*").alias("n"))
+    rows = df if counted else long_form(df, features)
+    placed = rows.withColumn("bin", bin_of(F.col("value"), F.element_at(known, F.col("feature"))))
+    return placed.groupBy("feature", "ordinal", "bin").agg(F.sum("c").alias("n") if counted else F.count("*").alias("n"))
 
 
-def build_profile(df: DataFrame, features: tuple[str, ...] | list[str], bins: int = 10, method: str = "exact") -> DataFrame:
-    """A row a feature (see PROFILE). Means and deviations are of the population."""
+def build_profile(df: DataFrame, features: tuple[str, ...] | list[str], bins: int = 10, method: str = "sorted") -> DataFrame:
+    """A row a feature (see PROFILE). Means and deviations are of the population.
+
+    Two passes: checks and moments in one aggregation, then the counts of values, which give the edges
+    (running counts over ranges, no task holds a column) and the bins.  ``exact`` and ``approx`` take the
+    edges from Spark's percentile aggregates instead.
+    """
     features = tuple(features)
     if not 2 <= bins <= 50:
         raise DriftError("bins must be between 2 and 50")
     if not features:
         raise DriftError("A profile needs at least one feature")
-    check_scorable(df.select(*(number(f).alias(f) for f in features)), FeatureContract(features), DriftError)
-    edges = quantile_edges(df, features, bins, method)
-    moments = df.agg(*(m for k, f in enumerate(features) for m in (F.avg(number(f)).alias(f"m{k}"), F.stddev_pop(number(f)).alias(f"s{k}")))).first()
+    contract = FeatureContract(features)
+    match_schema(df.select(*(F.col(quoted(f)) for f in features)), contract, DriftError)
+    moments = df.agg(*(m for k, f in enumerate(features) for m in (F.avg(number(f)).alias(f"m{k}"), F.stddev_pop(number(f)).alias(f"s{k}"))), F.count("*").alias("rows"), count_where(bad_rows(contract)).alias("bad")).first()
+    if not moments["rows"]:
+        raise DriftError("The table is empty")
+    if moments["bad"]:
+        raise DriftError(f"{moments['bad']} rows have missing or infinite values")
+    if method == "sorted":
+        values = counted_values(df, features)
+        edges = {r.feature: r.edges for r in _sorted_edges(values, bins).collect()}
+    else:
+        values, edges = df, quantile_edges(df, features, bins, method)
     counts: dict[str, dict[int, int]] = {f: {} for f in features}
-    for r in binned(df, edges, features).collect():
+    for r in binned(values, edges, features, method == "sorted").collect():
         counts[r.feature][r.bin] = r.n
+    if method == "sorted":
+        discard(values)
     rows = []
     for k, f in enumerate(features):
         mean, deviation, total = moments[2 * k], moments[2 * k + 1], sum(counts[f].values())
@@ -124,7 +147,8 @@ def assess_drift(profile: DataFrame, df: DataFrame, ignore: tuple[str, ...] = ()
     rows = profile.orderBy("ordinal").collect()
     if not rows:
         raise DriftError("The reference profile is empty")
-    if bad := profile_faults(profile).where("fault IS NOT NULL").collect():
+    bad = [r for r in profile_faults(profile.orderBy("ordinal")).collect() if r.fault]
+    if bad:
         raise DriftError(f"The reference profile is malformed: {bad[0].feature}: {bad[0].fault}")
     features = tuple(r.feature for r in rows)
     own = df.drop(*ignore)

@@ -94,12 +94,26 @@ def fit_logistic(df: DataFrame, contract: FeatureContract, config: TrainingConfi
     return FoldModel(tuple(means), tuple(scales), tuple(map(float, fitted.coefficients)), float(fitted.intercept))
 
 
+#: Isotonic knots that a model keeps as they are; beyond, the steps of its values.
+KNOTS = 1024
+
+
+def thinned(boundaries: list[float], values: list[float], most: int = KNOTS) -> tuple[list[float], list[float]]:
+    """At most ``most`` knots: the first and last of each step of 2 / most in value, so no prediction moves by more."""
+    if len(boundaries) <= most:
+        return boundaries, values
+    step = [min(int(v * (most // 2)), most // 2 - 1) for v in values]
+    kept = [k for k in range(len(values)) if k == 0 or k == len(values) - 1 or step[k] != step[k - 1] or step[k] != step[k + 1]]
+    return [boundaries[k] for k in kept], [values[k] for k in kept]
+
+
 def calibrate(held: DataFrame, contract: FeatureContract, model: FoldModel, method: str) -> Calibrator:
     """A calibrator on rows that the fold's model hasn't seen."""
     scored = held.select(margin(contract.features, model).alias("f"), number(contract.target).alias("y"))
     if method == "isotonic":
         fitted = IsotonicRegression(featuresCol="f", labelCol="y").fit(scored)
-        return Calibrator("isotonic", boundaries=tuple(map(float, fitted.boundaries)), values=tuple(map(float, fitted.predictions)))
+        boundaries, values = thinned(list(map(float, fitted.boundaries)), list(map(float, fitted.predictions)))
+        return Calibrator("isotonic", boundaries=tuple(boundaries), values=tuple(values))
     positive, negative = scored.agg(count_where(F.col("y") == 1), count_where(F.col("y") == 0)).first()
     # Platt's targets: each row stands for a positive and a negative one, with weights
     t = F.when(F.col("y") == 1, (positive + 1) / (positive + 2)).otherwise(1 / (negative + 2))

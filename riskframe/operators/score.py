@@ -11,10 +11,24 @@ from riskframe.operators.fit import FoldModel, margin
 from riskframe.operators.validate import bad_rows, check_scorable, match_schema, score_problems
 
 
+#: Boundaries that are searched in one go; more are searched in two steps.
+SEARCHED = 128
+
+
+def _at_or_below(x: Column, boundaries: tuple[float, ...], b: Column) -> Column:
+    """How many ascending boundaries are at or below x: first whole blocks of them, then one block's."""
+    if len(boundaries) <= SEARCHED:
+        return F.size(F.filter(b, lambda e: e <= x))
+    step = int(len(boundaries) ** 0.5)
+    heads = F.array(*(F.lit(float(n)) for n in boundaries[::step]))
+    block = F.greatest(F.size(F.filter(heads, lambda e: e <= x)) - 1, F.lit(0))
+    return block * step + F.size(F.filter(F.slice(b, block * step + 1, step), lambda e: e <= x))
+
+
 def _interpolated(x: Column, boundaries: tuple[float, ...], values: tuple[float, ...]) -> Column:
     """Linear between boundaries, constant outside."""
     b, v = (F.array(*(F.lit(float(n)) for n in numbers)) for numbers in (boundaries, values))
-    below = F.size(F.filter(b, lambda e: e <= x))
+    below = _at_or_below(x, boundaries, b)
     last = len(boundaries)
     x0, x1 = F.element_at(b, F.greatest(below, F.lit(1))), F.element_at(b, F.least(below + 1, F.lit(last)))
     y0, y1 = F.element_at(v, F.greatest(below, F.lit(1))), F.element_at(v, F.least(below + 1, F.lit(last)))

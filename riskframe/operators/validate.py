@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,28 +17,36 @@ def not_numeric(df: DataFrame, names: list[str] | tuple[str, ...]) -> list[str]:
     return [n for n in names if not isinstance(types[n], T.NumericType)]
 
 
-def validation_report(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, n_rows, n_null, n_nan, n_inf: one pass over all columns, then one row each."""
-    counts = []
+class Counts(NamedTuple):
+    column_name: str
+    n_null: int
+    n_nan: int
+    n_inf: int
+
+
+def tells_case(df: DataFrame) -> bool:
+    return str(df.sparkSession.conf.get("spark.sql.caseSensitive")).lower() == "true"
+
+
+def _counts(columns: list[str] | tuple[str, ...]) -> list[Column]:
+    out = []
     for k, name in enumerate(columns):
         value = number(name)
-        counts += [count_where(value.isNull()).alias(f"null_{k}"), count_where(F.coalesce(F.isnan(value), F.lit(False))).alias(f"nan_{k}"), count_where(is_infinite(value)).alias(f"inf_{k}")]
-    one = df.agg(F.count("*").alias("n_rows"), *counts)
-    rows = F.array(*(F.struct(F.lit(name).alias("column_name"), F.col("n_rows"), *(F.col(f"{kind}_{k}").alias(f"n_{kind}") for kind in ("null", "nan", "inf"))) for k, name in enumerate(columns)))
-    return one.select(F.inline(rows))
+        out += [count_where(value.isNull()).alias(f"null_{k}"), count_where(F.coalesce(F.isnan(value), F.lit(False))).alias(f"nan_{k}"), count_where(is_infinite(value)).alias(f"inf_{k}")]
+    return out
 
 
-def _columns_with(report: list, field: str) -> list[str]:
-    return [r.column_name for r in report if r[field]]
+def validation_report(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column_name, n_rows, n_null, n_nan, n_inf: one pass over all columns, then one row each."""
+    one = df.agg(F.count("*").alias("n_rows"), *_counts(columns))
+    rows = F.array(*(F.struct(F.lit(name).alias("column_name"), F.col("n_rows"), *(F.col(f"{kind}_{k}").alias(f"n_{kind}") for kind in ("null", "nan", "inf"))) for k, name in enumerate(columns)))
+    return one.select(F.inline(rows))
 
 
 def validate(df: DataFrame, target: str, key: tuple[str, ...] = ()) -> FeatureContract:
     """The contract of a labelled table; raises the first failure. Key columns are no features."""
-    if df.isEmpty():
-        raise DataError("The table is empty")
     names = df.columns
-    if len(set(names)) < len(names):
-        check_names(names)
+    check_names([n for n in names if n.strip()], case_sensitive=tells_case(df))
     if target not in names:
         raise DataError(f"Target column {target!r} is absent")
     features = [n for n in names if n != target and n not in key]
@@ -48,21 +58,26 @@ def validate(df: DataFrame, target: str, key: tuple[str, ...] = ()) -> FeatureCo
     kind = df.schema[target].dataType
     label_known = isinstance(kind, (T.NumericType, T.BooleanType))
     checked = [*features, target] if label_known else features
-    report = validation_report(df, checked).collect()
+    # one pass: counts a column, and of the labels
+    y = number(target) if label_known else F.lit(None).cast("double")
+    labels = [F.count("*"), count_where(F.col(quoted(target)).isNull()), count_where(y == 0), count_where(y == 1), count_where(~y.isin(0.0, 1.0))]
+    found = df.agg(*(c.alias(f"label_{k}") for k, c in enumerate(labels)), *_counts(checked)).first()
+    rows, unlabelled, zeros, ones, others = found[: len(labels)]
+    if not rows:
+        raise DataError("The table is empty")
+    report = [Counts(n, *found[len(labels) + 3 * k : len(labels) + 3 * k + 3]) for k, n in enumerate(checked)]
     own = [r for r in report if r.column_name != target]
     if missing := [r.column_name for r in own if r.n_null or r.n_nan]:
         raise DataError(f"Features have missing values: {missing}")
-    if infinite := _columns_with(own, "n_inf"):
+    if infinite := [r.column_name for r in own if r.n_inf]:
         raise DataError(f"Features have infinite values: {infinite}")
-    if not label_known and df.where(F.col(quoted(target)).isNull()).isEmpty():
+    if not label_known and not unlabelled:
         raise DataError(f"Target column {target!r} must be numeric")
     if not label_known or any(r.n_null or r.n_nan for r in report if r.column_name == target):
         raise DataError("Target column contains missing values")
-    y = number(target)
-    zeros, ones, others = df.agg(count_where(y == 0), count_where(y == 1), count_where(~y.isin(0.0, 1.0))).first()
     if others or not zeros or not ones:
-        found = [r[0] for r in df.select(y.alias("y")).distinct().orderBy("y").limit(20).collect()]
-        raise DataError(f"The target must have exactly the labels 0 and 1, found {found}")
+        some = [r[0] for r in df.select(y.alias("y")).distinct().orderBy("y").limit(20).collect()]
+        raise DataError(f"The target must have exactly the labels 0 and 1, found {some}")
     return FeatureContract(tuple(features), target, key)
 
 
@@ -74,7 +89,7 @@ def labelled(df: DataFrame, contract: FeatureContract) -> DataFrame:
 def match_schema(df: DataFrame, contract: FeatureContract, error: type[RiskError] = SchemaError) -> DataFrame:
     """The contract's features in order; target and key may ride along. No job."""
     names = [n for n in df.columns if n != contract.target and n not in contract.key]
-    check_names(df.columns, error)
+    check_names(df.columns, error, tells_case(df))
     missing, unexpected = name_differences(contract.features, names)
     if missing or unexpected:
         raise error(f"Feature schema mismatch: missing={missing}, unexpected={unexpected}")

@@ -141,7 +141,7 @@ def _halves(spark, d):
     return items.where(early), items.where(~early)
 
 
-def _profile(spark, d, method="exact"):
+def _profile(spark, d, method="sorted"):
     return drift.build_profile(_halves(spark, d)[0], DRIFT_FEATURES, 10, method)
 
 
@@ -151,7 +151,7 @@ def reference_profile(spark, d):
 
 
 def profile_bins(spark, d):
-    return _rounded(drift.profile_bins(_profile(spark, d)))
+    return _rounded(drift.profile_bins(_profile(spark, d, "exact")))
 
 
 def profile_bins_sorted(spark, d):

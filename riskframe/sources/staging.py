@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from riskframe.contracts import RiskError
 
@@ -18,8 +19,11 @@ _local: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession) -> str:
+    """A new folder name (not created) below the shared folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RiskError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = tempfile.mkdtemp(prefix="riskframe-")
@@ -31,7 +35,7 @@ def shared_path(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: one layout for all later uses, and no lineage before it.
 
     Once the table is written nothing needs the shuffles that led to it, so they are given back.
@@ -40,10 +44,24 @@ def keep(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def again(kept: DataFrame) -> DataFrame:
+    """A kept table as a new DataFrame, for joins with itself."""
+    return kept.sparkSession.read.schema(kept.schema).parquet(kept._kept_at)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`keep` which no lazy result needs any more."""
+    for df in tables:
+        path, fs = _path(df.sparkSession, df._kept_at)
+        fs.delete(path, True)
 
 
 def _path(spark: SparkSession, path: str):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -14,15 +15,19 @@ from riskframe.sources.staging import exists, publish
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A CSV table with a header. Names must be unique in the files themselves: Spark would rename them."""
+    """A CSV table with a header. Names must be unique in the files themselves: Spark would rename them.
+
+    The first file's header is checked here; while rows are read, every file's header must agree with the
+    schema in names and order (``enforceSchema`` is off), so no file is read into the wrong columns.
+    """
     if not exists(spark, path):
         raise DataError(f"No such table: {path}")
     try:
-        for r in spark.read.text(path).head(1):  # the files of one table share their header
+        for r in spark.read.text(path).head(1):
             names = next(csv.reader([r.value.lstrip("\ufeff")]))
             if len(set(names)) < len(names):
                 raise DataError(f"CSV columns must be unique: {sorted({n for n in names if names.count(n) > 1})}")
-        reader = spark.read.option("header", True).option("mode", "FAILFAST")
+        reader = spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
         df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     except PySparkException as e:
         raise DataError(f"Cannot read {path}: {str(e)[:200]}") from e
@@ -34,7 +39,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 def read_labelled(spark: SparkSession, path: str, target: str = "Class", key: tuple[str, ...] = (), schema: T.StructType | str | None = None) -> tuple[DataFrame, FeatureContract]:
     df = read_csv(spark, path, schema)
     check_names(df.columns)
-    return df, validate(df, target, key)
+    try:
+        return df, validate(df, target, key)
+    except (PySparkException, Py4JJavaError) as e:  # headers and cells are read now
+        raise DataError(f"Cannot read {path}: {str(e)[:200]}") from e
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:

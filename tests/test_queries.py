@@ -2,9 +2,11 @@ import duckdb
 import pandas as pd
 import pytest
 
+from riskframe.plans.checks import CHECKS
 from riskframe.plans.oracle import ORACLE_SQL
-from riskframe.plans.queries import QUERIES
+from riskframe.plans.queries import QUERIES as CORE
 
+QUERIES = CORE | CHECKS
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
