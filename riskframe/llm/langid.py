@@ -35,7 +35,7 @@ SCRIPTS = [
     (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "gurmukhi"), (0x0A80, "gujarati"), (0x0B00, "oriya"), (0x0B80, "tamil"), (0x0C00, "telugu"), (0x0C80, "kannada"),
     (0x0D00, "malayalam"), (0x0D80, "sinhala"), (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "tibetan"), (0x1000, "burmese"), (0x10A0, "georgian"), (0x1100, "hangul"),
     (0x1200, "ethiopic"), (0x13A0, "other"), (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"),
-    (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF5B, "other"), (0x20000, "han"), (0x30000, "other"),
+    (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF5B, "other"), (0x20000, "han"), (0x32400, "other"),
 ]
 _FROM = np.array([start for start, _ in SCRIPTS])
 _NAMES = sorted({name for _, name in SCRIPTS})
@@ -44,9 +44,9 @@ _tables: list[np.ndarray] = []
 
 
 def _characters() -> list[np.ndarray]:
-    """Whether a code point is a letter, and its lower case, for the first three planes."""
+    """Whether a code point is a letter, and its lower case; no letter stands above the last one of the table."""
     if not _tables:
-        every = [chr(c) for c in range(0x30000)]
+        every = [chr(c) for c in range(0x32401)]
         _tables.append(np.array([c.isalpha() for c in every]))
         _tables.append(np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in every], np.uint32))
     return _tables
@@ -59,7 +59,7 @@ class Words:
         alpha, lower = _characters()
         lengths = np.array([len(t or "") + 1 for t in texts], np.int64)
         chars = np.frombuffer("".join((t or "") + "\n" for t in texts).encode("utf-32-le", "replace"), "<u4")
-        chars = np.where(chars < len(alpha), chars, 0x2FFFF)
+        chars = np.minimum(chars, len(alpha) - 1)
         letter = alpha[chars]
         low = np.where(letter, lower[chars], 0).astype(np.uint64)
         around = np.concatenate((np.zeros(1, np.uint64), low, np.zeros(1, np.uint64)))
@@ -142,7 +142,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for batch in words.slices(batches, "text", 4 << 20):
+        for batch in words.slices(batches, "text", 2 << 20):
             labels, texts = np.array(batch["lang"].to_pylist(), object), np.array(batch["text"].to_pylist(), object)
             for name in set(labels):
                 w = Words(texts[labels == name].tolist())
@@ -162,7 +162,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
 
 
 def _labelled(model: LanguageModel, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray]]:
-    for batch in words.slices(batches, "text", max(1 << 16, (16 << 20) // (1 + len(model.languages)))):
+    for batch in words.slices(batches, "text", max(1 << 16, (6 << 20) // (1 + len(model.languages)))):
         w = Words(batch["text"].to_pylist())
         yield batch, w, model.label(w) if model.languages else np.zeros(len(w.first), np.int64)
 

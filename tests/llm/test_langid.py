@@ -1,4 +1,7 @@
 import itertools
+import math
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -13,6 +16,62 @@ def test_held_out_accuracy(spark):
     assert 150 < len(held) < 350 and (held["lang"] == held["lang_pred"]).mean() > 0.97
 
 
+def brute_predictions(rows, asked):
+    """Counts, word scores and the best path once more, word by word, in plain Python."""
+    lower = lambda c: x if len(x := c.lower()) == 1 else c
+    script = lambda c: langid._NAMES[langid._SCRIPT[max(k for k, a in enumerate(langid._FROM) if a <= ord(c))]]
+
+    def buckets(word):
+        chars = [0, *(ord(lower(c)) for c in word), 0]
+        keys = np.array([a << 42 | b << 21 | c for a, b, c in zip(chars, chars[1:], chars[2:], strict=False)], np.uint64)
+        return (langid.mixed(keys, 1) >> np.uint64(48)).tolist()
+
+    words = lambda t: re.findall(r"[^\W\d_]+", t or "")
+    languages = sorted({x for _, x in rows if x})
+    counts, letters = {x: Counter() for x in languages}, {x: Counter() for x in languages}
+    for text, x in rows:
+        for w in words(text) if x else ():
+            counts[x].update(buckets(w))
+            letters[x][script(w[0])] += len(w)
+    totals = {x: sum(c.values()) for x, c in counts.items()}
+    whole = {x: max(1, sum(c.values())) for x, c in letters.items()}
+
+    def score(word, x):
+        near = [y for y in languages if letters[y][script(word[0])] >= langid.SCRIPT_SHARE * whole[y]] or languages
+        fit = sum(math.log((counts[x][b] + 0.1) / (totals[x] + 0.1 * langid.BUCKETS)) for b in buckets(word))
+        return fit - (0 if x in near else 1e6)
+
+    for text in asked:
+        own, best = words(text), []
+        for k, w in enumerate(own):
+            row = {}
+            for x in languages:
+                if not k:
+                    row[x] = (score(w, x), [x])
+                else:
+                    value, path = max(((v - (SWITCH if y != x else 0), p) for y, (v, p) in best.items()), key=lambda o: o[0])
+                    row[x] = (value + score(w, x), [*path, x])
+            best = row
+        if not own:
+            yield "und", 0.0
+            continue
+        path = max(best.values(), key=lambda o: o[0])[1]
+        share = Counter()
+        for w, x in zip(own, path, strict=True):
+            share[x] += len(w)
+        top = max(languages, key=lambda x: (share[x], [-ord(c) for c in x]))
+        yield top, share[top] / sum(share.values())
+
+
+def test_predictions_against_brute_force(spark):
+    table = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    asked = [" ".join(t.split()[:60]) for t, _ in table[:50] if t] + [f"{' '.join((a[0] or '').split()[:9])} {' '.join((b[0] or '').split()[:9])}" for a, b in itertools.pairwise(table[50:80])] + [None, "", "12 !", "\U00030000x\U00030001"]
+    model = langid.train(corpus(spark, table))
+    got = {r.doc_id: r for r in langid.predict(corpus(spark, [(t, None) for t in asked]), model).collect()}
+    for k, (name, share) in enumerate(brute_predictions(table, asked)):
+        assert got[k].lang_pred == name and abs(got[k].score - share) < 1e-9, asked[k]
+
+
 def corpus(spark, rows):
     return spark.createDataFrame([(k, t, x, "clash", 0.5) for k, (t, x) in enumerate(rows)], "doc_id long, text string, lang string, lang_pred string, score double")
 
