@@ -98,7 +98,8 @@ class ShardIndex:
             slot = np.zeros(len(distinct), kind)
             slot[place] = values
             arrays[name] = slot
-        return cls(arrays | {f"level{k}": bits for k, bits in enumerate(made.levels)})
+        levels = {f"level{k}": bits for k, bits in enumerate(made.levels)} | {f"rank{k}": ranks.astype("<i8") for k, ranks in enumerate(made.ranks)}
+        return cls(arrays | levels)
 
     def rows(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First row and number of rows of each key; the number is 0 for a key that isn't there."""
@@ -123,6 +124,37 @@ class ShardIndex:
         return cls(arrays)
 
 
+class StoredIndex:
+    """An index file looked into by seeking: for each key a bit word and its rank on some levels, then one slot."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.arrays = file, {}
+        size = int.from_bytes(file.read(8), "little")
+        at = 8 + size
+        for name, kind, n in json.loads(file.read(size)):
+            self.arrays[name] = (at, np.dtype(kind), n)
+            at += np.dtype(kind).itemsize * n
+        self.n_levels = int(self.read("n_levels", 0)[0])
+
+    def read(self, name: str, row: int, rows: int = 1) -> np.ndarray:
+        at, kind, _ = self.arrays[name]
+        self.file.seek(at + row * kind.itemsize)
+        return np.frombuffer(self.file.read(rows * kind.itemsize), kind)
+
+    def rows(self, key: int) -> tuple[int, int]:
+        """First row and number of rows of a key; the number is 0 for a key that isn't there."""
+        own = np.array([key], np.int64)
+        for k in range(self.n_levels):
+            at = int(mixed(own, k)[0] % np.uint64(64 * self.arrays[f"level{k}"][2]))
+            word, bit = int(self.read(f"level{k}", at >> 6)[0]), at & 63
+            if word >> bit & 1:
+                place = int(self.read(f"rank{k}", at >> 6)[0]) + (word & ((1 << bit) - 1)).bit_count()
+                if self.read("fingerprints", place)[0] != fingerprint(own)[0] or self.read("keys", place)[0] != key:
+                    return 0, 0
+                return int(self.read("first", place)[0]), int(self.read("count", place)[0])
+        return 0, 0
+
+
 class ChunkEncoder:
     """Distinct chunks to bytes of 32-bit ids, by the tokenizers library, which sees each part once.
 
@@ -212,7 +244,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, key: st
     return shards
 
 
-def _open(filesystem: pafs.FileSystem, ids_file: str, index_file: str):
+def _open(filesystem: pafs.FileSystem, ids_file: str, index_file: str) -> tuple[ShardIndex, pa.NativeFile]:
     with filesystem.open_input_stream(index_file) as f:
         index = ShardIndex.load(f.read())
     return index, filesystem.open_input_file(ids_file)
@@ -280,10 +312,11 @@ def lookup_token_files(shards: DataFrame, keys: DataFrame, key: str = "doc_id",
                 own = asked[(asked >= lows[k]) & (asked <= highs[k])]
                 if not len(own):
                     continue
-                index, ids = _open(filesystem, located[k][1], located[k][2])
-                for x, first, count in zip(own, *index.rows(own), strict=True):
+                index, ids = StoredIndex(filesystem.open_input_file(located[k][2])), filesystem.open_input_file(located[k][1])
+                for x in own.tolist():
+                    first, count = index.rows(x)
                     for row in range(first, first + count):
-                        a, b = (int(v) for v in index.arrays["offsets"][row : row + 2])
+                        a, b = (int(v) for v in index.read("offsets", row, 2))
                         ids.seek(a * np.dtype(id_type).itemsize)
                         got = np.frombuffer(ids.read((b - a) * np.dtype(id_type).itemsize), id_type).astype(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([got.tolist()], pa.list_(pa.int64()))], ["doc_id", "ids"])

@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from riskframe.llm.bpe import WordBPE, encode_texts
-from riskframe.llm.token_files import PerfectHash, fingerprint, lookup_token_files, read_token_files, write_token_files
+from riskframe.llm.token_files import ChunkEncoder, PerfectHash, ShardIndex, StoredIndex, fingerprint, lookup_token_files, read_token_files, write_token_files
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -70,6 +71,33 @@ def test_token_files(spark):
     assert read_token_files(write_token_files(docs(spark, []), FILE, 1)).count() == 0
 
 
+def test_stored_index_seeks(tmp_path):
+    keys = np.sort(np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 3000))
+    keys[100:140] = keys[100]  # one key with many rows
+    index = ShardIndex.build(keys, 2, np.arange(3003))
+    (tmp_path / "x.mph").write_bytes(index.dump())
+    stored = StoredIndex(pa.OSFile(str(tmp_path / "x.mph")))
+    asked = [*np.unique(keys)[::7].tolist(), int(keys[100]), 5, -1]
+    first, count = index.rows(np.array(asked))
+    for k, a, n in zip(asked, first, count, strict=True):
+        assert stored.rows(k) == ((int(a), int(n)) if n else (0, 0))
+    assert dict(zip(asked, count, strict=True))[int(keys[100])] == 40
+    empty = ShardIndex.build(keys[:0], 1, np.arange(2))
+    (tmp_path / "y.mph").write_bytes(empty.dump())
+    assert StoredIndex(pa.OSFile(str(tmp_path / "y.mph"))).rows(7) == (0, 0)
+
+
+def test_a_file_of_another_kind_encodes_whole_texts():
+    import public_tokenizers as files
+
+    own = ChunkEncoder(files.path("byte_bpe_50k.json"))
+    assert not own.by_chunk and ChunkEncoder(FILE).by_chunk
+    texts = ["The CAT  sat.", None, "", "a\tb"]
+    flat, begins = own.texts(pa.array(texts))
+    library = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    assert [flat[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_ids_that_do_not_fit(spark):
     with pytest.raises(Exception, match="does not fit"):
         write_token_files(docs(spark, [(1, "hello world", "", "")]), FILE, 1, id_type="u1")
