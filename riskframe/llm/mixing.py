@@ -18,7 +18,9 @@ Likewise the finish times are cut into ranges of equal width, which hold about e
 Defined results: a document without words (null, empty, blanks only) has size 0 and takes 0; equal
 rows are separate documents; documents that share a doc_id and differ in size are ordered by size; a
 null doc_id is a value like others; the last document is cut at the budget, so the mix holds exactly
-as many words as the budget; without words every target is 0; an empty table gives an empty table.
+as many words as the budget; without words every target is 0; an empty table gives an empty table; a
+carried column with the name of a result's own (``size``, ``target``, ...) gets ``_in`` behind its name.
+Sources are ordered in one task: they are few, a row each.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from riskframe.llm import store
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ranges of one unit of finish time.
-RANGES = 2048
+#: Ranges of one unit of finish time at least, and words of a range at most (about).
+RANGES, RANGE_WORDS = 2048, 1 << 21
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
@@ -62,12 +64,16 @@ def sliced(items: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: str = "mix", carry: tuple[str, ...] = (), shuffle_by: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, source and the ``carry`` columns of every document."""
     rows = store.keep(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry, *(c for c in shuffle_by if c not in carry))
-        .withColumns({"row": F.monotonically_increasing_id(), "_by": F.xxhash64(*shuffle_by).cast("string") if shuffle_by else F.lit(None).cast("string")})
+        docs.select(
+            "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *(F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carry)),
+            (F.xxhash64(*shuffle_by).cast("string") if shuffle_by else F.lit(None).cast("string")).alias("_by"),
+        ).withColumn("row", F.monotonically_increasing_id())
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = store.keep(source_targets(sizes, weights, repeats).coalesce(1))
     slim = rows.where("size > 0").select("row", "doc_id", "source", "size", "_by")
+    words = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    unit = max(RANGES, words // RANGE_WORDS)
     # A source's epochs that its target reaches; the table of targets has a row a source.
     epochs = targets.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).where(F.col("epoch") * F.col("source_size") < F.col("target"))
     order = F.md5(F.concat_ws("#", F.lit(seed), F.col("epoch").cast("string"), F.col("doc_id").cast("string"), "_by"))
@@ -83,7 +89,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats:
     )
     # Once every queue has passed its target the budget is spent: later documents take nothing.
     last = finished.where("finish >= 1").groupBy("place").agg(F.min("finish").alias("f")).agg(F.max("f").alias("last"))
-    due = finished.join(last, F.col("finish") <= F.coalesce(F.col("last"), F.lit(float("inf")))).withColumn("range", F.floor(F.col("finish") * RANGES))
+    due = finished.join(last, F.col("finish") <= F.coalesce(F.col("last"), F.lit(float("inf")))).withColumn("range", F.floor(F.col("finish") * unit))
     earlier = W.partitionBy(F.lit(1)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = due.groupBy("range").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     sorted_range = W.partitionBy("range").orderBy("finish", "place", "epoch", "order", "size", "row").rowsBetween(W.unboundedPreceding, 0)
@@ -94,8 +100,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats:
         .groupBy("row").agg(F.sum(F.least(F.col("size"), F.col("budget") - F.col("before"))).alias("taken"))
     )
     with_target = rows.join(targets.select(F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of")))
-    out = with_target.join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source", *carry)
+    out, own = with_target.join(taken, "row", "left"), ("doc_id", "size", "source_size", "target", "taken", "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source", *(F.col(f"_c{k}").alias(c + "_in" if c in own else c) for k, c in enumerate(carry)))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
