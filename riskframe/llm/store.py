@@ -1,66 +1,13 @@
-"""Tables and files that a job keeps in the folder which the cluster shares.
-
-The folder is the one that ``spark.checkpoint.dir`` names.  Only where that setting is absent (a
-local session, as in tests) is a folder of this machine used.
-"""
+"""Tables and files that a job keeps in the folder which the cluster shares (see riskframe.sources.staging)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name (not created) below the shared folder, as a URI or path."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="riskframe-")
-        base = "file://" + _local[app]
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-#: Spark's setting by which a query that has ended gives its shuffle files back.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there.
-
-    Once the table is written nothing needs the shuffles that led to it, so they are given back.
-    """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    kept = spark.read.schema(nullable(df.schema)).parquet(path)
-    kept._kept_at = path
-    return kept
-
-
-def again(kept: DataFrame) -> DataFrame:
-    """A kept table as a new DataFrame, for joins with itself."""
-    return kept.sparkSession.read.schema(kept.schema).parquet(kept._kept_at)
-
-
-def nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
+from riskframe.sources.staging import again, discard, keep
+from riskframe.sources.staging import shared_path as shared_dir
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`keep` which no lazy result needs any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["again", "discard", "keep", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
