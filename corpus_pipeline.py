@@ -7,7 +7,7 @@ columns of documents.  Between stages the rows are written and read again.
    model learns from all documents with a label; without any, every document with letters stays.
 2. near_duplicates: one document of each class of the n-gram Jaccard join stays (five words, 0.8): the one with
    the smallest doc_id, then the smallest hash of its text.  Rows without words are kept, each of them.
-3. personal_data: spans are replaced by their kind in angle brackets.
+3. personal_data: spans, and secrets, are replaced by their kind in angle brackets.
 4. mixing: documents as the mix takes them, repeated documents as repeated rows; what the budget cuts
    off from the last one taken is no reason to drop it.
 5. encoding: ids of the word tokenizer, their number, and the digests of ids and decoded text.
