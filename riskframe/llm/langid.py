@@ -168,7 +168,8 @@ def _labelled(model: LanguageModel, batches: Iterator[pa.RecordBatch]) -> Iterat
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns, lang_pred and score of every row."""
+    """The ``carry`` columns, lang_pred and score of every row; carried ones of these names get ``_in`` behind them."""
+    names_out = [c + "_in" if c in ("lang_pred", "score") else c for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = max(1, len(model.languages))
@@ -181,10 +182,10 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", carry: tu
             names = [model.languages[k] if s else "und" for k, s in zip(top, some, strict=True)]
             share = np.where(some, letters[np.arange(rows), top] / np.maximum(1, whole), 0.0)
             kept = [batch[c] for c in range(len(carry))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(share)], [*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(share)], [*names_out, "lang_pred", "score"])
 
     rows = docs.select(*(F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(carry)), F.col(f"`{text}`").alias("text"))
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    fields = [f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names_out, carry, strict=True)]
     return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double"]))
 
 

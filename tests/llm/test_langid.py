@@ -90,6 +90,7 @@ def test_mixed_text_and_odd_rows(spark):
     text = f"{en} {ru} {ru} {en}"
     assert [s[2] for s in spans] == ["en", "ru", "en"] and text[spans[1][0] : spans[1][1]].strip() == f"{ru} {ru}" and spans[-1][1] == len(text)
     assert langid.predict(tried.limit(0), model).count() == 0
+    assert langid.predict(tried, model, carry=("score", "doc_id")).columns == ["score_in", "doc_id", "lang_pred", "score"]
     nothing = langid.train(docs.limit(0))
     assert {(r.lang_pred, r.score) for r in langid.predict(tried, nothing).collect()} == {("und", 0.0)}
     assert langid.language_spans(tried, nothing).count() == 0
