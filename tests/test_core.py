@@ -1,18 +1,20 @@
 """Golden values and bad inputs of the toolkit's operators."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.contracts import DataError, DriftError, FeatureContract, ModelError, RiskError, SchemaError, TrainingConfig
-from riskframe.operators import drift, fit, metrics, split, threshold, validate
+from riskframe.operators import drift, fit, metrics, score, split, threshold, validate
 from riskframe.operators.curves import score_groups
 from riskframe.operators.fingerprint import fingerprint
 from riskframe.operators.prefix import ranked, running
 from riskframe.plans.train import train
-from riskframe.sources import artifact, generate, tables
+from riskframe.sources import artifact, generate, staging, tables
 from riskframe.streaming import requests
 
 
@@ -227,3 +229,30 @@ def test_requests(spark):
     ids = spark.createDataFrame([("audit-request_123",), ("unsafe id value",), ("abc\n",), ("",), (None,), ("x" * 129,)], "id string")
     safe = [r[0] for r in ids.select(requests.correlation_id(F.col("id"), F.lit("body"))).collect()]
     assert safe[0] == "audit-request_123" and len({*safe[1:]}) == 1 and len(safe[1]) == 32
+
+
+def test_thinned_isotonic_knots_move_predictions_little():
+    rng = random.Random(3)
+    values = sorted(rng.random() for _ in range(20000))
+    boundaries = [float(k) for k in range(20000)]
+    kept, thin = fit.thinned(boundaries, values, 1024)
+    assert len(kept) <= 1024 and (kept[0], kept[-1]) == (boundaries[0], boundaries[-1]) and thin == sorted(thin)
+    assert fit.thinned(boundaries[:1024], values[:1024]) == (boundaries[:1024], values[:1024])
+    worst = max(abs(float(np.interp(x, kept, thin)) - v) for x, v in zip(boundaries, values, strict=True))
+    assert worst <= 2 / 1024
+
+
+def test_long_boundaries_are_searched_in_two_steps(spark):
+    boundaries = tuple(float(k * k) for k in range(300))
+    values = tuple(k / 300 for k in range(300))
+    rows = [(x,) for x in (-5.0, 0.0, 0.5, 1.0, 143.9, 144.0, 9999.0, 89401.0, 1e9)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x double").select(score._interpolated(F.col("x"), boundaries, values)).collect()]
+    assert got == pytest.approx([float(np.interp(x, boundaries, values)) for (x,) in rows])
+
+
+def test_tables_are_kept_and_discarded(spark):
+    kept = staging.keep(spark.range(10))
+    other = staging.again(kept)
+    assert kept.join(other, "id").count() == 10 and staging.exists(spark, kept._kept_at)
+    staging.discard(kept)
+    assert not staging.exists(spark, kept._kept_at)
