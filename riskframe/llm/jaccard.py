@@ -11,9 +11,9 @@ The search itself is DivideSkip.  An index shard is a bounded number of nodes wi
 query's lists are divided: the short ones are merged, and ids that occur often enough there are
 probed by binary search for the shingles of the long ones; those that reach the overlap are links.
 Every shard is searched with its own nodes first, in the order of a minimum hash, then with the
-representatives of what was found, so that large groups of near copies become one class early.  After
-that each node visits every other shard whose signatures share T shingles with it and hold another
-class than its own.  So no link between classes is missed, and none within a class is searched twice.
+representatives of what was found, so that large groups of near copies become one class early.  Nodes
+with fewer than T signature shingles that another class has, too, are settled then.  Each of the others
+visits every other shard whose signatures share T shingles with it and hold another class than its own.  So no link between classes is missed, and none within a class is searched twice.
 
 Defined results: null texts and texts without words have no set and are alone; a set with fewer words
 than a shingle is the whole sequence; equal rows, rows that share a doc_id and null doc_ids are
@@ -36,9 +36,11 @@ from riskframe.llm import store, words
 from riskframe.llm.graph import components
 from riskframe.llm.token_files import mixed
 
-#: nodes of an index shard; queries that one search task takes at a time; shingles put last in the order;
+#: nodes of an index shard at most; queries that one search task takes at a time; shingles put last in the order;
 #: classes up to which a shingle is counted class by class
-SHARD, QUERIES, FREQUENT, CLASSES = 512, 2048, 1 << 19, 64
+SHARD, QUERIES, FREQUENT, CLASSES = 512, 1024, 1 << 19, 64
+#: bytes of shingles of a shard, whatever their number; how often sets are put in the order of a minimum hash
+SHARD_BYTES, TURNS = 8 << 20, 3
 _SET = "node long, n long, tokens binary"
 
 
@@ -146,21 +148,19 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.asarray(table["node"]), [np.frombuffer(t, "<u8") for t in table["tokens"].to_pylist()]
 
 
-def _within(similarity: Similarity):
-    """A shard searched with its own sets: (node, label), label the smallest node of the class."""
-
-    def run(table: pa.Table) -> pa.Table:
-        nodes, sets = _unpack(table.sort_by("node"))
-        shard, label = Shard(sets, similarity), np.arange(len(nodes))
-        for k, s in enumerate(sets):
-            skip = label == label[k]
-            for y in shard.search(s, skip):
-                a, b = sorted((label[k], label[y]))
-                label[label == b] = a
-                skip |= label == a
-        return pa.table({"node": nodes, "label": nodes[label]})
-
-    return run
+def _search_within(nodes: np.ndarray, sets: list[np.ndarray], similarity: Similarity) -> np.ndarray:
+    """The label of each set of a shard, searched with its own sets: the smallest node of its class there."""
+    order = np.argsort(nodes)
+    shard, label = Shard([sets[k] for k in order], similarity), np.arange(len(nodes))
+    for k, s in enumerate(shard.sets):
+        skip = label == label[k]
+        for y in shard.search(s, skip):
+            a, b = sorted((label[k], label[y]))
+            label[label == b] = a
+            skip |= label == a
+    out = np.empty(len(nodes), np.int64)
+    out[order] = nodes[order][label]
+    return out
 
 
 def _across(similarity: Similarity):
@@ -182,27 +182,47 @@ def _across(similarity: Similarity):
     return run
 
 
-def _sharded(sets: DataFrame, turn: int) -> DataFrame:
-    """Adds ``shard``: SHARD neighbours in the order of a minimum hash, cut within ranges of it."""
+def _searched(sets: DataFrame, turn: int, similarity: Similarity) -> DataFrame:
+    """Sets cut into shards and searched there: adds ``shard`` and ``label``.
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [int(mixed(np.frombuffer(t, "<u8"), 1000 + turn).min().astype(np.int64)) for t in batch["tokens"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int64())], [*batch.schema.names, "low"])
+    Neighbours in the order of the turn's minimum hash share a shard, at most SHARD of them and SHARD_BYTES of
+    shingles; ranges of that order are split where one hash is frequent.  Equal nodes are neighbours; one stays.
+    """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at, part = 0, TaskContext.get().partitionId()
+        number, held, size, last = TaskContext.get().partitionId() << 32, [], 0, None
+
+        def shard() -> pa.RecordBatch:
+            nonlocal number, held, size
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            nodes, own = _unpack(rows)
+            number, held, size = number + 1, [], 0
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(nodes), number - 1)), pa.array(_search_within(nodes, own, similarity))], [*rows.schema.names, "shard", "label"])
+
         for batch in batches:
-            shard = (part << 32) + (at + np.arange(batch.num_rows)) // SHARD
-            at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.select(["node", "n", "tokens"]).columns, pa.array(shard)], ["node", "n", "tokens", "shard"])
+            nodes, bytes_ = np.asarray(batch["node"]), np.asarray(pc.binary_length(batch["tokens"]), np.int64)
+            fresh = np.append(True, nodes[1:] != nodes[:-1]) if len(nodes) else np.empty(0, bool)
+            if len(nodes):
+                fresh[0], last = nodes[0] != last, nodes[-1]
+            start, count = 0, sum(b.num_rows for b in held)
+            for k in np.flatnonzero(fresh):
+                if count and (count == SHARD or size + bytes_[k] > SHARD_BYTES):
+                    if k > start:
+                        held.append(batch.take(pa.array(np.flatnonzero(fresh[start:k]) + start)))
+                    yield shard()
+                    start, count = k, 0
+                count, size = count + 1, size + int(bytes_[k])
+            rest = np.flatnonzero(fresh[start:]) + start
+            if len(rest):
+                held.append(batch.take(pa.array(rest)))
+        if held:
+            yield shard()
 
-    keyed = store.keep(sets.select("node", "n", "tokens").mapInArrow(key, _SET + ", low long"))
-    cut_up = store.keep(keyed.repartitionByRange("low", "node").sortWithinPartitions("low", "node").mapInArrow(cut, _SET + ", shard long"))
-    store.discard(keyed)
-    return cut_up
+    names = ", ".join(f"{c} {t}" for c, t in sets.dtypes)
+    ranged = sets.repartitionByRange(f"low{turn}", "node").sortWithinPartitions(f"low{turn}", "node")
+    return store.keep(ranged.mapInArrow(run, names + ", shard long, label long"), "uncompressed")
 
 
 def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
@@ -280,43 +300,68 @@ def _classes(rows: DataFrame, placed: DataFrame, occurrences: DataFrame, active:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "text"):
             sets = shingle_sets(batch["text"], width)
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["wanted", "node", "n", "tokens"])
+            lows = [pa.array([int(mixed(s, 1000 + turn).min().astype(np.int64)) if len(s) else 0 for s in sets], pa.int64()) for turn in range(TURNS)]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *lows], ["wanted", "node", "n", "tokens", *(f"low{k}" for k in range(TURNS))])
 
     one = placed.groupBy("node").agg(F.min(F.struct("mark", "key")).alias("row")).join(active, "node", "left_semi").select("node", F.col("row.mark").alias("own"), F.col("row.key").alias("of"))
     text_of = rows.join(one, (F.col("mark") == F.col("own")) & F.col("key").eqNullSafe(F.col("of"))).select("node", "text")
-    sets = store.keep(text_of.mapInArrow(whole, "wanted long, " + _SET).where("wanted = node").dropDuplicates(["node"]).select("node", "n", "tokens"))
-    home = _sharded(sets, 0)
+    sets = store.keep(text_of.mapInArrow(whole, "wanted long, " + _SET + ", " + ", ".join(f"low{k} long" for k in range(TURNS))).where("wanted = node").drop("wanted"), "uncompressed")
+    home = _searched(sets, 0, sim)
     store.discard(sets)
-    label = store.keep(home.groupBy("shard").applyInArrow(_within(sim), "node long, label long"))
-    for turn in (1, 2):
-        leaders = home.join(label.where("node = label").select("node"), "node", "left_semi")
-        found = (packed := _sharded(leaders, turn)).groupBy("shard").applyInArrow(_within(sim), "node long, label long")
-        moved = store.keep(found.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("to")))
+    label, leaders = home.select("node", "label"), home
+    for turn in range(1, TURNS):
+        # the smallest nodes of the classes so far meet others than before
+        again = _searched(leaders.where("node = label").drop("shard", "label", f"low{turn - 1}"), turn, sim)
+        moved = again.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("to"))
         label = store.keep(label.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-        store.discard(packed)
+        if leaders is not home:
+            store.discard(leaders)
+        leaders = again
+    store.discard(leaders)
+    made, home = home, home.select("node", "n", "tokens", "shard")
     known = store.keep(home.select("node", "shard").join(label, "node"))
 
-    visits = _visits(occurrences.join(known, "node"), sim, least)
+    met = _open(occurrences.join(known, "node"), least)
+    visits = _visits(met, sim, least)
     if visits.isEmpty():
-        store.discard(home)
+        store.discard(made, met, visits)
         return label
+    left = met.select("node", "label").distinct()
+    sets = store.keep(home.join(left, "node").select("node", "label", "shard", "tokens"), "uncompressed")
+    store.discard(made, met)
     parts = visits.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     queries = visits.join(parts, "shard").select("node", "label", "shard", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
-    queries = queries.join(store.again(home).select("node", "tokens"), "node")
-    index = home.join(parts, "shard").join(label, "node").select("shard", "node", "label", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    queries = queries.join(store.again(sets).select("node", "tokens"), "node")
+    index = sets.join(parts, "shard").select("shard", "node", "label", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     linked = store.keep(queries.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInArrow(_across(sim), "a long, b long"))
-    store.discard(home)
+    store.discard(sets, visits)
     merged = components(linked).select(F.col("id").alias("label"), F.col("label").alias("to"))
     return store.keep(label.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
+def _open(met: DataFrame, least) -> DataFrame:
+    """The rows of ``met`` (token, node, n, shard, label) that can still lead to a link between classes.
+
+    Sets of two classes that are linked share T shingles of either signature, so a node needs T of them that
+    another class has, too.  Nodes with fewer are settled; without them fewer shingles are shared, so twice.
+    """
+    met = store.keep(met)
+    for _ in range(2):
+        shared = met.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+        rows = store.keep(met.join(shared, "token").select(*met.columns))
+        nodes = rows.groupBy("node", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("node")
+        left = store.keep(rows.join(nodes, "node", "left_semi"))
+        store.discard(met, rows)
+        met = left
+    return met
+
+
 def _visits(met: DataFrame, sim: Similarity, least) -> DataFrame:
     """(node, label, shard): the shards of lower number where a node can have a partner of another class.
 
     met: (token, node, n, shard, label), the signatures.  Shingles of few classes count by class; those
     of more than CLASSES are counted by shard, as if one class there had them all.
     """
-    met = store.keep(met)
     by_class = met.groupBy("token", "label", F.col("shard").alias("other")).agg(F.min("n").alias("shortest"), F.max("n").alias("longest"))
     spread = by_class.groupBy("token").agg(F.count("*").alias("classes"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
     in_reach = (F.col("longest") * 100 >= F.col("n") * sim.percent) & (F.col("shortest") * sim.percent <= F.col("n") * 100)
@@ -329,7 +374,6 @@ def _visits(met: DataFrame, sim: Similarity, least) -> DataFrame:
     crowd = met.join(by_shard, "token").where((F.col("shard") > F.col("other")) & ((F.col("a") != F.col("label")) | (F.col("b") != F.col("label"))) & in_reach)
     both = own.union(crowd.groupBy("node", "n", "label", "other").agg(F.count("*").alias("c"))).groupBy("node", "n", "label", "other").agg(F.sum("c").alias("c"))
     found = store.keep(both.where(F.col("c") >= least).select("node", "label", F.col("other").alias("shard")))
-    store.discard(met)
     return found
 
 
