@@ -31,8 +31,9 @@ def shared_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-#: Spark's setting by which a query that has ended gives its shuffle files back.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings while a table is kept: a query that has ended gives its shuffle files back, and batches
+#: that go to Python stay small beside an executor's heap.
+WHILE_KEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
@@ -41,12 +42,14 @@ def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
     Once the table is written nothing needs the shuffles that led to it, so they are given back.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    before = {name: spark.conf.get(name) for name in WHILE_KEPT}
     try:
+        for name, value in WHILE_KEPT.items():
+            spark.conf.set(name, value)
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     kept = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])).parquet(path)
     kept._kept_at = path
     return kept
