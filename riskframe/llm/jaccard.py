@@ -13,7 +13,8 @@ probed by binary search for the shingles of the long ones; those that reach the
 Every shard is searched with its own nodes first, in the order of a minimum hash, then with the
 representatives of what was found, so that large groups of near copies become one class early.  Nodes
 with fewer than T signature shingles that another class has, too, are settled then.  Each of the others
-visits every other shard whose signatures share T shingles with it and hold another class than its own.  So no link between classes is missed, and none within a class is searched twice.
+visits every other shard whose signatures share T shingles with it and hold another class than its own.
+So no link between classes is missed, and none within a class is searched twice.
 
 Defined results: null texts and texts without words have no set and are alone; a set with fewer words
 than a shingle is the whole sequence; equal rows, rows that share a doc_id and null doc_ids are
@@ -39,7 +40,7 @@ from riskframe.llm.token_files import mixed
 #: nodes of an index shard at most; queries that one search task takes at a time; shingles put last in the order;
 #: classes up to which a shingle is counted class by class
 SHARD, QUERIES, FREQUENT, CLASSES = 512, 1024, 1 << 19, 64
-#: bytes of shingles of a shard, whatever their number; how often sets are put in the order of a minimum hash
+#: bytes of shingles of a shard at most (a larger set is a shard of its own); how many minimum hashes order the sets
 SHARD_BYTES, TURNS = 8 << 20, 3
 _SET = "node long, n long, tokens binary"
 
