@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from riskframe.llm import mixing, urls
 
+urls_cascade = urls.Cascade
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -58,8 +60,12 @@ def test_urls_odd_rows(spark):
     assert [got[k].host for k in (0, 1, 2, 3, 7)] == ["", "", "", "a.org", "spam.bad.net:80"]
     assert [got[k].rule for k in (3, 4, 5, 6, 10, 11)] == ["org/", None, "example.org/es/", "example.org/en/1", "com/fr/", "com/de/"]
     assert [got[k].verdict for k in range(14)] == ["allow", "allow", "allow", "allow", "block", "block", "block", "allow", "block", "allow", "allow", "block", "block", "block"]
-    joined = urls.judge_urls(pages, listed, most_keys=0)
-    assert sorted(map(str, joined.collect())) == sorted(map(str, urls.judge_urls(pages, listed).collect()))
+    cut = urls.judge_urls(pages, listed, cascade=urls.Cascade(part=1), at_once=2)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, urls.judge_urls(pages, listed).collect()))
+    clash = urls.judge_urls(pages, listed, carry=("page_id", "host"))
+    assert clash.columns == ["page_id", "host_in", "host", "path", "rule", "verdict"] and {r.host_in for r in clash.collect()} == {"h"}
+    by_address = urls.judge_urls(pages, listed.limit(0), rules=(), addresses=spark.createDataFrame([("a.org/x",), ("x.com/fr/",), (None,), ("nowhere",)], "key string"))
+    assert {r.page_id for r in by_address.where("verdict = 'block'").collect()} == {3, 10}
     assert urls.judge_urls(pages.limit(0), listed).count() == 0
     assert {r.verdict for r in urls.judge_urls(pages, listed.limit(0), rules=()).collect()} == {"allow"}
 
@@ -69,6 +75,17 @@ def test_cascade_is_exact(spark):
     cascade = urls.Cascade(hashes=2, bits_per_key=3).fit(keys)
     assert len(cascade.levels) > 3
     assert keys.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
+    parted = urls.Cascade(hashes=2, bits_per_key=3, part=700).fit(keys)
+    assert parted.parts == 5 and keys.where(parted.contains(F.col("key")) != F.col("listed")).count() == 0
+    marked = parted.mark(keys, F.col("key"), "on", at_once=2)
+    assert marked.count() == 20000 and marked.where("on <> listed").count() == 0
+
+
+def test_production_list_has_several_levels(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(urls, "Cascade", lambda: made.append(urls_cascade()) or made[-1])
+    urls.op9_urls(spark, "/root/testdata/sf0.1")
+    assert len(made[0].levels) > 1
 
 
 def test_mixing_of_one_doc_id(spark, request):
@@ -86,3 +103,10 @@ def test_mixing_of_one_doc_id(spark, request):
     assert few(by_size).max() < 40 and few(shuffled).max() == 40
     again = mixing.mix_sources(docs.repartition(7), shuffle_by=("text",)).toPandas()
     assert sorted(shuffled[["size", "taken"]].values.tolist()) == sorted(again[["size", "taken"]].values.tolist())
+
+
+def test_mixing_carries_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7, "r"), (2, None, None, 8, "s")], "doc_id long, text string, source string, size int, row string")
+    got = mixing.mix_sources(docs, carry=("size", "row"))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "source", "size_in", "row"]
+    assert {(r.doc_id, r["size"], r.size_in, r.row) for r in got.collect()} == {(1, 2, 7, "r"), (2, 0, 8, "s")}
