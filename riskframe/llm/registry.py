@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from riskframe.llm import bpe, jaccard, langid, lm, media, mixing, pii, token_files, topk, urls
+from riskframe.llm import audit, bpe, jaccard, langid, lm, media, mixing, pii, token_files, topk, urls
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_urls": urls.op9_urls,
     "op10_pii": pii.op10_pii,
+    "op11_audit": audit.op11_audit,
 }
 ORACLE_SQL = {
     "op2_topk": topk.SQL_OP2,
     "op6_jaccard": jaccard.SQL_OP6,
     "op8_mixing": mixing.SQL_OP8,
     "op9_urls": urls.SQL_OP9,
+    "op11_audit": audit.SQL_OP11,
 }

@@ -116,16 +116,23 @@ def cuts_chunks(spec: dict) -> bool:
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def ascii_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """As :func:`chunks`, for words between any of the six ASCII blanks, A-Z in lower case, without empty ones."""
-    plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+def ascii_words(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As :func:`chunks`, for words between any of the six ASCII blanks, without empty ones; A-Z in lower case if ``fold``."""
+    codes, offsets, distinct = coded_words(texts, fold)
+    return codes, offsets, distinct.to_pylist()
+
+
+def coded_words(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The same with the distinct words as an array."""
+    plain = pc.fill_null(texts.cast(pa.large_string()), "")
+    plain = pc.ascii_lower(plain) if fold else plain
     for blank in "\x0b\x0c":
         plain = pc.replace_substring(plain, blank, " ")
-    codes, offsets, distinct = chunks(plain)
-    if "" not in distinct:
+    codes, offsets, distinct = coded_chunks(plain)
+    empty = pc.index(distinct, pa.scalar("", distinct.type)).as_py()
+    if empty < 0:
         return codes, offsets, distinct
-    empty = distinct.index("")
     full = codes != empty
     bounds = np.concatenate(([0], np.cumsum(full)))[offsets]
     codes = codes[full]
-    return codes - (codes > empty), bounds, distinct[:empty] + distinct[empty + 1 :]
+    return codes - (codes > empty), bounds, distinct.filter(pc.not_equal(distinct, ""))
