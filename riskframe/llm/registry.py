@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from riskframe.llm import audit, bpe, jaccard, langid, lm, media, mixing, pii, token_files, topk, urls
+from riskframe.llm import audit, bpe, codes, jaccard, langid, lm, media, mixing, pii, token_files, topk, urls
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_urls": urls.op9_urls,
     "op10_pii": pii.op10_pii,
     "op11_audit": audit.op11_audit,
+    "op12_codes": codes.op12_codes,
 }
 ORACLE_SQL = {
     "op2_topk": topk.SQL_OP2,
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op8_mixing": mixing.SQL_OP8,
     "op9_urls": urls.SQL_OP9,
     "op11_audit": audit.SQL_OP11,
+    "op12_codes": codes.SQL_OP12,
 }
