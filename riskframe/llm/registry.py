@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from riskframe.llm import audit, bpe, codes, jaccard, langid, lm, media, mixing, pii, token_files, topk, urls
+from riskframe.llm import audit, bpe, codes, jaccard, langid, lm, media, mixing, pii, token_files, topk, toxicity, urls
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_audit": audit.op11_audit,
     "op12_codes": codes.op12_codes,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 ORACLE_SQL = {
     "op2_topk": topk.SQL_OP2,
