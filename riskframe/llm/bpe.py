@@ -288,9 +288,10 @@ class WordBPE:
     def presplit_words(self, part: str) -> list[bytes]:
         if part.isalpha() and part.isascii():
             return [part.lower().encode()]
-        if self._EASY.fullmatch(part):
-            lower = part.lower()
-            return [lower.encode()] if part.isalpha() else [w.encode() for w in self._WORDS.findall(lower)]
+        lower = part.lower()
+        # some letters leave these scripts in lower case
+        if self._EASY.fullmatch(part) and self._EASY.fullmatch(lower):
+            return [lower.encode()] if lower.isalpha() else [w.encode() for w in self._WORDS.findall(lower)]
         return [bytes([self.byte_of[c] for c in w]) for w, _ in self.presplit(self.normalise(part))]
 
     def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -32,6 +32,16 @@ def test_automaton_equals_library():
         assert own.labels(got) == library.decode(expected, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("form", ["a{}b", "\"{}li", "l'{}we", "{}2", "9({}.", "X{}-{}!?"])
+def test_every_character_beside_letters_punctuation_and_digits(form):
+    library, own = Tokenizer.from_file(FILE), WordBPE(FILE).ready()
+    chunks = [form.replace("{}", chr(c)) for c in range(33, 0x10000) if not 0xD800 <= c < 0xE000]
+    _, ids, labels = own.parts(pa.array(chunks, pa.large_string()))
+    want = [e.ids for e in library.encode_batch(chunks, add_special_tokens=False)]
+    assert [c for c, i, w in zip(chunks, ids.to_pylist(), want, strict=True) if i != " ".join(map(str, w))] == []
+    assert [c for c, t, w in zip(chunks, labels.to_pylist(), library.decode_batch(want, skip_special_tokens=False), strict=True) if t != w] == []
+
+
 def test_encode_texts(spark):
     library = Tokenizer.from_file(FILE)
     rows = [(k, x, "a", "b") for k, x in enumerate(ODD)] + [(3, ODD[4], None, None), (None, "no key", None, None)]
