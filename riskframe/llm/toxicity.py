@@ -19,7 +19,8 @@ segment is significant where at most SIGNIFICANT are expected.  The logs of how
 text's significant segments are, summed, become a probability by the rising curve that fits the labels of all training
 documents best (counts by label in a fixed number of bins, adjacent violators pooled).
 
-Scale: texts are read where they lie; word counts are summed in tasks before they are shuffled; hot words
+Scale: texts to score are read where they lie; those to learn from meet their labels by one shuffle and are
+kept while they are read three times; word counts are summed in tasks before they are shuffled; hot words
 spread over their surroundings; the driver gets the lexicon, whose features each differ from chance, and
 the bins.
 
@@ -331,7 +332,13 @@ def fitted_curve(bins: list[tuple[float, int, int]], share: float) -> tuple[tupl
 
 def train(docs: DataFrame, text: str = "text", toxic: str = "toxic") -> ToxicityModel:
     """A model of all given documents whose label isn't null."""
-    rows = docs.where(F.col(f"`{toxic}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), (F.col(f"`{toxic}`") == 1).cast("int").alias("toxic"))
+    rows = store.keep(docs.where(F.col(f"`{toxic}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), (F.col(f"`{toxic}`") == 1).cast("int").alias("toxic")), "zstd")
+    model = _trained(rows)
+    store.discard(rows)
+    return model
+
+
+def _trained(rows: DataFrame) -> ToxicityModel:
     n, ones = rows.agg(F.count("*"), F.sum("toxic")).first()
     share = (ones or 0) / n if n else 0.0
     if not ones or ones == n:
@@ -373,9 +380,12 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of the labelled documents whose crc32 of the id doesn't leave 1 by 3."""
+    """text and toxic of the labelled documents whose crc32 of the id doesn't leave 1 by 3.
+
+    Labels grow with the documents, so the two meet by shuffle at every size.
+    """
     said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("_toxic"))
-    return docs.where(~held_out_third(F.col("doc_id"))).select("doc_id", "text").join(said, "doc_id").select("text", F.col("_toxic").alias("toxic"))
+    return docs.where(~held_out_third(F.col("doc_id"))).select("doc_id", "text").join(said.hint("merge"), "doc_id").select("text", F.col("_toxic").alias("toxic"))
 
 
 def held_out_third(key: Column) -> Column:
