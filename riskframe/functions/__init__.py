@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def quoted(name: str) -> str:
@@ -50,3 +53,10 @@ def dot(values: list[Column], weights: list[float]) -> Column:
     """Sum of products as one array expression: long sums by + would overflow the analyzer's stack."""
     products = F.zip_with(F.array(*values), F.array(*(F.lit(float(w)) for w in weights)), lambda a, b: a * b)
     return F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table that needs no worker to be read."""
+    fields = StructType.fromDDL(schema).fields
+    columns = {f.name: pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(fields)}
+    return spark.createDataFrame(pa.table(columns), StructType.fromDDL(schema))

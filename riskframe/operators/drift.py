@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.contracts import DriftError, FeatureContract
-from riskframe.functions import count_where, number, quoted
-from riskframe.operators.prefix import running
+from riskframe.functions import count_where, is_finite, local_table, number, quoted
+from riskframe.operators.selection import order_statistics, sketch
 from riskframe.operators.validate import bad_rows, check_scorable, match_schema
-from riskframe.sources.staging import discard, keep
 
 # Limits of the index, and the guard inside its logarithm.
 WARNING, DRIFTED, EPSILON = 0.10, 0.25, 1e-6
@@ -24,21 +23,30 @@ def long_form(df: DataFrame, features: tuple[str, ...] | list[str]) -> DataFrame
     return df.select(F.inline(pairs))
 
 
-def counted_values(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """ordinal, feature, value, c: how often each value occurs; kept, for edges and bins."""
-    return keep(long_form(df, features).groupBy("ordinal", "feature", "value").agg(F.count("*").alias("c")))
+def _quantile_ranks(n: int, bins: int) -> list[tuple[float, int, int]]:
+    """Of each interior quantile: its place among n sorted values, and the ranks beside it."""
+    places = [(n - 1) * q / bins for q in range(1, bins)]
+    return [(h, math.floor(h), math.ceil(h)) for h in places]
 
 
-def _sorted_edges(counted: DataFrame, bins: int) -> DataFrame:
-    """Exact quantiles by running counts of distinct values: nothing is held in one task's memory."""
-    cumulated = running(counted, ["feature"], [F.col("value")], {"upto": "c"})
-    totals = cumulated.groupBy("feature").agg(F.max("upto").alias("n"))
-    wanted = totals.select("feature", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("q"), "n").withColumn("h", (F.col("n") - 1) * F.col("q") / bins)
-    hit = cumulated.join(wanted, "feature")
-    low = hit.where((F.col("upto") - F.col("c") <= F.floor("h")) & (F.floor("h") < F.col("upto"))).select("feature", "q", "h", F.col("value").alias("a"))
-    high = hit.where((F.col("upto") - F.col("c") <= F.ceil("h")) & (F.ceil("h") < F.col("upto"))).select("feature", "q", F.col("value").alias("b"))
-    at = low.join(high, ["feature", "q"]).withColumn("edge", F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h")))
-    return at.groupBy("feature").agg(F.array_sort(F.collect_set("edge")).alias("edges"))
+def _selected(df: DataFrame, features: tuple[str, ...], bins: int, sketched: dict[str, tuple[int, bytearray]]) -> tuple[dict[str, list[float]], dict[str, list[int]]]:
+    """Edges of each feature, and rows of each bin, from the values at the ranks beside the quantiles.
+
+    No value lies between two such neighbours, so how many are below an edge follows from their counts.
+    """
+    ranks = {f: sorted({r for _, low, high in _quantile_ranks(n, bins) for r in (low, high)}) for f, (n, _) in sketched.items()}
+    places = order_statistics(long_form(df, features), "feature", "value", ranks, sketched)
+    edges, counts = {}, {}
+    for f, (n, _) in sketched.items():
+        below: dict[float, int] = {}
+        for h, low, high in _quantile_ranks(n, bins):
+            a, b = places[f, low], places[f, high]
+            edge = a.value + (b.value - a.value) * (h - low)
+            below[edge] = a.below if edge <= a.value else a.below + a.equal
+        edges[f] = sorted(below)
+        upto = [0, *(below[e] for e in edges[f]), n]
+        counts[f] = [b - a for a, b in zip(upto, upto[1:], strict=False)]
+    return edges, counts
 
 
 def quantile_edges(df: DataFrame, features: tuple[str, ...], bins: int, method: str) -> dict[str, list[float]]:
@@ -57,20 +65,20 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
-def binned(df: DataFrame, edges: dict[str, list[float]], features: tuple[str, ...], counted: bool = False) -> DataFrame:
-    """feature, ordinal, bin, n: rows of each bin that has any; ``counted``: df is of :func:`counted_values`."""
+def binned(df: DataFrame, edges: dict[str, list[float]], features: tuple[str, ...]) -> DataFrame:
+    """feature, ordinal, bin, n: rows of each bin that has any; bin -1 has missing and infinite values."""
     known = F.create_map(*(x for f in features for x in (F.lit(f), F.array(*map(F.lit, edges[f])).cast("array<double>"))))
-    rows = df if counted else long_form(df, features)
-    placed = rows.withColumn("bin", bin_of(F.col("value"), F.element_at(known, F.col("feature"))))
-    return placed.groupBy("feature", "ordinal", "bin").agg(F.sum("c").alias("n") if counted else F.count("*").alias("n"))
+    placed = F.when(is_finite(F.col("value")), bin_of(F.col("value"), F.element_at(known, F.col("feature")))).otherwise(-1)
+    return long_form(df, features).groupBy("feature", "ordinal", placed.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def build_profile(df: DataFrame, features: tuple[str, ...] | list[str], bins: int = 10, method: str = "sorted") -> DataFrame:
+def build_profile(df: DataFrame, features: tuple[str, ...] | list[str], bins: int = 10, method: str = "selected") -> DataFrame:
     """A row a feature (see PROFILE). Means and deviations are of the population.
 
-    Two passes: checks and moments in one aggregation, then the counts of values, which give the edges
-    (running counts over ranges, no task holds a column) and the bins.  ``exact`` and ``approx`` take the
-    edges from Spark's percentile aggregates instead.
+    Two passes over the rows: checks, moments and a quantile sketch a feature in one aggregation, then exact
+    selection of the values beside the quantiles, which gives the edges and the rows of each bin (see
+    :mod:`riskframe.operators.selection`; very large tables take a pass or two more).  ``exact`` and
+    ``approx`` take the edges from Spark's percentile aggregates instead.
     """
     features = tuple(features)
     if not 2 <= bins <= 50:
@@ -79,28 +87,26 @@ def build_profile(df: DataFrame, features: tuple[str, ...] | list[str], bins: in
         raise DriftError("A profile needs at least one feature")
     contract = FeatureContract(features)
     match_schema(df.select(*(F.col(quoted(f)) for f in features)), contract, DriftError)
-    moments = df.agg(*(m for k, f in enumerate(features) for m in (F.avg(number(f)).alias(f"m{k}"), F.stddev_pop(number(f)).alias(f"s{k}"))), F.count("*").alias("rows"), count_where(bad_rows(contract)).alias("bad")).first()
+    own = [(F.avg(number(f)).alias(f"m{k}"), F.stddev_pop(number(f)).alias(f"s{k}"), *([sketch(number(f), "double").alias(f"q{k}")] if method == "selected" else [])) for k, f in enumerate(features)]
+    moments = df.agg(*(m for parts in own for m in parts), F.count("*").alias("rows"), count_where(bad_rows(contract)).alias("bad")).first()
     if not moments["rows"]:
         raise DriftError("The table is empty")
     if moments["bad"]:
         raise DriftError(f"{moments['bad']} rows have missing or infinite values")
-    if method == "sorted":
-        values = counted_values(df, features)
-        edges = {r.feature: r.edges for r in _sorted_edges(values, bins).collect()}
+    if method == "selected":
+        edges, counts = _selected(df, features, bins, {f: (moments["rows"], moments[f"q{k}"]) for k, f in enumerate(features)})
     else:
-        values, edges = df, quantile_edges(df, features, bins, method)
-    counts: dict[str, dict[int, int]] = {f: {} for f in features}
-    for r in binned(values, edges, features, method == "sorted").collect():
-        counts[r.feature][r.bin] = r.n
-    if method == "sorted":
-        discard(values)
+        edges = quantile_edges(df, features, bins, method)
+        counts = {f: [0] * (len(edges[f]) + 1) for f in features}
+        for r in binned(df, edges, features).collect():
+            counts[r.feature][r.bin] = r.n
     rows = []
     for k, f in enumerate(features):
-        mean, deviation, total = moments[2 * k], moments[2 * k + 1], sum(counts[f].values())
+        mean, deviation = moments[f"m{k}"], moments[f"s{k}"]
         if not all(math.isfinite(x) for x in (*edges[f], mean, deviation)):
             raise DriftError(f"The profile of {f!r} overflows: values are too large")
-        rows.append((f, k, edges[f], [counts[f].get(b, 0) / total for b in range(len(edges[f]) + 1)], mean, deviation))
-    return df.sparkSession.createDataFrame(rows, PROFILE)
+        rows.append((f, k, edges[f], [n / moments["rows"] for n in counts[f]], mean, deviation))
+    return local_table(df.sparkSession, rows, PROFILE)
 
 
 def profile_bins(profile: DataFrame) -> DataFrame:
@@ -151,9 +157,13 @@ def assess_drift(profile: DataFrame, df: DataFrame, ignore: tuple[str, ...] = ()
     if bad:
         raise DriftError(f"The reference profile is malformed: {bad[0].feature}: {bad[0].fault}")
     features = tuple(r.feature for r in rows)
-    own = df.drop(*ignore)
-    check_scorable(own, FeatureContract(features), DriftError)
-    counts = binned(own, {r.feature: r.interior_edges for r in rows}, features)
+    own, contract = df.drop(*ignore), FeatureContract(features)
+    match_schema(own, contract, DriftError)
+    # one pass: at most bins times features rows, which all that follows is made of
+    found = binned(own, {r.feature: r.interior_edges for r in rows}, features).collect()
+    if not found or any(r.bin < 0 for r in found):
+        check_scorable(own, contract, DriftError)
+    counts = local_table(df.sparkSession, [tuple(r) for r in found], "feature string, ordinal int, bin int, n long")
     detail = psi_by_feature(profile_bins(profile), counts)
     return detail.orderBy(F.col("psi").desc(), "ordinal"), drift_summary(detail, counts)
 

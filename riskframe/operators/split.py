@@ -1,6 +1,7 @@
 """Splits into train, validation and test rows, and calibration folds. All are exact and repeatable.
 
-Rows carry a ``split`` column, so the parts are disjoint and complete.  Order needs a unique key.
+Rows carry a ``split`` column, so the parts are disjoint and complete.  Order needs a unique key: of rows
+that are equal in all of it, any may come first.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskframe.contracts import DataError, FeatureContract, TrainingConfig
 from riskframe.functions import quoted
+from riskframe.operators.cutoffs import TiedError, all_positions, cutoffs
 from riskframe.operators.prefix import ranked
 
 
@@ -44,18 +46,45 @@ def shuffle_order(contract: FeatureContract, seed: int) -> list[Column]:
     return [F.md5(F.concat_ws("#", F.lit(str(seed)), *(k.cast("string") for k in key))), *key]
 
 
+def _parted(df: DataFrame, group: Column | None, order: list[Column], sizes: dict[int, list[int]], names: list[str] | None, column: str) -> DataFrame:
+    """Adds ``column``: which of consecutive parts a row is in, by its place in ``order`` within its group.
+
+    sizes: of each group, the numbers of rows of its parts; names: of the parts, numbers from 1 without.  The
+    cutoffs between parts are found by selection and rows are told by a filter; where rows that are
+    equal in the whole order lie on both sides of a cutoff, rows are ranked instead.
+    """
+    own, last = F.lit(0) if group is None else group, max(map(len, sizes.values()))
+    label = lambda k: F.lit(names[k] if names else k + 1)
+    ends = {g: [sum(parts[: k + 1]) for k in range(len(parts) - 1)] for g, parts in sizes.items()}
+    try:
+        places = all_positions(df, order)
+        cuts = cutoffs(df, own, places, ends)
+        before = {(g, n): cut.holds(places) for (g, n), cut in cuts.items()}
+        ready = df
+    except TiedError:
+        ordered = [f"_order_{k}" for k in range(len(order))]
+        keyed = df.withColumns(dict(zip(ordered, order, strict=True))).withColumn("_group", own)
+        ready = ranked(keyed, ["_group"], [F.col(c) for c in ordered], "_rank").drop("_group", *ordered)
+        before = {(g, n): F.col("_rank") <= n for g, ns in ends.items() for n in ns}
+    part = F.lit(None).cast("string" if names else "int")
+    for g, ns in ends.items():
+        inside = label(last - 1) if len(ns) == last - 1 else label(len(ns))
+        for k in reversed(range(len(ns))):
+            inside = F.when(before[g, ns[k]], label(k)).otherwise(inside)
+        part = inside if group is None else F.when(own == g, inside).otherwise(part)
+    return ready.withColumn(column, part).drop("_rank")
+
+
 def stratified_split(df: DataFrame, contract: FeatureContract, config: TrainingConfig) -> DataFrame:
     """Test rows first, then validation rows from what is left, in each class."""
-    y = quoted(contract.target)
-    ordered = [f"_order_{k}" for k in range(1 + len(contract.key))]
-    shuffled = df.withColumns(dict(zip(ordered, shuffle_order(contract, config.random_state), strict=True)))
-    place, split = F.col("_rank"), F.lit("train")
+    sizes = {}
     for label, n in class_counts(df, contract.target).items():
         n_test = round(n * config.test_size)
         n_validation = round((n - n_test) * (config.validation_size / (1 - config.test_size)))
-        own = F.when(place <= n_test, "test").when(place <= n_test + n_validation, "validation").otherwise("train")
-        split = F.when(F.col(y).cast("int") == label, own).otherwise(split)
-    return ranked(shuffled, [contract.target], [F.col(c) for c in ordered], "_rank").withColumn("split", split).drop("_rank", *ordered)
+        sizes[label] = [n_test, n_validation, n - n_test - n_validation]
+    if not sizes:
+        return df.withColumn("split", F.lit("train"))
+    return _parted(df, F.col(quoted(contract.target)).cast("int"), shuffle_order(contract, config.random_state), sizes, ["test", "validation", "train"], "split")
 
 
 def temporal_split(df: DataFrame, contract: FeatureContract, config: TrainingConfig) -> DataFrame:
@@ -67,10 +96,8 @@ def temporal_split(df: DataFrame, contract: FeatureContract, config: TrainingCon
     n_train = n - n_test - n_validation
     if n_train < 1:
         raise DataError("The temporal split leaves no training rows")
-    place = F.col("_rank")
-    split = F.when(place <= n_train, "train").when(place <= n_train + n_validation, "validation").otherwise("test")
-    out = ranked(df, [], [F.col(quoted(config.time_column)), *_need_key(contract)], "_rank").withColumn("split", split).drop("_rank")
-    return out
+    order = [F.col(quoted(config.time_column)), *_need_key(contract)]
+    return _parted(df, None, order, {0: [n_train, n_validation, n_test]}, ["train", "validation", "test"], "split")
 
 
 def check_classes(df: DataFrame, target: str) -> None:
@@ -105,11 +132,5 @@ def assign_folds(df: DataFrame, contract: FeatureContract, folds: int, order: li
     counts = class_counts(df, contract.target)
     if min(counts.get(0, 0), counts.get(1, 0)) < folds:
         raise DataError(f"A class has fewer rows than the {folds} calibration folds")
-    ordered = [f"_order_{k}" for k in range(len(order))]
-    place, fold = F.col("_rank") - 1, F.lit(None).cast("int")
-    for label, n in counts.items():
-        size, longer = divmod(n, folds)
-        own = F.when(place < longer * (size + 1), F.floor(place / (size + 1))).otherwise(longer + F.floor((place - longer * (size + 1)) / size))
-        fold = F.when(F.col(quoted(contract.target)).cast("int") == label, own + 1).otherwise(fold)
-    numbered = ranked(df.withColumns(dict(zip(ordered, order, strict=True))), [contract.target], [F.col(c) for c in ordered], "_rank")
-    return numbered.withColumn("fold", fold.cast("int")).drop("_rank", *ordered)
+    sizes = {label: [n // folds + (k < n % folds) for k in range(folds)] for label, n in counts.items()}
+    return _parted(df, F.col(quoted(contract.target)).cast("int"), order, sizes, None, "fold")

@@ -141,7 +141,7 @@ def _halves(spark, d):
     return items.where(early), items.where(~early)
 
 
-def _profile(spark, d, method="sorted"):
+def _profile(spark, d, method="selected"):
     return drift.build_profile(_halves(spark, d)[0], DRIFT_FEATURES, 10, method)
 
 
@@ -155,7 +155,7 @@ def profile_bins(spark, d):
 
 
 def profile_bins_sorted(spark, d):
-    return _rounded(drift.profile_bins(_profile(spark, d, "sorted")))
+    return _rounded(drift.profile_bins(_profile(spark, d, "selected")))
 
 
 def drift_features(spark, d):
