@@ -13,9 +13,11 @@ ones, and what overlaps an accepted span goes.  An added span must pass the chec
 looks at what the span says (digits and Luhn, four parts up to 255, a name, an at sign or word and a
 domain) and not at how it is written.
 
-Every check asks for a digit, an at sign, a bracketed "at" or the word "dot", so a window without one
-of these, and without such a neighbour, can yield no accepted span: it is not read, and the result is
-that of reading all windows (tested; ``every=True`` reads all).
+An added span must hold a digit, an at sign, a bracketed "at" or the word "dot" of its text (a trigger).
+Windows with a trigger are read first, then those that a found span meets or touches, until there is
+no such window left; windows that are never read can't be part of an accepted span, so the result is
+that of reading all windows (tested, also on long entities; ``every=True`` reads all).  A span that ends
+inside a word takes on the rest of it.
 
 Defined results: a null text is the empty text and has no spans; texts of any length are read whole;
 rows that repeat or have null ids give a row each; an empty table gives an empty result; without any
@@ -24,6 +26,7 @@ text to learn from the tagger is trained on the drawn examples alone.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import ipaddress
 import random
@@ -42,7 +45,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: what the tagger tells apart: the kinds, and secrets
 TAGS = (*KINDS, "secret")
 #: characters of a window and of what two windows share, and of a window that trains; windows of the corpus and drawn ones that train
-WINDOW, SHARED, LEARNT, TRAIN_WINDOWS, DRAWN = 96, 48, 72, 800, 5000
+WINDOW, SHARED, LEARNT, TRAIN_WINDOWS, DRAWN = 96, 48, 72, 800, 7000
+#: parts of the training windows that train side by side, and how often
+SHARDS, EPOCHS = 4, 14
 #: the tags of drawn examples, in turn: more of those with many forms
 TURNS = (0, 3, 1, 0, 3, 2, 0, 3, 1, 4)
 Span = tuple[int, int, int]  # start, end, kind
@@ -138,7 +143,7 @@ class Grammar:
         name = name or self._word(1, 9) + rng.choice(["", ".", "_", "-"]) + rng.choice(["", self._word(1, 7), self._number(2)])
         name = name.rstrip("._-")
         host = host or rng.choice(["mail.", "", "", f"mail{self._number(1)}."]) + self._word(3, 9) + "." + rng.choice(["com", "org", "net", "co.uk", "de", "example.com", "fr", "info"])
-        at = self._pick([" @ ", "@ ", " @", "[at]", "(at)", " (at) ", " [at] ", " at ", " AT "], ["{at}", " {at} ", "<at>", " [ at ] "])
+        at = self._pick([" @ ", "@ ", " @", "[at]", "(at)", " (at) ", " [at] ", *[" at ", " AT "] * 3], ["{at}", " {at} ", "<at>", " [ at ] "])
         dot = rng.choice([" dot ", " DOT "]) if at.strip().lower() == "at" else rng.choice([".", ".", "[dot]", "(dot)", " dot ", " . "] if "@" not in at else [".", ".", " . ", ". "])
         return name.replace(".", dot if rng.random() < 0.3 else ".") + at + host.replace(".", dot)
 
@@ -157,18 +162,18 @@ class Grammar:
 
     def phone(self, digits: str = "") -> str:
         rng = self.rng
-        d = digits or self._number(rng.choice([10, 10, 10, 11, 9]))
+        d = digits or self._number(rng.choice([10, 10, 10, 11, 11, 9]))
         if len(d) == 10 and rng.random() < 0.7:
             a, b, c = d[:3], d[3:6], d[6:]
-            seen = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"{a} {b} {c}", f"({a}){b}-{c}", f"1-{a}-{b}-{c}", f"{a} {b}-{c}", f"1 ({a}) {b}-{c}", f"001 {a} {b} {c}"]
+            seen = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", *[f"{a}.{b}.{c}"] * 5, f"({a}) {b} {c}", f"{a} {b} {c}", f"({a}){b}-{c}", f"1-{a}-{b}-{c}", f"{a} {b}-{c}", f"1 ({a}) {b}-{c}", f"001 {a} {b} {c}"]
             return self._pick(seen, [f"{a}/{b}/{c}", f"({a}) {b}.{c}", f"{a} - {b} - {c}", f"1.{a}.{b}.{c}", f"[{a}] {b}-{c}"])
-        sizes = rng.choice([[2, 3, 3, 4], [3, 4, 4], [4, 6], [3, 2, 2, 2, 2], [5, 5, 2], [2, 2, 2, 2, 2, 2]])
-        return self._pick(["00", "0", ""], ["00 ", "0-"]) + self._cut(d, sizes, rng.choice([" ", "-", ".", "/", " "]))
+        sizes = rng.choice([[2, 2, 7], [2, 2, 7], [2, 3, 6], [2, 3, 3, 4], [3, 4, 4], [4, 6], [3, 2, 2, 2, 2], [5, 5, 2], [2, 2, 2, 2, 2, 2]])
+        return self._pick(["00", "00", "0", ""], ["00 ", "0-"]) + self._cut(d, sizes, rng.choice([" ", "-", ".", "/", " "]))
 
     def secret(self) -> str:
         kinds = ["0123456789abcdef"] * 3 + ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789_-"]
         n = self.rng.choice([20, 24, 32, 40, 40])
-        return self._pick(["", "", "", "sk-", "ghp_", "AKIA", "xoxb-"], ["pk_", "glpat-"]) + self._word(n, n, self.rng.choice(kinds))
+        return self._pick(["", "", "", "sk-", "ghp_", "AKIA", "AKIA", "xoxb-"], ["pk_", "glpat-"]) + self._word(n, n, self.rng.choice(kinds))
 
     def plain(self, kind: int) -> str:
         """An entity as the base patterns write it."""
@@ -254,13 +259,16 @@ def _sample(docs: DataFrame, text: str, windows: int) -> list:
     return some
 
 
-def train(docs: DataFrame, text: str = "text", windows: int = TRAIN_WINDOWS, drawn: int = DRAWN, epochs: int = 8, hidden: int = 24) -> Tagger:
-    """Labelled windows of the corpus, at most ``windows`` with a span and as many without, and ``drawn`` ones."""
-    return train_on(_sample(docs, text, windows), drawn, epochs, hidden)
+def train(docs: DataFrame, text: str = "text", windows: int = TRAIN_WINDOWS, drawn: int = DRAWN, epochs: int = EPOCHS, hidden: int = 24) -> Tagger:
+    """Labelled windows of the corpus, at most ``windows`` with a span and as many without, and ``drawn`` ones.
 
+    The SHARDS parts of these train in tasks side by side.
+    """
+    return train_on(_sample(docs, text, windows), drawn, epochs, hidden, docs.sparkSession)
 
-def train_on(some: list, drawn: int = DRAWN, epochs: int = 8, hidden: int = 24) -> Tagger:
-    """some: rows (mark, kind or -1, text before, entity, text after)."""
+
+def train_on(some: list, drawn: int = DRAWN, epochs: int = EPOCHS, hidden: int = 24, spark: SparkSession | None = None, batch: int = 64, rate: float = 0.025, shards: int = SHARDS) -> Tagger:
+    """some: rows (mark, kind or -1, text before, entity, text after); without ``spark`` the shards train one after the other."""
     rng, examples = random.Random(5), []
     grammar = Grammar(rng)
     plain = [r[3] for r in some if r[1] < 0 and not _TRIGGER.search(r[3])] or ["some words of no interest, a few of them. " * 3]
@@ -278,27 +286,22 @@ def train_on(some: list, drawn: int = DRAWN, epochs: int = 8, hidden: int = 24)
         if k % 2 == 0:
             examples.append(_example(rng.choice(plain) + " ", grammar.nothing(), -1, rng.choice([" ", ". ", ", "]) + rng.choice(plain), rng))
     tagger = Tagger(CLASSES, LABELS, hidden)
-    tagger.fit(np.stack([_classes(t) for t, _ in examples]), np.stack([y for _, y in examples]).astype(np.int64), epochs=epochs, batch=96, rate=0.02)
+    tagger.fit_together(np.stack([_classes(t) for t, _ in examples]), np.stack([y for _, y in examples]), shards, epochs, batch, rate, spark)
     return tagger
 
 
-def _read(tagger: Tagger, texts: list[str], size: int = 1024, every: bool = False) -> list[list[Span]]:
-    """Spans of the tagger in each text, windows joined: touching spans of one kind are one."""
-    step = WINDOW - SHARED
-    cut: list[tuple[int, int]] = []
-    for k, text in enumerate(texts):
-        if every:
-            cut += [(k, at) for at in range(0, max(1, len(text) - SHARED), step)]
-            continue
-        hits = {m.start() // step for m in _TRIGGER.finditer(text)}
-        near = sorted({n + d for n in hits for d in (-2, -1, 0, 1)})
-        cut += [(k, n * step) for n in near if n >= 0 and (n == 0 or n * step + SHARED < len(text))]
-    found: list[list[Span]] = [[] for _ in texts]
-    for at in range(0, len(cut), size):
-        own = cut[at : at + size]
-        x = np.stack([_classes(texts[k][a : a + WINDOW].ljust(WINDOW)) for k, a in own])
-        labels = tagger.decode(x)
-        for (k, a), row in zip(own, labels, strict=True):
+def _triggers(text: str) -> list[tuple[int, int]]:
+    """Where a text holds what an accepted span needs, in order."""
+    return [m.span() for m in _TRIGGER.finditer(text)]
+
+
+def _pieces(tagger: Tagger, texts: list[str], cut: list[tuple[int, int]], size: int) -> list[tuple[int, Span]]:
+    """(text, span) of every span of the windows ``cut``, each a text and a window's number."""
+    step, out = WINDOW - SHARED, []
+    for first in range(0, len(cut), size):
+        own = cut[first : first + size]
+        labels = tagger.decode(np.stack([_classes(texts[k][n * step : n * step + WINDOW].ljust(WINDOW)) for k, n in own]))
+        for (k, n), row in zip(own, labels, strict=True):
             if not row.any():
                 continue
             kinds = np.where(row > 0, (row - 1) >> 1, -1)
@@ -307,17 +310,46 @@ def _read(tagger: Tagger, texts: list[str], size: int = 1024, every: bool = Fals
                 e = s + 1
                 while e < WINDOW and kinds[e] == kinds[s] and row[e] % 2 == 0:
                     e += 1
-                found[k].append((a + int(s), min(a + e, len(texts[k])), int(kinds[s])))
-    joined = []
-    for spans in found:
-        out: list[list[int]] = []
-        for s, e, kind in sorted(set(spans), key=lambda v: (v[2], v[0])):
-            if out and out[-1][2] == kind and s <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], e)
-            else:
-                out.append([s, e, kind])
-        joined.append([tuple(v) for v in out])
-    return joined
+                at = n * step
+                if at + s < len(texts[k]):
+                    out.append((k, (at + int(s), min(at + int(e), len(texts[k])), int(kinds[s]))))
+    return out
+
+
+def _joined(spans: set[Span]) -> list[Span]:
+    """Spans of one kind that touch or overlap are one."""
+    out: list[list[int]] = []
+    for s, e, kind in sorted(spans, key=lambda v: (v[2], v[0])):
+        if out and out[-1][2] == kind and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e, kind])
+    return [tuple(v) for v in out]
+
+
+def _read(tagger: Tagger, texts: list[str], triggers: list[list[tuple[int, int]]], size: int = 1024, every: bool = False) -> list[list[Span]]:
+    """Spans of the tagger in each text, windows joined.
+
+    First the windows that hold a trigger are read; then, again and again, those that a span which was
+    found meets or touches and which weren't read.  A joined span that holds a trigger is made of
+    pieces that touch, one of them with the trigger, so all of its windows are read in the end.
+    """
+    step = WINDOW - SHARED
+    last = [max(0, (len(t) - SHARED - 1) // step) for t in texts]  # windows that hold more than the one before
+    within = lambda k, a, b: range(max(0, (a - WINDOW) // step + 1), min(last[k], b // step) + 1)
+    if every:
+        due = {(k, n) for k in range(len(texts)) for n in range(last[k] + 1)}
+    else:
+        due = {(k, n) for k, own in enumerate(triggers) for a, _ in own for n in within(k, a, a)}
+    seen: set[tuple[int, int]] = set()
+    found: list[set[Span]] = [set() for _ in texts]
+    while due:
+        seen |= due
+        told = _pieces(tagger, texts, sorted(due), size)
+        for k, span in told:
+            found[k].add(span)
+        due = {(k, n) for k, (s, e, _) in told for n in within(k, s - 1, e)} - seen
+    return [_joined(spans) for spans in found]
 
 
 _AT = re.compile(r"(?i)\s*(?:@|[\[({<]\s?at\s?[\])}>])\s*|\s+at\s+")
@@ -328,7 +360,7 @@ def _acceptable(kind: int, text: str) -> bool:
     """The check of an added span: what it says, however it is written."""
     if kind == 0:
         parts = _AT.split(text)
-        if len(parts) != 2 or not (_TRIGGER.search(text[len(parts[0]) :])):
+        if len(parts) != 2:
             return False
         name, host = (_DOT.sub(".", p).strip() for p in parts)
         return bool(_LOCAL.fullmatch(name)) and bool(_DOMAIN.fullmatch(host)) and host.rpartition(".")[2].isalpha()
@@ -344,26 +376,99 @@ def _acceptable(kind: int, text: str) -> bool:
     return not re.search(r"[^\W\d_]", text) and bool(re.search(r"[0-9]", text)) and _valid(kind, text)
 
 
-def reconcile(text: str, base: list[Span], added: list[Span]) -> list[Span]:
-    """Base spans, then added ones that pass their check and overlap nothing accepted; longer ones first."""
+#: Characters that a span of each kind takes on where it would end inside a run of them; at most REACH of them.
+_INSIDE, REACH = tuple(re.compile(x) for x in (r"[A-Za-z0-9_%+-]", r"[0-9A-Fa-f]", r"[0-9]", r"[0-9]", r"[A-Za-z0-9_-]")), 320
+_AT_BEFORE = re.compile(r"(?i)(?:\s*(?:@|[\[({<]\s?at\s?[\])}>])|\s+at(?=\s))\s*\Z")
+_AT_FIRST = re.compile(r"(?i)(?:@|[\[({<]\s?at\s?[\])}>]|at\s)")
+_DOTTED = r"(?:\s*[\[({<]\s?(?:dot|\.)\s?[\])}>]\s*|\s+dot\s+|\s*\.\s*)"
+_NAME_LAST = re.compile(rf"(?i)[A-Za-z0-9._%+-]+(?:(?!\s*\.\s){_DOTTED}[A-Za-z0-9_%+-]+)*\Z")
+_HOST_FIRST = re.compile(rf"(?i)[A-Za-z0-9-]+(?:{_DOTTED}[A-Za-z0-9-]+)+")
+
+
+def _snapped(text: str, start: int, end: int, kind: int) -> tuple[int, int]:
+    """The span without blanks and stops at its ends, and with the rest of the words that it cuts.
+
+    An e-mail address also takes on what a dot joins to its ends and, where the sign comes first or stands
+    before it, the name; a phone number the bracket or plus before it.
+    """
+    while start < end and text[start] in " \n\t.,;:\"'":
+        start += 1
+    while end > start and text[end - 1] in " \n\t.,;:\"'":
+        end -= 1
+    if start >= end:
+        return start, start
+    inside, low, high = _INSIDE[kind], max(0, start - REACH), min(len(text), end + REACH)
+    joins = lambda at: kind == 0 and 0 < at < len(text) - 1 and text[at] == "." and inside.match(text[at - 1]) and inside.match(text[at + 1])
+
+    def leftwards(at: int) -> int:
+        while at > low and (inside.match(text[at - 1]) or joins(at - 1)):
+            at -= 1
+        return at
+
+    if inside.match(text[start]) and not (kind == 0 and _AT_FIRST.match(text, start) and start and text[start - 1].isspace()):
+        start = leftwards(start)
+    if kind == 0:
+        if m := _AT_BEFORE.search(text, low, start):
+            start = leftwards(m.start())
+        elif _AT_FIRST.match(text, start):
+            k = start
+            while k > low and text[k - 1].isspace():
+                k -= 1
+            start = leftwards(k)
+    if inside.match(text[end - 1]):
+        while end < high and (inside.match(text[end]) or joins(end)):
+            end += 1
+    if kind == 3 and start > 0 and text[start - 1] in "(+" and (text[start - 1] == "+" or ")" in text[start:end]) and "(" not in text[start:end]:
+        start -= 1
+    return start, end
+
+
+def _settled(text: str, span: Span) -> Span | None:
+    """The span that an added one stands for, if it passes a check.
+
+    Of an address only name, sign and domain stay; a number that is none of its kind may be one of another.
+    """
+    start, end = _snapped(text, *span)
+    own, kind = text[start:end], span[2]
+    if kind == 0:
+        for m in _AT.finditer(own):
+            name, host = _NAME_LAST.search(own, 0, m.start()), _HOST_FIRST.match(own, m.end())
+            if name and host and _acceptable(0, own[name.start() : host.end()]):
+                return start + name.start(), start + host.end(), 0
+        return None
+    for k in (kind, *({2: (3,), 3: (2,)}.get(kind, ()))):
+        if own and _acceptable(k, own):
+            return start, end, k
+    return None
+
+
+def reconcile(text: str, base: list[Span], added: list[Span], triggers: list[tuple[int, int]]) -> list[Span]:
+    """Base spans, then added ones that hold a trigger, pass their check and overlap nothing accepted; longer ones first."""
     taken = list(base)
-    for s, e, kind in sorted(added, key=lambda v: (v[0] - v[1], v)):
-        while s < e and text[s] in " \n\t.,;:\"'":
-            s += 1
-        while e > s and text[e - 1] in " \n\t.,;:\"'":
-            e -= 1
-        if s < e and _acceptable(kind, text[s:e]) and all(e <= a or b <= s for a, b, _ in taken):
+    starts, ends = [], []  # what is covered, as intervals apart from each other
+    for s, e, _ in sorted(base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    settled = {v for span in added if (v := _settled(text, span))}
+    for s, e, kind in sorted(settled, key=lambda v: (v[0] - v[1], v)):
+        k, t = bisect.bisect_right(ends, s), bisect.bisect_left(triggers, (s, 0))
+        if (k == len(starts) or starts[k] >= e) and t < len(triggers) and triggers[t][1] <= e:
             taken.append((s, e, kind))
+            starts.insert(k, s)
+            ends.insert(k, e)
     return sorted(taken, key=lambda v: (v[0], v[2]))
 
 
 def find_spans(tagger: Tagger, texts: list[str | None], every: bool = False) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text; secrets are among all spans."""
     whole = [t or "" for t in texts]
-    base = [base_spans(t) for t in whole]
-    hot = [k for k, t in enumerate(whole) if every or _TRIGGER.search(t)]
-    read = dict(zip(hot, _read(tagger, [whole[k] for k in hot], every=every), strict=True))
-    return [(b, reconcile(t, b, read[k]) if k in read else b) for k, (t, b) in enumerate(zip(whole, base, strict=True))]
+    base, triggers = [base_spans(t) for t in whole], [_triggers(t) for t in whole]
+    hot = [k for k in range(len(whole)) if every or triggers[k]]
+    read = dict(zip(hot, _read(tagger, [whole[k] for k in hot], [triggers[k] for k in hot], every=every), strict=True))
+    return [(b, reconcile(whole[k], b, read[k], triggers[k]) if k in read else b) for k, b in enumerate(base)]
 
 
 def _told(spans: list[Span]) -> str:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from dataclasses import dataclass, field
+
 import numpy as np
+import pyarrow as pa
 
 
 class Tagger:
@@ -114,21 +118,76 @@ class Tagger:
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.03, seed: int = 11) -> list[float]:
         """Adam over shuffled batches; returns the mean loss of each epoch."""
-        rng, m, v, losses = np.random.default_rng(seed), {}, {}, []
-        step = 0
+        rng, state, losses = np.random.default_rng(seed), Moments(), []
         for epoch in range(epochs):
-            total, order = [], rng.permutation(len(x))
-            for k in range(0, len(order), batch):
-                own = order[k : k + batch]
-                loss, grads = self._loss(x[own], y[own])
-                total.append(loss)
-                step += 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                for name, g in grads.items():
-                    g = (g * min(1, 20 / (norm + 1e-9))).astype(np.float32)
-                    m[name] = 0.9 * m.get(name, 0) + 0.1 * g
-                    v[name] = 0.99 * v.get(name, 0) + 0.01 * g * g
-                    slow = rate * (1 - epoch / epochs) + 0.002
-                    self.p[name] -= (slow * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-            losses.append(float(np.mean(total)))
+            order = rng.permutation(len(x))
+            losses.append(self.epoch(x[order], y[order], state, batch, rate * (1 - epoch / epochs) + 0.002))
         return losses
+
+    def epoch(self, x: np.ndarray, y: np.ndarray, state: Moments, batch: int, rate: float) -> float:
+        """One pass over the rows in their order; changes the parameters and ``state``, returns the mean loss."""
+        total = []
+        for k in range(0, len(x), batch):
+            loss, grads = self._loss(x[k : k + batch], y[k : k + batch])
+            total.append(loss)
+            state.step += 1
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            for name, g in grads.items():
+                g = (g * min(1, 20 / (norm + 1e-9))).astype(np.float32)
+                m = state.m[name] = 0.9 * state.m.get(name, 0) + 0.1 * g
+                v = state.v[name] = 0.99 * state.v.get(name, 0) + 0.01 * g * g
+                self.p[name] -= (rate * (m / (1 - 0.9**state.step)) / (np.sqrt(v / (1 - 0.99**state.step)) + 1e-6)).astype(np.float32)
+        return float(np.mean(total)) if total else 0.0
+
+    def fit_together(self, x: np.ndarray, y: np.ndarray, shards: int, epochs: int, batch: int, rate: float, spark=None, seed: int = 11) -> None:
+        """Shards of the rows train side by side; after each epoch their parameters and moments are averaged.
+
+        With ``spark`` each shard's epoch is a task, without it they run here; the result is the same.
+        """
+        rng, state = np.random.default_rng(seed), Moments()
+        x, y = x.astype(np.uint8), y.astype(np.int8)
+        sent = spark.sparkContext.broadcast((x, y)) if spark else None
+        for epoch in range(epochs):
+            order, slow = rng.permutation(len(x)), rate * (1 - epoch / epochs) + 0.002
+            parts = np.array_split(order, shards)
+            args = (self.classes, self.labels, self.hidden, self.p, state, batch, slow)
+            if spark:
+                made = [pickle.loads(r[0]) for r in _in_tasks(spark, sent, parts, args)]
+            else:
+                made = [_shard_epoch(x, y, part, args) for part in parts]
+            weights = np.array([len(p) for p in parts], np.float64) / max(1, len(x))
+            mean = lambda k, made=made, weights=weights: {n: sum(w * own[k][n].astype(np.float64) for w, own in zip(weights, made, strict=True)).astype(np.float32) for n in made[0][k]}
+            self.p, state = mean(0), Moments(mean(1), mean(2), made[0][3])
+        if sent:
+            sent.destroy()
+
+
+@dataclass
+class Moments:
+    """What Adam remembers between steps."""
+
+    m: dict[str, np.ndarray] = field(default_factory=dict)
+    v: dict[str, np.ndarray] = field(default_factory=dict)
+    step: int = 0
+
+
+def _shard_epoch(x: np.ndarray, y: np.ndarray, part: np.ndarray, args: tuple) -> tuple:
+    classes, labels, hidden, p, state, batch, rate = args
+    own = Tagger(classes, labels, hidden)
+    own.p = {name: value.copy() for name, value in p.items()}
+    now = Moments(dict(state.m), dict(state.v), state.step)
+    own.epoch(x[part].astype(np.int16), y[part].astype(np.int64), now, batch, rate)
+    return own.p, now.m, now.v, now.step
+
+
+def _in_tasks(spark, sent, parts: list[np.ndarray], args: tuple) -> list:
+    """The shards' epochs as tasks of one job: a few kilobytes of parameters come back from each."""
+
+    def run(batches):
+        for batch in batches:
+            for k in batch["id"].to_pylist():
+                x, y = sent.value
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(_shard_epoch(x, y, parts[k], args))], pa.binary())], ["id", "made"])
+
+    told = spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, "id long, made binary").collect()
+    return [(r.made,) for r in sorted(told, key=lambda r: r.id)]

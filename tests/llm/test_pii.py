@@ -66,7 +66,7 @@ def plantings(texts, held_out):
 
 def test_forms_that_the_patterns_miss(spark, tagger):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("NOT text rlike '[0-9@]' AND length(text) < 9000").limit(300).collect()]
-    for held_out, least in ((False, 0.85), (True, 0.6)):
+    for held_out, least in ((False, 0.9), (True, 0.6)):
         made = list(plantings(texts, held_out))
         found = pii.find_spans(tagger, [t for t, _ in made])
         hits = [span in every for (_, span), (_, every) in zip(made, found, strict=True)]
@@ -74,6 +74,50 @@ def test_forms_that_the_patterns_miss(spark, tagger):
         assert min(np.mean(hits[k :: len(pii.TAGS)]) for k in range(len(pii.TAGS))) >= least - 0.3
 
 
+def _luhn_number(grammar):
+    stem = grammar._number(15)
+    return next(stem + str(k) for k in range(10) if pii.luhn(stem + str(k)))
+
+
+#: forms that training draws
+FORMS = {
+    "a @ b": lambda g: (f"{g._word(2, 8)}.{g._word(2, 8)} @ {g._word(3, 9)}.org", 0), "[at]": lambda g: (f"{g._word(2, 8)}.{g._word(2, 8)}[at]{g._word(3, 9)}.com", 0),
+    "(at)": lambda g: (f"{g._word(2, 8)}(at){g._word(3, 9)}.net", 0), "AT DOT": lambda g: (f"{g._word(2, 8)} AT {g._word(3, 9)} DOT com", 0), "at dot": lambda g: (f"{g._word(2, 8)} at {g._word(3, 9)} dot org", 0),
+    "long": lambda g: (f"{g._word(30, 60)}.{g._word(20, 60)}[at]{g._word(13, 39)}.com", 0), "a.b.c": lambda g: (f"{g._number(3)}.{g._number(3)}.{g._number(4)}", 3), "0049": lambda g: (f"0049 {g._number(2)} {g._number(7)}", 3),
+    "(a) b-c": lambda g: (f"({g._number(3)}) {g._number(3)}-{g._number(4)}", 3), "a-b-c": lambda g: (f"{g._number(3)}-{g._number(3)}-{g._number(4)}", 3), "ip[.]": lambda g: ("[.]".join(str(g.rng.randint(0, 255)) for _ in range(4)), 1),
+    "hex": lambda g: (g._word(40, 40, "0123456789abcdef"), 4), "card_": lambda g: (g._cut(_luhn_number(g), [4] * 4, "_"), 2), "card.": lambda g: (g._cut(_luhn_number(g), [4] * 4, "."), 2),
+}
+
+
+def test_each_form_and_the_gate_on_it(spark, tagger):
+    """Exact spans of single forms in clean texts; windows that are skipped change nothing, also for entities longer than a window."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("NOT text rlike '[0-9@]' AND length(text) BETWEEN 100 AND 5000").orderBy("doc_id").limit(200).collect()]
+    rng = random.Random(21)
+    grammar, found = pii.Grammar(rng), {}
+    for name, draw in FORMS.items():
+        made = []
+        for k in range(40):
+            text, (entity, kind) = texts[(7 * k + len(name)) % len(texts)], draw(grammar)
+            at = text.index(" ", len(text) // 3 + k % 5)
+            made.append((f"{text[:at]} {entity} {text[at + 1 :]}", (at + 1, at + 1 + len(entity), kind)))
+        got = pii.find_spans(tagger, [t for t, _ in made])
+        assert pii.find_spans(tagger, [t for t, _ in made], every=True) == got, name
+        found[name] = sum(span in every for (_, span), (_, every) in zip(made, got, strict=True))
+    assert min(found.values()) >= 30 and sum(found.values()) >= 0.93 * 40 * len(FORMS), found
+    print(found)
+
+
+def test_many_spans_in_one_text(tagger):
+    text = " ".join(f"a{k} [at] host{k} [dot] org, 585-555-{k:04d};" for k in range(9000))
+    base, every = pii.find_spans(tagger, [text])[0]
+    assert not base and len(every) > 6000 and all(b <= c for (_, b, _), (c, _, _) in zip(every, every[1:], strict=False))
+
+
+def test_training_in_tasks_equals_training_here(spark):
+    here, there = (pii.train_on([], drawn=60, epochs=2, hidden=4, spark=s) for s in (None, spark))
+    assert all(np.array_equal(here.p[k], there.p[k]) for k in here.p)
+
+
 def test_false_alarms_and_skipped_windows(spark, tagger):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL").collect()]
     found = pii.find_spans(tagger, texts)
