@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskframe.plans.checks import check_sql
 from riskframe.plans.outputs import output_sql
+from riskframe.plans.proofs import proof_sql
 from riskframe.plans.queries import DRIFT_FEATURES, FEATURES, FOLDS, K_MODEL
 
 T = """t AS (SELECT event_id, ts, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(user_id AS DOUBLE) AS user_id,
@@ -99,3 +100,4 @@ ORACLE_SQL["profile_bins_sorted"] = ORACLE_SQL["profile_bins"]
 ORACLE_SQL["manifest_check"] = "SELECT CAST(2 AS BIGINT) AS n_files, CAST(0 AS BIGINT) AS n_differences"
 ORACLE_SQL |= check_sql(ORACLE_SQL, T)
 ORACLE_SQL |= output_sql(ORACLE_SQL, T)
+ORACLE_SQL |= proof_sql(_SHUFFLED, _P)

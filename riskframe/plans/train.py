@@ -21,7 +21,7 @@ from riskframe.operators.score import add_scores, check_scores, score_table
 from riskframe.operators.split import assign_folds, shuffle_order, split, split_ranges, split_sizes
 from riskframe.operators.threshold import cost_threshold, f1_threshold
 from riskframe.operators.validate import dataset_summary, labelled, validate
-from riskframe.sources.staging import keep
+from riskframe.sources.staging import discard, keep
 
 VERSION = 2
 
@@ -61,6 +61,20 @@ def _quality(scored: DataFrame, target: str, threshold: float, config: TrainingC
     return row.first().asDict() | {"expected_cost_per_transaction": cost.first()[0]}
 
 
+def assess(parts: DataFrame, contract: FeatureContract, folds: list[FoldModel], config: TrainingConfig) -> tuple[float, dict[str, dict]]:
+    """The threshold that validation rows choose, and the quality at it of validation and test rows. parts: with ``split``."""
+    target = contract.target
+    scored = keep(add_scores(parts, contract.features, folds, 0.5, "_p", "_flag").select("split", F.col(quoted(target)), "_p"))
+    check_scores(scored, "_p")
+    rows = {name: scored.where(F.col("split") == name) for name in ("validation", "test")}
+    groups = {name: score_groups(own, target, "_p") for name, own in rows.items()}
+    chosen = f1_threshold(groups["validation"]) if config.threshold_strategy == "f1" else cost_threshold(groups["validation"], config.false_positive_cost, config.false_negative_cost)
+    threshold = float(chosen.first().threshold)
+    metrics = {name: _quality(own, target, threshold, config, groups[name]) for name, own in rows.items()}
+    discard(scored)
+    return threshold, metrics
+
+
 def train(df: DataFrame, target: str = "Class", key: tuple[str, ...] = (), config: TrainingConfig | None = None) -> RiskModel:
     config = config or TrainingConfig()
     spark, contract = df.sparkSession, validate(df, target, key)
@@ -71,13 +85,7 @@ def train(df: DataFrame, target: str = "Class", key: tuple[str, ...] = (), confi
         train_rows = keep(assign_folds(train_rows, contract, config.calibration_folds, order))
     folds = fit_folds(train_rows, contract, config)
 
-    scored = keep(add_scores(parts, contract.features, folds, 0.5, "_p", "_flag").select("split", F.col(quoted(target)), "_p"))
-    check_scores(scored, "_p")
-    validation, test = scored.where("split = 'validation'"), scored.where("split = 'test'")
-    groups = score_groups(validation, target, "_p")
-    chosen = f1_threshold(groups) if config.threshold_strategy == "f1" else cost_threshold(groups, config.false_positive_cost, config.false_negative_cost)
-    threshold = float(chosen.first().threshold)
-
+    threshold, metrics = assess(parts, contract, folds, config)
     profile = drift.build_profile(train_rows, contract.features, config.bins)
     summary = dataset_summary(parts, target).first()
     ranges = None
@@ -88,7 +96,7 @@ def train(df: DataFrame, target: str = "Class", key: tuple[str, ...] = (), confi
         "target": target, "key": list(key), "feature_names": list(contract.features), "feature_count": len(contract.features), "threshold": threshold,
         "dataset": {"rows": summary.n_rows, "positives": summary.n_positive, "positive_rate": summary.positive_rate, "fingerprint": fingerprint(parts, contract)},
         "splits": {r.split: r.n for r in split_sizes(parts, target).collect()}, "split_time_ranges": ranges,
-        "metrics": {"validation": _quality(validation, target, threshold, config, groups), "test": _quality(test, target, threshold, config)},
+        "metrics": metrics,
         "reference_profile": [r.asDict() for r in profile.drop("ordinal").collect()],
     }
     model = RiskModel(contract, folds, threshold, card)

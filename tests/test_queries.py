@@ -5,9 +5,10 @@ import pytest
 from riskframe.plans.checks import CHECKS
 from riskframe.plans.oracle import ORACLE_SQL
 from riskframe.plans.outputs import OUTPUTS
+from riskframe.plans.proofs import PROOFS
 from riskframe.plans.queries import QUERIES as CORE
 
-QUERIES = CORE | CHECKS | OUTPUTS
+QUERIES = CORE | CHECKS | OUTPUTS | PROOFS
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
