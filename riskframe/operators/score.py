@@ -7,33 +7,15 @@ from pyspark.sql import functions as F
 
 from riskframe.contracts import FeatureContract, ModelError
 from riskframe.functions import decision, logistic
+from riskframe.operators import knots
 from riskframe.operators.fit import FoldModel, margin
+from riskframe.operators.knots import interpolated
 from riskframe.operators.validate import bad_rows, check_scorable, match_schema, score_problems
 
 
-#: Boundaries that are searched in one go; more are searched in two steps.
-SEARCHED = 128
-
-
-def _at_or_below(x: Column, boundaries: tuple[float, ...], b: Column) -> Column:
-    """How many ascending boundaries are at or below x: first whole blocks of them, then one block's."""
-    if len(boundaries) <= SEARCHED:
-        return F.size(F.filter(b, lambda e: e <= x))
-    step = int(len(boundaries) ** 0.5)
-    heads = F.array(*(F.lit(float(n)) for n in boundaries[::step]))
-    block = F.greatest(F.size(F.filter(heads, lambda e: e <= x)) - 1, F.lit(0))
-    return block * step + F.size(F.filter(F.slice(b, block * step + 1, step), lambda e: e <= x))
-
-
-def _interpolated(x: Column, boundaries: tuple[float, ...], values: tuple[float, ...]) -> Column:
-    """Linear between boundaries, constant outside."""
-    b, v = (F.array(*(F.lit(float(n)) for n in numbers)) for numbers in (boundaries, values))
-    below = _at_or_below(x, boundaries, b)
-    last = len(boundaries)
-    x0, x1 = F.element_at(b, F.greatest(below, F.lit(1))), F.element_at(b, F.least(below + 1, F.lit(last)))
-    y0, y1 = F.element_at(v, F.greatest(below, F.lit(1))), F.element_at(v, F.least(below + 1, F.lit(last)))
-    inside = y0 + (y1 - y0) * F.coalesce(F.try_divide(x - x0, x1 - x0), F.lit(0.0))
-    return F.when(below == 0, values[0]).when(below >= last, values[-1]).otherwise(inside)
+#: Knots of a calibrator up to which they are part of the expression; more come by a join, with the same result.
+LITERAL_KNOTS = 1024
+_interpolated = interpolated
 
 
 def fold_probability(features: tuple[str, ...], model: FoldModel) -> Column:
@@ -55,7 +37,20 @@ def probability(features: tuple[str, ...], models: list[FoldModel]) -> Column:
 
 def add_scores(df: DataFrame, features: tuple[str, ...], models: list[FoldModel], threshold: float, score: str = "fraud_probability", flag: str = "is_fraud") -> DataFrame:
     """The two columns beside all others; lazy and without checks, so it also serves streams."""
-    return df.withColumn(score, probability(features, models)).withColumn(flag, decision(F.col(score), threshold))
+    if all(len(m.calibrator.boundaries) <= LITERAL_KNOTS for m in models):
+        return df.withColumn(score, probability(features, models)).withColumn(flag, decision(F.col(score), threshold))
+    out, parts = df, []
+    for k, m in enumerate(models):
+        if len(m.calibrator.boundaries) <= LITERAL_KNOTS:
+            parts.append(fold_probability(features, m))
+        else:
+            out = knots.joined(out.withColumn(f"_margin_{k}", margin(features, m)), f"_margin_{k}", m.calibrator.boundaries, m.calibrator.values, f"_fold_{k}")
+            parts.append(F.col(f"_fold_{k}"))
+    total = parts[0]
+    for part in parts[1:]:
+        total = total + part
+    scored = out.withColumn(score, total / len(models))
+    return scored.withColumn(flag, decision(F.col(score), threshold)).drop(*(f"_{kind}_{k}" for kind in ("margin", "fold") for k in range(len(models))))
 
 
 def score_table(df: DataFrame, contract: FeatureContract, models: list[FoldModel], threshold: float, score: str = "fraud_probability", flag: str = "is_fraud", on_invalid: str = "raise") -> DataFrame:

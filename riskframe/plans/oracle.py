@@ -99,5 +99,5 @@ ORACLE_SQL = {
 ORACLE_SQL["profile_bins_sorted"] = ORACLE_SQL["profile_bins"]
 ORACLE_SQL["manifest_check"] = "SELECT CAST(2 AS BIGINT) AS n_files, CAST(0 AS BIGINT) AS n_differences"
 ORACLE_SQL |= check_sql(ORACLE_SQL, T)
-ORACLE_SQL |= output_sql(ORACLE_SQL, T)
+ORACLE_SQL |= output_sql(ORACLE_SQL, T, _PROFILE, _LONG.replace(" AS value,", " AS value, l_shipdate,"))
 ORACLE_SQL |= proof_sql(_SHUFFLED, _P)

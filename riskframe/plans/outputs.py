@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.contracts import RiskError
+from riskframe.contracts import FeatureContract, RiskError
 from riskframe.functions import local_table
-from riskframe.operators import observed
+from riskframe.operators import drift, fit, observed, wide
 from riskframe.plans import queries as Q
 from riskframe.sources import versions
 from riskframe.sources.staging import keep, shared_path
+from riskframe.streaming import drift as windows
 from riskframe.streaming import sinks
 
 SCORED = ["event_id", "fraud_probability", "is_fraud"]
@@ -107,14 +108,55 @@ def stream_ledger(spark, d):
     return local_table(spark, [(len(held), sum(c["accepted"] for c in held.values()), sum(c["rejected"] for c in held.values()))], "n_batches long, n_accepted long, n_rejected long")
 
 
-OUTPUTS = {f.__name__: f for f in (score_published, score_published_report, score_refused, versioned_output, stream_tables, stream_ledger)}
+WIDTH, DELAY = 90, 1
 
 
-def output_sql(known: dict[str, str], events: str) -> dict[str, str]:
+def stream_drift(spark, d):
+    """Line items as a stream of ship dates: the drift of every closed window of 90 days against the early half's profile."""
+    early, items = Q._halves(spark, d)[0], keep(Q.load(spark, d, "lineitem").select("l_shipdate", *Q.DRIFT_FEATURES).repartition(4))
+    profile = drift.build_profile(early, Q.DRIFT_FEATURES)
+    stream = spark.readStream.schema(items.schema).parquet(items._kept_at)
+    path = shared_path(spark)
+    windows.start(stream, profile, "l_shipdate", f"{WIDTH} days", f"{DELAY} days", path, shared_path(spark), once=True).awaitTermination()
+    told = windows.window_drift(profile, spark.read.schema(windows.COUNTS).parquet(path))
+    return told.select(F.unix_date(F.col("window_start").cast("date")).alias("first_day"), "feature", "ordinal", "n_rows", "n_bad", F.round("psi", 9).alias("psi"), "status")
+
+
+#: features of a wide table, and its model: a formula that SQL can follow
+BUCKETS, BASE = 5000, -1.0
+WIDE = FeatureContract(tuple(f"w{k}" for k in range(BUCKETS)), None, ("doc_id",))
+WIDE_MODEL = [fit.FoldModel((0.0,) * BUCKETS, tuple(1.0 + k % 3 for k in range(BUCKETS)), tuple((k * 7919 % 2001 - 1000) / 20000 for k in range(BUCKETS)), BASE)]
+
+
+def score_sparse(spark, d):
+    """Documents as sparse rows of 5,000 features, counts of words by a digest, scored in long form."""
+    docs = Q.load(spark, d, "documents")
+    words = docs.select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    bucket = F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("int") % BUCKETS
+    rows = words.groupBy("doc_id", F.concat(F.lit("w"), bucket.cast("string")).alias("feature")).agg(F.count("*").cast("double").alias("value"))
+    scored = wide.score_long(rows, WIDE, WIDE_MODEL, 0.5, docs.select("doc_id"), checked=True)
+    return scored.select("doc_id", F.round("fraud_probability", 6).alias("fraud_probability"))
+
+
+OUTPUTS = {f.__name__: f for f in (stream_drift, score_sparse, score_published, score_published_report, score_refused, versioned_output, stream_tables, stream_ledger)}
+
+
+def output_sql(known: dict[str, str], events: str, profile: str, values: str) -> dict[str, str]:
+    """``profile``: CTEs up to bins (feature, ordinal, bin, expected) and e (feature, edges); ``values``: feature and value by ship date."""
     scored = known["score_fixed_model"].replace("round(p, 6) AS fraud_probability", "p")
     reason = "CASE event_type WHEN 'error' THEN 'unknown field' WHEN 'signup' THEN 'feature schema mismatch' WHEN 'click' THEN NULL WHEN 'view' THEN NULL ELSE 'body is not valid' END"
     faults = " UNION ALL ".join(f"SELECT '{kind}', '{f}', count(*) FILTER ({test.format(f)}) FROM t" for f in Q.FEATURES for kind, test in (("null", "{} IS NULL"), ("nan", "isnan({})"), ("infinite", "isinf({})")))
+    seconds = WIDTH * 86_400
     return {
+        "stream_drift": f"""WITH {profile}, k AS (SELECT feature, value, CAST(epoch(l_shipdate) AS BIGINT) // {seconds} AS w FROM ({values})),
+            closed AS (SELECT w FROM k GROUP BY w HAVING (w + 1) * {seconds} <= (SELECT max(CAST(epoch(l_shipdate) AS BIGINT)) FROM lineitem) - {DELAY * 86_400}),
+            o AS (SELECT w, k.feature, len(list_filter(edges, lambda x: x <= value)) AS bin, count(*) AS n FROM k JOIN e ON k.feature = e.feature GROUP BY ALL), z AS (SELECT w, feature, sum(n) AS rows FROM o GROUP BY w, feature),
+            y AS (SELECT closed.w, bins.feature, ordinal, rows, expected, coalesce(n, 0) / rows AS actual FROM closed JOIN bins ON true JOIN z ON z.w = closed.w AND z.feature = bins.feature LEFT JOIN o ON o.w = closed.w AND o.feature = bins.feature AND o.bin = bins.bin),
+            p AS (SELECT w, feature, CAST(ordinal AS INTEGER) AS ordinal, CAST(rows AS BIGINT) AS n_rows, greatest(0, sum((actual - expected) * ln((actual + 1e-6) / (expected + 1e-6)))) AS psi FROM y GROUP BY ALL)
+            SELECT CAST(w * {WIDTH} AS INTEGER) AS first_day, feature, ordinal, n_rows, CAST(0 AS BIGINT) AS n_bad, round(psi, 9) AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'warning' ELSE 'drifted' END AS status FROM p""",
+        "score_sparse": f"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents), b AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 6) AS INTEGER) % {BUCKETS} AS k, count(*) AS value FROM w GROUP BY ALL),
+            m AS (SELECT doc_id, sum(value * (k * 7919 % 2001 - 1000) / 20000.0 / (1 + k % 3)) AS x FROM b GROUP BY doc_id)
+            SELECT doc_id, round(1 / (1 + exp(-(coalesce(x, 0) + {BASE}))), 6) AS fraud_probability FROM documents LEFT JOIN m USING (doc_id)""",
         "score_published": known["score_fixed_model"],
         "score_published_report": f"WITH {events}, s AS ({scored}), r AS (SELECT 'rows' AS metric, CAST(NULL AS VARCHAR) AS column_name, count(*) AS n FROM t UNION ALL SELECT 'flagged', NULL, count(*) FILTER (is_fraud = 1) FROM s UNION ALL {faults}) SELECT * FROM r",
         "score_refused": f"WITH s AS ({scored}) SELECT count(*) AS n_rows, count(*) FILTER (is_fraud = 1) AS n_flagged, 'SchemaError: ' || count(*) FILTER (event_id % 100 IN (3, 5)) || ' rows have missing or infinite values' AS error FROM s",

@@ -231,17 +231,6 @@ def test_requests(spark):
     assert safe[0] == "audit-request_123" and len({*safe[1:]}) == 1 and len(safe[1]) == 32
 
 
-def test_thinned_isotonic_knots_move_predictions_little():
-    rng = random.Random(3)
-    values = sorted(rng.random() for _ in range(20000))
-    boundaries = [float(k) for k in range(20000)]
-    kept, thin = fit.thinned(boundaries, values, 1024)
-    assert len(kept) <= 1024 and (kept[0], kept[-1]) == (boundaries[0], boundaries[-1]) and thin == sorted(thin)
-    assert fit.thinned(boundaries[:1024], values[:1024]) == (boundaries[:1024], values[:1024])
-    worst = max(abs(float(np.interp(x, kept, thin)) - v) for x, v in zip(boundaries, values, strict=True))
-    assert worst <= 2 / 1024
-
-
 def test_long_boundaries_are_searched_in_two_steps(spark):
     boundaries = tuple(float(k * k) for k in range(300))
     values = tuple(k / 300 for k in range(300))
