@@ -359,26 +359,39 @@ def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataF
     return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, clip int, start_s double, seconds double, frames int, error string")
 
 
+def _told(data: bytes | None) -> tuple:
+    """payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error of one file."""
+    if data is None:
+        return None, None, None, None, None, None, "ValueError: media is null"
+    own, middle = (len(data), hashlib.sha256(data).hexdigest()), np.arange(16) * 16 + 8
+    try:
+        seconds, n, frames = read_avi(data)
+        decoded, seen = zip(*decode_frames(frames), strict=True)
+        luma = np.concatenate(seen)
+        feature = ";".join(f"{a * seconds:.2f}+{length * seconds:.2f}:{luma[a : a + length].mean(0) @ middle:.1f}" for a, length in shots(list(luma)))
+    except (ValueError, KeyError, IndexError, struct.error) as e:
+        return None, None, None, *own, None, f"{type(e).__name__}: {e}"
+    if n < 0 or any(c is None for c in decoded):
+        return None, None, None, *own, feature, "ValueError: the frames hold no payload"
+    payload = payload_of(decoded, n)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *own, feature, None
+
+
 def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What the stored bytes hold: payload digests, media digests, and the shots: start, length and mean luma of each."""
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    middle = np.arange(16) * 16 + 8
+    """What the stored bytes hold: payload digests, media digests, and the shots: start, length and mean luma of each.
+
+    Media of others has features and no payload; what is null or can't be decoded has nulls; ``error`` tells why.
+    """
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "media", 2 << 20):
-            out = []
-            for data in batch["media"].to_pylist():
-                seconds, n, frames = read_avi(data)
-                decoded, seen = zip(*decode_frames(frames), strict=True)
-                payload, luma = payload_of(decoded, n), np.concatenate(seen)
-                feature = ";".join(f"{a * seconds:.2f}+{length * seconds:.2f}:{luma[a : a + length].mean(0) @ middle:.1f}" for a, length in shots(list(luma)))
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            columns = list(zip(*out, strict=True))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = list(zip(*map(_told, batch["media"].to_pylist()), strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch["key"], batch["n_bytes"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
     rows = media.select(F.col(f"`{key}`").alias("key"), "n_bytes", "media")
-    return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,10 +210,10 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, key: st
     65,536 ids, else ``<u4``.  A task that is run again writes files of other names; the table names
     those of the attempt that Spark committed.
     """
-    folder = store.shared_dir(docs.sparkSession)
+    folder = store.workers_folder(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, base = pafs.FileSystem.from_uri(folder)
+        filesystem, base = store.filesystem(folder)
         filesystem.create_dir(base, recursive=True)
         shard, encode = TaskContext.get().partitionId(), chunk_encoder(tokenizer_file)
         name = f"{base}/{shard:06d}-{uuid.uuid4().hex}"
@@ -271,7 +271,7 @@ def read_token_files(shards: DataFrame, id_type: str = "<u2", width: int = 1 <<
     folder = shards._folder
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, _ = pafs.FileSystem.from_uri(folder)
+        filesystem, _ = store.filesystem(folder)
         for batch in batches:
             for r in batch.to_pylist():
                 index, ids = _open(filesystem, r["ids_file"], r["index_file"])
@@ -305,7 +305,7 @@ def lookup_token_files(shards: DataFrame, keys: DataFrame, key: str = "doc_id",
     lows, highs = np.array([r[6] for r in located], np.int64), np.array([r[7] for r in located], np.int64)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, _ = pafs.FileSystem.from_uri(folder)
+        filesystem, _ = store.filesystem(folder)
         for batch in batches:
             asked = np.asarray(batch["key"].drop_null(), dtype=np.int64)
             for k in np.flatnonzero((lows <= asked.max()) & (highs >= asked.min())) if len(asked) else ():

@@ -156,7 +156,7 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
 
 def _streamed(folder: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
     """(length, ids, vectors, norm of the longest) of every block of a kept table, one in memory at a time."""
-    filesystem, base = pafs.FileSystem.from_uri(folder)
+    filesystem, base = store.filesystem(folder)
     for name in sorted(f.path for f in filesystem.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet")):
         with filesystem.open_input_file(name) as f:
             for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
@@ -167,6 +167,7 @@ def _streamed(folder: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]
 
 def exact_topk(rows: DataFrame, is_query: Column, k: int, id: str, vector: str, scale: float = 1.0, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products of floor(scale * x)."""
+    store.workers_folder(rows.sparkSession)  # blocks are read by workers: told before any job
     spark, values = rows.sparkSession, F.col(f"`{vector}`").cast("array<double>")
     finite = F.col(f"`{id}`").isNotNull() & values.isNotNull() & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     # beyond 2^53 a double has no fraction, and floor() would end at 64 bits

@@ -135,3 +135,14 @@ def test_shots_and_samples():
     assert np.allclose(M.INVERSE @ M.INVERSE.T, np.eye(64), atol=1e-5)
     data = M.write_avi([b"\xff\xd8odd", b"\xff\xd8even1"], 7)
     assert M.read_avi(data)[1:] == (7, [b"\xff\xd8odd", b"\xff\xd8even1"]) and struct.unpack("<I", data[4:8])[0] == len(data) - 8
+
+
+def test_features_of_null_broken_and_foreign_media(spark):
+    made = M.store_as_media(spark.createDataFrame([(1, "some text")], "doc_id long, text string")).first()
+    plain = M.write_avi(M.encode_frames(b"x" * 64), 64)
+    rows = [(1, made.n_bytes, bytearray(made.media)), (2, None, None), (3, 5, bytearray(b"RIFF....")), (4, None, bytearray(plain[: len(plain) // 2])), (None, 0, bytearray(b""))]
+    got = {r.doc_id: r for r in M.media_features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].error is None and got[1].payload_bytes == 64
+    assert got[2].error == "ValueError: media is null" and got[2].media_bytes is None
+    assert got[3].error and got[3].payload_sha256 is None and got[3].media_bytes == 8 and got[4].error and got[None].error
+    assert M.clips(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).where("error IS NOT NULL").count() == 4
