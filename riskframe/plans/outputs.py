@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskframe.contracts import FeatureContract, RiskError
 from riskframe.functions import local_table
 from riskframe.operators import drift, fit, observed, wide
+from riskframe.operators import fingerprint as prints
 from riskframe.plans import queries as Q
 from riskframe.sources import versions
 from riskframe.sources.staging import keep, shared_path
@@ -138,7 +139,24 @@ def score_sparse(spark, d):
     return scored.select("doc_id", F.round("fraud_probability", 6).alias("fraud_probability"))
 
 
-OUTPUTS = {f.__name__: f for f in (stream_drift, score_sparse, score_published, score_published_report, score_refused, versioned_output, stream_tables, stream_ledger)}
+RANGE = 100
+
+
+def fingerprint_changes(spark, d):
+    """Key ranges in which the events differ from a version with some values changed, the last events gone and others added,
+    found from two trees; and whether the tree that was brought up to date by these ranges is that of the new table."""
+    t = _scorable(spark, d)
+    last = t.agg(F.max("event_id")).first()[0]
+    changed = t.withColumn("value", F.when(F.col("event_id") % 997 == 5, F.col("value") + 1).otherwise(F.col("value"))).where(F.col("event_id") <= last - 250)
+    new = changed.union(t.where(F.col("event_id") < 150).withColumn("event_id", F.col("event_id") + last + 1000))
+    old_tree, new_tree = (prints.tree(prints.leaves(x, Q.CONTRACT, "event_id", RANGE)) for x in (t, new))
+    told = keep(prints.changed_parts(old_tree, new_tree))
+    again = prints.updated(old_tree, new, Q.CONTRACT, "event_id", RANGE, [r.node for r in told.select("node").collect()])
+    same = again.exceptAll(new_tree).count() == 0 and new_tree.exceptAll(again).count() == 0
+    return told.select((F.col("node") * RANGE).alias("first_key"), "change", F.lit(same).alias("update_agrees"))
+
+
+OUTPUTS = {f.__name__: f for f in (fingerprint_changes, stream_drift, score_sparse, score_published, score_published_report, score_refused, versioned_output, stream_tables, stream_ledger)}
 
 
 def output_sql(known: dict[str, str], events: str, profile: str, values: str) -> dict[str, str]:
@@ -148,6 +166,11 @@ def output_sql(known: dict[str, str], events: str, profile: str, values: str) ->
     faults = " UNION ALL ".join(f"SELECT '{kind}', '{f}', count(*) FILTER ({test.format(f)}) FROM t" for f in Q.FEATURES for kind, test in (("null", "{} IS NULL"), ("nan", "isnan({})"), ("infinite", "isinf({})")))
     seconds = WIDTH * 86_400
     return {
+        "fingerprint_changes": f"""WITH l AS (SELECT max(event_id) AS last FROM events), o AS (SELECT event_id, event_id AS src, 0 AS plus FROM events),
+            n AS (SELECT event_id, event_id AS src, CASE WHEN event_id % 997 = 5 THEN 1 ELSE 0 END AS plus FROM events, l WHERE event_id <= last - 250 UNION ALL SELECT event_id + last + 1000, event_id, CASE WHEN false THEN 1 ELSE 0 END FROM events, l WHERE event_id < 150),
+            a AS (SELECT event_id // {RANGE} AS node, list((event_id, src, plus) ORDER BY event_id) AS rows FROM o GROUP BY 1), b AS (SELECT event_id // {RANGE} AS node, list((event_id, src, plus) ORDER BY event_id) AS rows FROM n GROUP BY 1)
+            SELECT coalesce(a.node, b.node) * {RANGE} AS first_key, CASE WHEN a.node IS NULL THEN 'added' WHEN b.node IS NULL THEN 'removed' ELSE 'changed' END AS change, true AS update_agrees
+            FROM a FULL JOIN b ON a.node = b.node WHERE a.node IS NULL OR b.node IS NULL OR a.rows <> b.rows""",
         "stream_drift": f"""WITH {profile}, k AS (SELECT feature, value, CAST(epoch(l_shipdate) AS BIGINT) // {seconds} AS w FROM ({values})),
             closed AS (SELECT w FROM k GROUP BY w HAVING (w + 1) * {seconds} <= (SELECT max(CAST(epoch(l_shipdate) AS BIGINT)) FROM lineitem) - {DELAY * 86_400}),
             o AS (SELECT w, k.feature, len(list_filter(edges, lambda x: x <= value)) AS bin, count(*) AS n FROM k JOIN e ON k.feature = e.feature GROUP BY ALL), z AS (SELECT w, feature, sum(n) AS rows FROM o GROUP BY w, feature),
