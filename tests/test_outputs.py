@@ -8,7 +8,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from riskframe.contracts import FeatureContract, ModelError, RiskError, SchemaError, TrainingConfig
-from riskframe.operators import cutoffs, drift, fit, knots, observed, score, split, wide
+from riskframe.operators import cutoffs, drift, fingerprint, fit, knots, observed, score, split, wide
+from riskframe.plans import proofs
 from riskframe.sources import staging, versions
 from riskframe.streaming import drift as windows
 from riskframe.streaming import sinks
@@ -205,3 +206,21 @@ def test_drift_of_windows_as_files_arrive(spark):
     batch = windows.window_drift(profile, windows.window_counts(spark.createDataFrame(rows, "s long, v double").select(F.timestamp_seconds("s").alias("t"), "v"), profile, "t", "1 hour")).orderBy("window_start").collect()
     assert len(batch) == 6 and 4 <= len(told) <= 5 and [tuple(r) for r in told] == [tuple(r) for r in batch[: len(told)]]
     assert all(r.n_bad == 1 and r.n_rows == 300 for r in told) and told[0].status == "stable" and told[-1].status == "drifted"
+
+
+def test_trees_tell_changed_ranges(spark):
+    rows = spark.range(2000).select((F.col("id") * 3 - 900).alias("id"), (F.col("id") * 1.5).alias("a"), F.lit(2.0).alias("b"))
+    make = lambda df: fingerprint.tree(fingerprint.leaves(df, AB, "id", 50))
+    old = make(rows)
+    assert fingerprint.changed_parts(old, make(rows.repartition(7))).count() == 0
+    new = rows.where("id <> 3 AND id < 4900").withColumn("a", F.when(F.col("id") == 600, 0.0).otherwise(F.col("a"))).union(rows.where("id = 9").withColumn("id", F.lit(100_000).cast("long")))
+    told = {(r.node, r.change) for r in fingerprint.changed_parts(old, make(new)).collect()}
+    assert told == {(0, "changed"), (12, "changed"), (2000, "added")} | {(n, "removed") for n in range(98, 102)}
+    assert sorted(map(tuple, fingerprint.updated(old, new, AB, "id", 50, [n for n, _ in told]).collect())) == sorted(map(tuple, make(new).collect()))
+    assert make(rows.where("false")).count() == 0 and fingerprint.changed_parts(make(rows.where("false")), old).count() == old.where("level = 0").count()
+
+
+def test_a_constant_calibrator_is_no_optimum(spark, monkeypatch):
+    monkeypatch.setattr(fit, "calibrate", lambda held, contract, model, method: fit.Calibrator("isotonic", boundaries=(-1e9, 1e9), values=(held.agg(F.avg("label")).first()[0],) * 2))
+    told = proofs.isotonic_optimal(spark, "/root/testdata/sf0.001").collect()
+    assert all(r.block_gap == 0 and r.first_part_gap > 0 and not r.several_blocks for r in told)
