@@ -79,10 +79,11 @@ def train(df: DataFrame, target: str = "Class", key: tuple[str, ...] = (), confi
     config = config or TrainingConfig()
     spark, contract = df.sparkSession, validate(df, target, key)
     parts = keep(split(labelled(df, contract), contract, config))
-    train_rows = parts.where("split = 'train'").drop("split")
+    train_rows, kept = parts.where("split = 'train'").drop("split"), [parts]
     if config.calibration_method != "none":
         order = [F.col(quoted(config.time_column)), *(F.col(quoted(k)) for k in key)] if config.split_strategy == "temporal" else shuffle_order(contract, config.random_state)
         train_rows = keep(assign_folds(train_rows, contract, config.calibration_folds, order))
+        kept.append(train_rows)
     folds = fit_folds(train_rows, contract, config)
 
     threshold, metrics = assess(parts, contract, folds, config)
@@ -101,6 +102,7 @@ def train(df: DataFrame, target: str = "Class", key: tuple[str, ...] = (), confi
     }
     model = RiskModel(contract, folds, threshold, card)
     card["feature_effects"] = [r.asDict() for r in model.effects(spark).collect()]
+    discard(*kept)
     return model
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +19,8 @@ from riskframe.sources.staging import exists, publish
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A CSV table with a header. Names must be unique in the files themselves: Spark would rename them.
 
-    The first file's header is checked here; while rows are read, every file's header must agree with the
-    schema in names and order (``enforceSchema`` is off), so no file is read into the wrong columns.
+    Every file is opened here and its header must agree with the first one's, or the schema, in names and order
+    (``enforceSchema`` is off), so faults are told before rows are used and no file is read into the wrong columns.
     """
     if not exists(spark, path):
         raise DataError(f"No such table: {path}")
@@ -33,9 +35,35 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         raise DataError(f"Cannot read {path}: {str(e)[:200]}") from e
     if not df.columns:
         raise DataError(f"The table is empty: {path}")
+    _check_headers(reader.schema(df.schema).csv(path), path)
     return df
 
 
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _ in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], ["opened"])
+        return
+
+
+def _check_headers(df: DataFrame, path: str) -> None:
+    """Opens every file by a task of its own, which checks the header and stops after the first rows."""
+    spark = df.sparkSession
+    settings = {"spark.sql.files.openCostInBytes": "1g", "spark.sql.files.minPartitionNum": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.csv.parser.columnPruning.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        df.mapInArrow(_first_rows, "opened int").write.format("noop").mode("overwrite").save()
+    except (PySparkException, Py4JJavaError) as e:
+        text = str(e)
+        if "header" not in text.lower():
+            return  # a cell, which its own reader tells
+        raise DataError(f"Cannot read {path}: {text[:200]}") from e
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def read_labelled(spark: SparkSession, path: str, target: str = "Class", key: tuple[str, ...] = (), schema: T.StructType | str | None = None) -> tuple[DataFrame, FeatureContract]:
     df = read_csv(spark, path, schema)
     check_names(df.columns)
