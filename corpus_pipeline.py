@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = store.table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, before = store.table(spark, sf_dir, "documents").select(*COLUMNS), None
     for _, stage in STAGES:
         docs = store.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            store.discard(before)
+        before = docs
     return docs
