@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.contracts import FeatureContract
-from riskframe.functions import number, quoted
+from riskframe.functions import local_table, number, quoted
 from riskframe.sources.staging import keep
 
 
@@ -79,26 +79,32 @@ def changed_parts(old: DataFrame, new: DataFrame) -> DataFrame:
     return differ.select("node", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change"))
 
 
-def updated(old: DataFrame, df: DataFrame, contract: FeatureContract, key: str, width: int, parts: list[int]) -> DataFrame:
+#: spans of keys that reach a scan as filters, at most
+SPANS = 64
+
+
+def updated(old: DataFrame, df: DataFrame, contract: FeatureContract, key: str, width: int, parts: DataFrame | list[int]) -> DataFrame:
     """The tree after only ``parts`` changed: their rows are read and digested, the others' digests are taken over.
 
-    Parts are few (a list on the driver); ranges of keys reach the scan as filters.
+    Parts are a list, or a table with the column ``node`` of any size.  Rows meet it by a join; at most SPANS spans of keys around
+    the parts reach the scan as filters.
     """
-    k, wanted = F.col(quoted(key)), sorted(set(parts))
-    inside = F.lit(False)
-    for first, last in _runs(wanted):
+    if not isinstance(parts, DataFrame):
+        parts = local_table(df.sparkSession, [(n,) for n in parts], "node long")
+    wanted, k, inside = parts.select("node").distinct(), F.col(quoted(key)), F.lit(False)
+    for first, last in _spans(wanted):
         inside = inside | ((k >= first * width) & (k < (last + 1) * width))
-    fresh = leaves(df.where(inside), contract, key, width)
-    kept = old.where("level = 0").where(~F.col("node").isin(wanted) if wanted else F.lit(True)).select("node", "n_rows", "digest")
+    again = wanted.select(F.col("node").alias("_part"))
+    fresh = leaves(df.where(inside).join(again, part_of(key, width) == F.col("_part"), "left_semi"), contract, key, width)
+    kept = old.where("level = 0").join(wanted, "node", "left_anti").select("node", "n_rows", "digest")
     return tree(kept.union(fresh))
 
 
-def _runs(numbers: list[int]) -> list[tuple[int, int]]:
-    """Ascending numbers as runs of consecutive ones."""
-    out: list[list[int]] = []
-    for n in numbers:
-        if out and out[-1][1] == n - 1:
-            out[-1][1] = n
-        else:
-            out.append([n, n])
-    return [(a, b) for a, b in out]
+def _spans(parts: DataFrame) -> list[tuple[int, int]]:
+    """At most SPANS spans (first, last) that cover all ``node``."""
+    low, high = parts.agg(F.min("node"), F.max("node")).first()
+    if low is None:
+        return []
+    size = (high - low) // SPANS + 1
+    found = parts.groupBy(F.floor((F.col("node") - low) / F.lit(size)).alias("span")).agg(F.min("node"), F.max("node")).orderBy("span").collect()
+    return [(r[1], r[2]) for r in found]

@@ -151,7 +151,7 @@ def fingerprint_changes(spark, d):
     new = changed.union(t.where(F.col("event_id") < 150).withColumn("event_id", F.col("event_id") + last + 1000))
     old_tree, new_tree = (prints.tree(prints.leaves(x, Q.CONTRACT, "event_id", RANGE)) for x in (t, new))
     told = keep(prints.changed_parts(old_tree, new_tree))
-    again = prints.updated(old_tree, new, Q.CONTRACT, "event_id", RANGE, [r.node for r in told.select("node").collect()])
+    again = prints.updated(old_tree, new, Q.CONTRACT, "event_id", RANGE, told)
     same = again.exceptAll(new_tree).count() == 0 and new_tree.exceptAll(again).count() == 0
     return told.select((F.col("node") * RANGE).alias("first_key"), "change", F.lit(same).alias("update_agrees"))
 

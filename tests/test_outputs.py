@@ -220,6 +220,17 @@ def test_trees_tell_changed_ranges(spark):
     assert make(rows.where("false")).count() == 0 and fingerprint.changed_parts(make(rows.where("false")), old).count() == old.where("level = 0").count()
 
 
+def test_thousands_of_changed_ranges_update_a_tree(spark):
+    rows = spark.range(30_000).select("id", (F.col("id") * 1.5).alias("a"), F.lit(2.0).alias("b"))
+    make = lambda df: fingerprint.tree(fingerprint.leaves(df, AB, "id", 5))
+    old, new = make(rows), rows.withColumn("a", F.when(F.col("id") % 10 == 3, 0.0).otherwise(F.col("a")))
+    told, want = fingerprint.changed_parts(old, make(new)), sorted(map(tuple, make(new).collect()))
+    assert told.count() == 3000 and len(fingerprint._spans(told)) <= fingerprint.SPANS
+    for parts in (told, [r.node for r in told.collect()]):
+        assert sorted(map(tuple, fingerprint.updated(old, new, AB, "id", 5, parts).collect())) == want
+    assert sorted(map(tuple, fingerprint.updated(old, rows, AB, "id", 5, []).collect())) == sorted(map(tuple, old.collect()))
+
+
 def test_a_constant_calibrator_is_no_optimum(spark, monkeypatch):
     monkeypatch.setattr(fit, "calibrate", lambda held, contract, model, method: fit.Calibrator("isotonic", boundaries=(-1e9, 1e9), values=(held.agg(F.avg("label")).first()[0],) * 2))
     told = proofs.isotonic_optimal(spark, "/root/testdata/sf0.001").collect()
