@@ -342,7 +342,6 @@ class WordBPE:
         return " ".join(self.label[i] for i in ids)
 
 
-_made: dict[str, WordBPE] = {}
 _sent: dict[tuple[str, str], Broadcast] = {}
 
 
@@ -358,9 +357,10 @@ def _broadcast(spark: SparkSession, tokenizer_file: str) -> Broadcast:
 
 def _received(sent: tuple[str, bytes]) -> WordBPE:
     """The tables in a worker, unpacked once."""
-    if sent[0] not in _made:
-        _made[sent[0]] = pickle.loads(zlib.decompress(sent[1])).ready()
-    return _made[sent[0]]
+    made = words.kept("bpe")
+    if sent[0] not in made:
+        made[sent[0]] = pickle.loads(zlib.decompress(sent[1])).ready()
+    return made[sent[0]]
 
 
 def encode_texts(docs: DataFrame, tokenizer_file: str, columns: list[str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

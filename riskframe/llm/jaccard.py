@@ -168,6 +168,8 @@ def _across(similarity: Similarity):
     """Queries against another shard: (a, b) of linked classes."""
 
     def run(queries: pa.Table, index: pa.Table) -> pa.Table:
+        words.kept("jaccard")
+        words.give_back()
         links: set[tuple[int, int]] = set()
         if queries.num_rows and index.num_rows:
             nodes, sets = _unpack(index)
@@ -197,11 +199,13 @@ def _searched(sets: DataFrame, turn: int, similarity: Similarity) -> DataFrame:
 
         def shard() -> pa.RecordBatch:
             nonlocal number, held, size
+            words.give_back()
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             nodes, own = _unpack(rows)
             number, held, size = number + 1, [], 0
             return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(nodes), number - 1)), pa.array(_search_within(nodes, own, similarity))], [*rows.schema.names, "shard", "label"])
 
+        words.kept("jaccard")
         for batch in batches:
             nodes, bytes_ = np.asarray(batch["node"]), np.asarray(pc.binary_length(batch["tokens"]), np.int64)
             fresh = np.append(True, nodes[1:] != nodes[:-1]) if len(nodes) else np.empty(0, bool)
@@ -230,6 +234,7 @@ def frequent_shingles(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """At most FREQUENT hashes that many documents have. They only set the order of shingles, which any order may be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.kept("jaccard")
         held: list[tuple[np.ndarray, np.ndarray]] = []
         seen = np.zeros(1 << 24, np.uint8)  # bits of what this task has met
         for batch in words.slices(batches, "text"):
@@ -261,6 +266,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 90, width: int = 3, key: str
     alone = next(n for n in range(1, 1000) if sim.least_overlap(n, n + 1) <= n)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.kept("jaccard")
         for batch in words.slices(batches, "text"):
             nodes, sizes, signatures = [], [], []
             for tokens in shingle_sets(batch["text"], width):
@@ -299,6 +305,7 @@ def _classes(rows: DataFrame, placed: DataFrame, occurrences: DataFrame, active:
     """(node, label) of the active nodes."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.kept("jaccard")
         for batch in words.slices(batches, "text"):
             sets = shingle_sets(batch["text"], width)
             lows = [pa.array([int(mixed(s, 1000 + turn).min().astype(np.int64)) if len(s) else 0 for s in sets], pa.int64()) for turn in range(TURNS)]

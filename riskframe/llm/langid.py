@@ -141,6 +141,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     """Counts over all given rows whose language isn't null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.kept("langid")
         held: dict[str, np.ndarray] = {}
         for batch in words.slices(batches, "text", 2 << 20):
             labels, texts = np.array(batch["lang"].to_pylist(), object), np.array(batch["text"].to_pylist(), object)
@@ -162,6 +163,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
 
 
 def _labelled(model: LanguageModel, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray]]:
+    words.kept("langid")
     for batch in words.slices(batches, "text", max(1 << 16, (6 << 20) // (1 + len(model.languages)))):
         w = Words(batch["text"].to_pylist())
         yield batch, w, model.label(w) if model.languages else np.zeros(len(w.first), np.int64)

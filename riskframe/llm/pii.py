@@ -231,6 +231,7 @@ def _sample(docs: DataFrame, text: str, windows: int) -> list:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[set, set] = (set(), set())
+        words.kept("pii")
         for batch in words.slices(batches, "text"):
             for k, x in zip(batch["mark"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 x = x or ""
@@ -483,6 +484,7 @@ def detect(docs: DataFrame, tagger: Tagger, key: str = "doc_id", text: str = "te
     kinds = [*[pa.int64()] * len(KINDS), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.kept("pii")
         for batch in words.slices(batches, "text"):
             out = []
             for base, every in find_spans(sent.value, batch["text"].to_pylist()):
@@ -502,6 +504,7 @@ def redact(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.kept("pii")
         for batch in words.slices(batches, text):
             out = []
             for x, (_, spans) in zip(batch[text].to_pylist(), find_spans(sent.value, batch[text].to_pylist()), strict=True):

@@ -193,14 +193,12 @@ class ChunkEncoder:
         return words.gather(own, np.arange(len(own)), np.arange(len(own) + 1))
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def chunk_encoder(tokenizer_file: str) -> ChunkEncoder:
     """One encoder a worker process, so that later tasks know what earlier ones have seen."""
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = ChunkEncoder(tokenizer_file)
-    return _encoders[tokenizer_file]
+    encoders = words.kept("token_files")
+    if tokenizer_file not in encoders:
+        encoders[tokenizer_file] = ChunkEncoder(tokenizer_file)
+    return encoders[tokenizer_file]
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text", id_type: str = "<u2") -> DataFrame:

@@ -7,6 +7,7 @@ tokenizer never crosses such a blank, so the ids of a text are those of its chun
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,20 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What this worker keeps between tasks of an operator.  Workers serve one operator after the other: what was kept for others goes."""
+    if operator not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            give_back()
+        _kept[operator] = {}
+    return _kept[operator]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``size`` bytes of ``column`` (one row at least)."""
     for batch in batches:

@@ -33,7 +33,7 @@ def shared_path(spark: SparkSession) -> str:
 
 #: Spark's settings while a table is kept: a query that has ended gives its shuffle files back, and batches
 #: that go to Python stay small beside an executor's heap.
-WHILE_KEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+WHILE_KEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:

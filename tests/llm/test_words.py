@@ -1,3 +1,5 @@
+import weakref
+
 import pyarrow as pa
 
 from riskframe.llm import words
@@ -15,3 +17,20 @@ def test_slices_and_words():
         assert plain == [(t or "").replace("\t", " ") for t in part["text"].to_pylist()]
     fold = lambda t: "".join(c.lower() if c < "\x80" else c for c in t or "")
     assert got == [[w for w in fold(t).replace("\t", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w] for t in texts]
+
+
+def test_a_worker_keeps_one_operators_tables():
+    class Table:
+        def __init__(self):
+            self.own = self.look  # as a table that remembers by one of its methods
+
+        def look(self):
+            return self
+
+    held = words.kept("one")
+    held["table"] = Table()
+    gone = weakref.ref(held["table"])
+    assert words.kept("one") is held and gone() is not None
+    del held
+    assert words.kept("another") == {} and gone() is None
+    assert words.kept("one") == {}
