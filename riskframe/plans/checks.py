@@ -246,15 +246,23 @@ def overwrite_guard(spark, d):
     return spark.createDataFrame(steps, "step string, told string, n_rows long")
 
 
+#: rows of a partition that :func:`generated_table` makes
+ROWS_A_PART = 100_000
+
+
 def generated_table(spark, d):
-    """A generated table with a row an order: ids, times and labels as promised, the same however it is cut."""
+    """A generated table with a row an order: ids, times and labels as promised, the same however it is cut.
+
+    It is made in two numbers of partitions, which grow with it; only ids are shuffled, to count those that differ.
+    """
     n = Q.load(spark, d, "orders").count()
-    t = generate.transactions(spark, n, 0.1, 7)
-    again = generate.transactions(spark, n, 0.1, 7).repartition(7)
+    parts = n // ROWS_A_PART + 3
+    t, again = (generate.transactions(spark, n, 0.1, 7, k) for k in (parts, 2 * parts + 1))
+    n_ids = t.select("id").distinct().count()
     mark = lambda df: df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()[0]
     step = generate.DAY2 / n
     return t.agg(
-        F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), count_where((F.col("Time") < F.col("id") * step) | (F.col("Time") >= (F.col("id") + 1) * step + 1e-6)).alias("n_late"),
+        F.count("*").alias("n_rows"), F.lit(n_ids).cast("long").alias("n_ids"), count_where((F.col("Time") < F.col("id") * step) | (F.col("Time") >= (F.col("id") + 1) * step + 1e-6)).alias("n_late"),
         count_where(~F.col("Class").isin(0, 1)).alias("n_other_labels"), (F.abs(F.avg("Class") - 0.1) < 0.03).alias("rate_holds"), F.lit(len(t.columns)).alias("n_columns"),
     ).withColumn("repeatable", F.lit(mark(t) == mark(again)))
 

@@ -21,12 +21,12 @@ def _normal(name: str, seed: int) -> Column:
     return F.sqrt(-2 * F.ln(1 - _uniform(name + "r", seed))) * F.cos(2 * math.pi * _uniform(name + "a", seed))
 
 
-def transactions(spark: SparkSession, rows: int = 5000, positive_rate: float = 0.02, seed: int = 42) -> DataFrame:
-    """id, Time (ascending by id), V1..V28 (12 informative, 8 mixtures, 8 noise), Amount, Class."""
+def transactions(spark: SparkSession, rows: int = 5000, positive_rate: float = 0.02, seed: int = 42, parts: int | None = None) -> DataFrame:
+    """id, Time (ascending by id), V1..V28 (12 informative, 8 mixtures, 8 noise), Amount, Class; ``parts``: partitions that make them."""
     if rows < 200 or not 0.005 <= positive_rate <= 0.5:
         raise DataError("rows must be at least 200 and the rate between 0.005 and 0.5")
     label = (_uniform("class", seed) < positive_rate).cast("tinyint")
-    base = spark.range(rows).withColumn("Class", label)
+    base = spark.range(0, rows, 1, parts).withColumn("Class", label)
     shift = F.when(F.col("Class") == 1, 1.0).otherwise(-0.1)
     informative = {f"V{k}": _normal(f"V{k}", seed) + shift * (0.5 + 0.1 * (k % 5)) * (1 if k % 2 else -1) for k in range(1, 13)}
     mixtures = {f"V{k}": 0.6 * F.col(f"V{k - 12}") - 0.4 * F.col(f"V{k - 11}") for k in range(13, 21)}

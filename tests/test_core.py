@@ -193,6 +193,22 @@ def test_generated_rows_and_fingerprint(spark):
         generate.transactions(spark, 100)
 
 
+def test_generated_rows_are_checked_without_shuffling_them(spark, tmp_path):
+    from riskframe.plans import checks
+
+    spark.range(20_000).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    a, b = (generate.transactions(spark, 500, 0.05, 7, k) for k in (1, 5))
+    assert (a.rdd.getNumPartitions(), b.rdd.getNumPartitions()) == (1, 5) and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    made, real = [], generate.transactions
+    try:
+        generate.transactions = lambda *how: made.append(real(*how)) or made[-1]
+        row = checks.generated_table(spark, str(tmp_path)).first()
+    finally:
+        generate.transactions = real
+    assert row.n_rows == row.n_ids == 20_000 and row.repeatable
+    assert len({df.rdd.getNumPartitions() for df in made}) == 2 and not any("Exchange" in df._jdf.queryExecution().executedPlan().toString() for df in made)
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "twice.csv").write_text("amount,amount,Class\n1,2,0\n")
     (tmp_path / "none.csv").write_text("")
