@@ -86,11 +86,22 @@ def _written(ledger: sinks.Ledger) -> DataFrame:
     return accepted.union(rejected)
 
 
+#: requests of a file of the streams
+FILE_ROWS = 100_000
+
+
+def _request_files(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Requests in four times as many files as a batch takes, and their stream: four batches, whose files grow in number, not in size."""
+    events = Q.load(spark, d, "events")
+    each = events.count() // (4 * FILE_ROWS) + 1
+    files = keep(Q._bodies(events).repartition(4 * each, "event_id"))
+    return files, spark.readStream.schema(files.schema).option("maxFilesPerTrigger", each).parquet(files._kept_at)
+
+
 def stream_tables(spark, d):
-    """Requests as a stream of four files, one of whose batches is cut off half written; the stream is then replayed
+    """Requests as a stream of four batches of files, one of whose batches is cut off half written; the stream is then replayed
     from its start.  The rows of both tables, each of which must be there once."""
-    files, base = keep(Q._bodies(Q.load(spark, d, "events")).repartition(4, "event_id")), shared_path(spark)
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(files._kept_at)
+    (files, stream), base = _request_files(spark, d), shared_path(spark)
     ledger = sinks.Ledger(spark, base)
     # a batch that was killed after its first table: not in the ledger, so not read, and written anew
     files.limit(3).write.parquet(ledger.folder("accepted", 1))
@@ -101,8 +112,7 @@ def stream_tables(spark, d):
 
 def stream_ledger(spark, d):
     """Batches and rows of the ledger after a replay."""
-    files, base = keep(Q._bodies(Q.load(spark, d, "events")).repartition(4, "event_id")), shared_path(spark)
-    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(files._kept_at)
+    (files, stream), base = _request_files(spark, d), shared_path(spark)
     for _ in range(2):
         sinks.start(stream, ("k",), Q.K_MODEL, 0.5, "fixed", base, shared_path(spark), ["event_id"], once=True).awaitTermination()
     held = sinks.Ledger(spark, base).batches()

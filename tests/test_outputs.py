@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskframe.contracts import FeatureContract, ModelError, RiskError, SchemaError, TrainingConfig
 from riskframe.operators import cutoffs, drift, fingerprint, fit, knots, observed, score, split, wide
-from riskframe.plans import proofs
+from riskframe.plans import outputs, proofs
 from riskframe.sources import staging, versions
 from riskframe.streaming import drift as windows
 from riskframe.streaming import sinks
@@ -220,6 +220,13 @@ def test_trees_tell_changed_ranges(spark):
     assert make(rows.where("false")).count() == 0 and fingerprint.changed_parts(make(rows.where("false")), old).count() == old.where("level = 0").count()
 
 
+def test_a_batch_of_many_requests_has_several_files(spark, monkeypatch):
+    monkeypatch.setattr(outputs, "FILE_ROWS", 100)
+    row = outputs.stream_ledger(spark, "/root/testdata/sf0.001").first()
+    files, n = outputs._request_files(spark, "/root/testdata/sf0.001")[0], row.n_accepted + row.n_rejected
+    assert row.n_batches == 4 and n == files.count() and len(files.inputFiles()) == 4 * (n // 400 + 1)
+
+
 def test_thousands_of_changed_ranges_update_a_tree(spark):
     rows = spark.range(30_000).select("id", (F.col("id") * 1.5).alias("a"), F.lit(2.0).alias("b"))
     make = lambda df: fingerprint.tree(fingerprint.leaves(df, AB, "id", 5))
