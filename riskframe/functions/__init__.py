@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +51,26 @@ def decision(probability: Column, threshold: float) -> Column:
     return (probability >= F.lit(float(threshold))).cast("tinyint")
 
 
+#: terms that are written out by + or |, which Spark compiles; longer chains would overflow the analyzer's stack
+CHAINED = 64
+
+
 def dot(values: list[Column], weights: list[float]) -> Column:
-    """Sum of products as one array expression: long sums by + would overflow the analyzer's stack."""
+    """Sum of products, from the left: a chain of few, else one array expression. Both give the same bits."""
+    if len(values) <= CHAINED:
+        out = F.lit(0.0)
+        for value, w in zip(values, weights, strict=True):
+            out = out + value * F.lit(float(w))
+        return out
     products = F.zip_with(F.array(*values), F.array(*(F.lit(float(w)) for w in weights)), lambda a, b: a * b)
     return F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row, however often ``use`` names it, also inside its lambdas."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows of the driver as a table that needs no worker to be read."""
     fields = StructType.fromDDL(schema).fields

@@ -45,7 +45,7 @@ def positions(column: Column, kind: T.DataType) -> list[Column]:
     if isinstance(kind, T.DecimalType):
         whole = F.floor(column.cast("decimal(38,18)")) if kind.scale <= 18 and kind.precision - kind.scale <= 18 else None
         return [_of_double(column.cast("double"))] if whole is None else [least(whole), least((column.cast("decimal(38,18)") - whole) * F.lit(10**18).cast("decimal(20,0)"))]
-    raw = column if isinstance(kind, T.BinaryType) else F.encode(column.cast("string"), "UTF-8")
+    raw = column if isinstance(kind, T.BinaryType) else column.cast("string").cast("binary")
     chunk = lambda k: F.conv(F.rpad(F.hex(F.substring(raw, 1 + k * _BYTES, _BYTES)), 2 * _BYTES, "0"), 16, 10)
     # the length tells a string from one that zero bytes end
     return [least(chunk(k)) for k in range(_CHUNKS)] + [least(F.length(raw))]

@@ -9,13 +9,16 @@ exact, so a rank that a sketch missed is noticed and looked for again with more
 
 from __future__ import annotations
 
-from collections.abc import Hashable
+from collections.abc import Hashable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: items of a sketch; the share of rows that a bracket leaves to either side of a rank (twice the error of so many items); rows inside brackets that are returned as they are
 ITEMS, ROOM, FEW = 4096, 0.003, 100_000
@@ -72,15 +75,38 @@ class _Brackets:
         out.expected = sum(len(ranks) * min(n, 4 * room(n)) for _, n, _, ranks in known)
         return out
 
-    def slot(self, group: str, value: str, kind: str) -> Column:
-        """2 k below bound k and above bound k - 1, 2 k + 1 at bound k."""
-        known = F.create_map(*(x for g, b in self.bounds.items() for x in (F.lit(g), F.array(*map(F.lit, b)).cast(f"array<{kind}>"))))
-        own, x = F.element_at(known, F.col(group)), F.col(value)
-        return F.size(F.filter(own, lambda b: b < x)) + F.size(F.filter(own, lambda b: b <= x))
-
-    def is_inside(self, group: str, slot: str) -> Column:
-        known = F.create_map(*(x for g, s in self.inside.items() for x in (F.lit(g), F.array(*map(F.lit, sorted(s))).cast("array<int>"))))
-        return F.array_contains(F.element_at(known, F.col(group)), F.col(slot))
+    def counted(self, rows: DataFrame, group: str, value: str, kind: str, listed: bool) -> DataFrame:
+        """group, slot, x, n: how many rows a task has in each slot, x null; inside brackets rows are by value.
+
+        Slot 2 k is below bound k and above bound k - 1, 2 k + 1 at bound k.
+        """
+        known = {g: (np.array(b, np.int64 if kind == "bigint" else np.float64), np.array(sorted(self.inside[g]), np.int64)) for g, b in self.bounds.items()}
+        schema = T.StructType([T.StructField("g", rows.schema[group].dataType), T.StructField("slot", T.IntegerType()), T.StructField("x", rows.schema[value].dataType), T.StructField("n", T.LongType())])
+        arrow = to_arrow_schema(schema)
+
+        def made(g: Hashable, slots: np.ndarray, x: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            columns = ([g] * len(slots), slots, x, n)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = {g: np.zeros(2 * len(b) + 1, np.int64) for g, (b, _) in known.items()}
+            for batch in batches:
+                for g, (b, inside) in known.items():
+                    x = np.asarray(batch.column(1).filter(pc.equal(batch.column(0), g)))
+                    slot = np.searchsorted(b, x, "left") + np.searchsorted(b, x, "right")
+                    by_value = np.isin(slot, inside)
+                    counts[g] += np.bincount(slot[~by_value], minlength=len(counts[g]))
+                    x, slot, n = x[by_value], slot[by_value], np.ones(int(by_value.sum()), np.int64)
+                    if listed:
+                        x, at, n = np.unique(x, return_index=True, return_counts=True)
+                        slot = slot[at]
+                    if len(x):
+                        yield made(g, slot, x, n)
+            for g, own in counts.items():
+                slots = np.flatnonzero(own)
+                yield made(g, slots, pa.nulls(len(slots), arrow.field("x").type), own[slots])
+
+        return rows.select(F.col(group), F.col(value)).mapInArrow(run, schema)
 
 
 def order_statistics(rows: DataFrame, group: str, value: str, ranks: dict[Hashable, list[int]], known: dict[Hashable, tuple[int, bytearray]] | None = None, few: int = FEW) -> dict[tuple[Hashable, int], Place]:
@@ -95,15 +121,15 @@ def order_statistics(rows: DataFrame, group: str, value: str, ranks: dict[Hashab
     now = [(g, *whole[g], sorted(own)) for g, own in left.items()]
     while now:
         around = _Brackets.around(rows, kind, now)
-        slotted = rows.where(F.col(group).isin(list(left))).select(group, value, around.slot(group, value, kind).alias("slot"))
-        x, listed = F.when(around.is_inside(group, "slot"), F.col(value)), around.expected <= few
+        listed = around.expected <= few
+        counted = around.counted(rows.where(F.col(group).isin(list(left))), group, value, kind, listed)
         if listed:
-            found = slotted.groupBy(group, "slot", x.alias("x")).agg(F.count("*").alias("n")).collect()
+            found = counted.groupBy("g", "slot", "x").agg(F.sum("n").alias("n")).collect()
         else:
-            found = slotted.groupBy(group, "slot").agg(F.count("*").alias("n"), sketch(x, kind).alias("x")).collect()
+            found = counted.groupBy("g", "slot").agg(F.sum("n").alias("n"), sketch(F.col("x"), kind).alias("x")).collect()
         told: dict[Hashable, dict[int, list]] = {g: {} for g in left}
         for r in found:
-            told[r[group]].setdefault(r["slot"], []).append((r["x"], r["n"]))
+            told[r["g"]].setdefault(r["slot"], []).append((r["x"], r["n"]))
         narrower: list[tuple[Hashable, int, bytearray, list[int]]] = []
         for g, own in told.items():
             below, missed = 0, False

@@ -46,10 +46,23 @@ def shuffle_order(contract: FeatureContract, seed: int) -> list[Column]:
     return [F.md5(F.concat_ws("#", F.lit(str(seed)), *(k.cast("string") for k in key))), *key]
 
 
-def _parted(df: DataFrame, group: Column | None, order: list[Column], sizes: dict[int, list[int]], names: list[str] | None, column: str) -> DataFrame:
+def row_order(contract: FeatureContract, config: TrainingConfig) -> list[Column]:
+    """The order that training splits by, and cuts its folds in: by time, or shuffled."""
+    if config.split_strategy == "temporal":
+        return [F.col(quoted(config.time_column)), *_need_key(contract)]
+    return shuffle_order(contract, config.random_state)
+
+
+def with_place(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``, the first position of ``order``: where it is written, what is ``placed`` by it makes no digest again."""
+    return df.withColumn(name, all_positions(df, order)[0])
+
+
+def _parted(df: DataFrame, group: Column | None, order: list[Column], sizes: dict[int, list[int]], names: list[str] | None, column: str, placed: str | None = None) -> DataFrame:
     """Adds ``column``: which of consecutive parts a row is in, by its place in ``order`` within its group.
 
-    sizes: of each group, the numbers of rows of its parts; names: of the parts, numbers from 1 without.  The
+    sizes: of each group, the numbers of rows of its parts; names: of the parts, numbers from 1 without; placed:
+    a column with the order's first position (:func:`with_place`), which is made here without.  The
     cutoffs between parts are found by selection and rows are told by a filter; where rows that are
     equal in the whole order lie on both sides of a cutoff, rows are ranked instead.
     """
@@ -57,10 +70,13 @@ def _parted(df: DataFrame, group: Column | None, order: list[Column], sizes: dic
     label = lambda k: F.lit(names[k] if names else k + 1)
     ends = {g: [sum(parts[: k + 1]) for k in range(len(parts) - 1)] for g, parts in sizes.items()}
     try:
-        places = all_positions(df, order)
+        places, ready = all_positions(df, order), df
+        if placed:
+            places[0] = F.col(placed)
         cuts = cutoffs(df, own, places, ends)
+        if not placed:  # made once a row for all cutoffs
+            ready, places[0] = df.withColumn("_place", places[0]), F.col("_place")
         before = {(g, n): cut.holds(places) for (g, n), cut in cuts.items()}
-        ready = df
     except TiedError:
         ordered = [f"_order_{k}" for k in range(len(order))]
         keyed = df.withColumns(dict(zip(ordered, order, strict=True))).withColumn("_group", own)
@@ -72,10 +88,10 @@ def _parted(df: DataFrame, group: Column | None, order: list[Column], sizes: dic
         for k in reversed(range(len(ns))):
             inside = F.when(before[g, ns[k]], label(k)).otherwise(inside)
         part = inside if group is None else F.when(own == g, inside).otherwise(part)
-    return ready.withColumn(column, part).drop("_rank")
+    return ready.withColumn(column, part).drop("_rank", "_place")
 
 
-def stratified_split(df: DataFrame, contract: FeatureContract, config: TrainingConfig) -> DataFrame:
+def stratified_split(df: DataFrame, contract: FeatureContract, config: TrainingConfig, placed: str | None = None) -> DataFrame:
     """Test rows first, then validation rows from what is left, in each class."""
     sizes = {}
     for label, n in class_counts(df, contract.target).items():
@@ -84,10 +100,10 @@ def stratified_split(df: DataFrame, contract: FeatureContract, config: TrainingC
         sizes[label] = [n_test, n_validation, n - n_test - n_validation]
     if not sizes:
         return df.withColumn("split", F.lit("train"))
-    return _parted(df, F.col(quoted(contract.target)).cast("int"), shuffle_order(contract, config.random_state), sizes, ["test", "validation", "train"], "split")
+    return _parted(df, F.col(quoted(contract.target)).cast("int"), shuffle_order(contract, config.random_state), sizes, ["test", "validation", "train"], "split", placed)
 
 
-def temporal_split(df: DataFrame, contract: FeatureContract, config: TrainingConfig) -> DataFrame:
+def temporal_split(df: DataFrame, contract: FeatureContract, config: TrainingConfig, placed: str | None = None) -> DataFrame:
     """The oldest rows train, the next validate, the newest test; ties by key."""
     if config.time_column not in df.columns:
         raise DataError(f"Time column {config.time_column!r} is absent")
@@ -97,7 +113,7 @@ def temporal_split(df: DataFrame, contract: FeatureContract, config: TrainingCon
     if n_train < 1:
         raise DataError("The temporal split leaves no training rows")
     order = [F.col(quoted(config.time_column)), *_need_key(contract)]
-    return _parted(df, None, order, {0: [n_train, n_validation, n_test]}, ["train", "validation", "test"], "split")
+    return _parted(df, None, order, {0: [n_train, n_validation, n_test]}, ["train", "validation", "test"], "split", placed)
 
 
 def check_classes(df: DataFrame, target: str) -> None:
@@ -108,11 +124,11 @@ def check_classes(df: DataFrame, target: str) -> None:
         raise DataError(f"Each temporal window must hold both classes: {sorted(poor)} do not")
 
 
-def split(df: DataFrame, contract: FeatureContract, config: TrainingConfig) -> DataFrame:
+def split(df: DataFrame, contract: FeatureContract, config: TrainingConfig, placed: str | None = None) -> DataFrame:
     check_capacity(class_counts(df, contract.target), config)
     if config.split_strategy == "stratified":
-        return stratified_split(df, contract, config)
-    out = temporal_split(df, contract, config)
+        return stratified_split(df, contract, config, placed)
+    out = temporal_split(df, contract, config, placed)
     check_classes(out, contract.target)
     return out
 
@@ -127,10 +143,10 @@ def split_ranges(df: DataFrame, target: str, time: str) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.col(quoted(target)).cast("long")).alias("n_positive"), F.min(t).alias("t_min"), F.max(t).alias("t_max"))
 
 
-def assign_folds(df: DataFrame, contract: FeatureContract, folds: int, order: list[Column]) -> DataFrame:
+def assign_folds(df: DataFrame, contract: FeatureContract, folds: int, order: list[Column], placed: str | None = None) -> DataFrame:
     """Adds ``fold`` from 1: consecutive blocks of each class in ``order``, the first ones a row longer."""
     counts = class_counts(df, contract.target)
     if min(counts.get(0, 0), counts.get(1, 0)) < folds:
         raise DataError(f"A class has fewer rows than the {folds} calibration folds")
     sizes = {label: [n // folds + (k < n % folds) for k in range(folds)] for label, n in counts.items()}
-    return _parted(df, F.col(quoted(contract.target)).cast("int"), order, sizes, None, "fold")
+    return _parted(df, F.col(quoted(contract.target)).cast("int"), order, sizes, None, "fold", placed)

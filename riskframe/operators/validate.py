@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.contracts import DataError, FeatureContract, RiskError, SchemaError, check_names, name_differences
-from riskframe.functions import count_where, is_infinite, is_missing, number, quoted
+from riskframe.functions import CHAINED, count_where, is_infinite, is_missing, number, quoted
 
 
 def not_numeric(df: DataFrame, names: list[str] | tuple[str, ...]) -> list[str]:
@@ -100,7 +100,12 @@ def match_schema(df: DataFrame, contract: FeatureContract, error: type[RiskError
 
 def bad_rows(contract: FeatureContract) -> Column:
     """Whether a row has a feature that is missing or infinite."""
-    return F.exists(F.array(*(number(f) for f in contract.features)), lambda x: is_missing(x) | is_infinite(x))
+    if len(contract.features) > CHAINED:
+        return F.exists(F.array(*(number(f) for f in contract.features)), lambda x: is_missing(x) | is_infinite(x))
+    out = F.lit(False)
+    for f in contract.features:
+        out = out | is_missing(number(f)) | is_infinite(number(f))
+    return out
 
 
 def check_scorable(df: DataFrame, contract: FeatureContract, error: type[RiskError] = SchemaError) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
@@ -18,7 +19,7 @@ from riskframe.operators.fingerprint import fingerprint
 from riskframe.operators.fit import FoldModel, fit_folds
 from riskframe.operators.metrics import evaluate, expected_cost
 from riskframe.operators.score import add_scores, check_scores, score_table
-from riskframe.operators.split import assign_folds, shuffle_order, split, split_ranges, split_sizes
+from riskframe.operators.split import assign_folds, row_order, split, split_ranges, split_sizes, with_place
 from riskframe.operators.threshold import cost_threshold, f1_threshold
 from riskframe.operators.validate import dataset_summary, labelled, validate
 from riskframe.sources.staging import discard, keep
@@ -75,14 +76,28 @@ def assess(parts: DataFrame, contract: FeatureContract, folds: list[FoldModel],
     return threshold, metrics
 
 
+def divided(df: DataFrame, contract: FeatureContract, config: TrainingConfig) -> tuple[DataFrame, DataFrame]:
+    """(all rows with ``split``, the training rows; with ``fold`` if the configuration calibrates), kept.
+
+    The given table is read once. Splits and folds are cut in one order, whose positions are written beside the rows.
+    """
+    order, place = row_order(contract, config), f"_place_{uuid.uuid4().hex[:8]}"
+    read = keep(with_place(labelled(df, contract), order, place))
+    placed = keep(split(read, contract, config, place))
+    discard(read)
+    parts, train_rows = placed.drop(place), placed.where("split = 'train'").drop("split")
+    parts._kept_at = placed._kept_at
+    if config.calibration_method == "none":
+        return parts, train_rows.drop(place)
+    return parts, keep(assign_folds(train_rows, contract, config.calibration_folds, order, place).drop(place))
+
+
 def train(df: DataFrame, target: str = "Class", key: tuple[str, ...] = (), config: TrainingConfig | None = None) -> RiskModel:
     config = config or TrainingConfig()
     spark, contract = df.sparkSession, validate(df, target, key)
-    parts = keep(split(labelled(df, contract), contract, config))
-    train_rows, kept = parts.where("split = 'train'").drop("split"), [parts]
+    parts, train_rows = divided(df, contract, config)
+    kept = [parts]
     if config.calibration_method != "none":
-        order = [F.col(quoted(config.time_column)), *(F.col(quoted(k)) for k in key)] if config.split_strategy == "temporal" else shuffle_order(contract, config.random_state)
-        train_rows = keep(assign_folds(train_rows, contract, config.calibration_folds, order))
         kept.append(train_rows)
     folds = fit_folds(train_rows, contract, config)
 
