@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.functions import local_table
+from riskframe.functions import bound, local_table
 
 #: knots in a block; boundaries that are searched in one go, more are searched in two steps
 BLOCK, SEARCHED = 512, 128
@@ -39,7 +39,8 @@ def between(x: Column, below: Column, b: Column, v: Column, last: Column) -> Col
 def interpolated(x: Column, boundaries: tuple[float, ...], values: tuple[float, ...]) -> Column:
     """The literal form: knots are part of the expression."""
     b, v = (F.array(*(F.lit(float(n)) for n in numbers)) for numbers in (boundaries, values))
-    return between(x, at_or_below(x, boundaries, b), b, v, F.lit(len(boundaries)))
+    # a margin is a long expression: without the binding each knot that is looked at would make it anew
+    return bound(x, lambda own: bound(at_or_below(own, boundaries, b), lambda below: between(own, below, b, v, F.lit(len(boundaries)))))
 
 
 def blocks(spark: SparkSession, boundaries: tuple[float, ...], values: tuple[float, ...], size: int = BLOCK) -> DataFrame:

@@ -7,6 +7,7 @@ query states what holds at an optimum (gradients of zero, means that agree), com
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from riskframe.functions import count_where, logistic, number
 from riskframe.operators import drift, explain, fit, score, split, validate
 from riskframe.operators.fingerprint import fingerprint
 from riskframe.plans import queries as Q
-from riskframe.plans.train import VERSION, RiskModel, check_model, train
+from riskframe.plans.train import VERSION, RiskModel, check_model, divided, train
 from riskframe.sources import artifact, generate, tables
 from riskframe.sources.staging import is_free, keep, shared_path
 from riskframe.streaming import requests
@@ -280,8 +281,7 @@ def fingerprint_properties(spark, d):
 
 def _parts(spark, d) -> DataFrame:
     """Training rows in three folds."""
-    t = split.stratified_split(validate.labelled(Q.event_table(spark, d), Q.CONTRACT), Q.CONTRACT, Q.CONFIG).where("split = 'train'").drop("split")
-    return keep(split.assign_folds(t, Q.CONTRACT, 3, split.shuffle_order(Q.CONTRACT, Q.CONFIG.random_state)))
+    return divided(Q.event_table(spark, d), Q.CONTRACT, Q.CONFIG)[1]
 
 
 def _zero(value: Column, places: int) -> Column:
@@ -302,26 +302,40 @@ def fit_optimal(spark, d):
     return one.select(F.inline(F.array(*(F.struct(F.lit(f).alias("term"), F.col(f"g{k}").alias("gradient")) for k, (f, _) in enumerate(terms)))))
 
 
+def _near(a, b) -> bool:
+    """Equal parameters, but for the order in which sums of tasks meet, which a cluster leaves open."""
+    if isinstance(a, (dict, list, tuple)):
+        return len(a) == len(b) and all(_near(x, y) for x, y in zip(*((v.values() if isinstance(v, dict) else v) for v in (a, b)), strict=True))
+    return math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6) if isinstance(a, float) else a == b
+
+
+def _by_fold(values: list[Column]) -> Column:
+    """Of each row the value that belongs to its fold."""
+    out = F.lit(None).cast("double")
+    for k, value in enumerate(values, 1):
+        out = F.when(F.col("fold") == k, value).otherwise(out)
+    return out
+
+
 def calibration_optimal(spark, d):
     """Calibrators of three folds on the rows their models have not seen: Platt's gradients and the isotonic mean error
     are zero, isotonic values rise, and folds fitted side by side equal folds fitted one after the other."""
-    rows, out = _parts(spark, d), []
-    for method in ("sigmoid", "isotonic"):
-        folds = fit.fit_folds(rows, Q.CONTRACT, TrainingConfig(time_column="ts", calibration_method=method, calibration_jobs=-1))
-        if method == "sigmoid":
-            serial = fit.fit_folds(rows, Q.CONTRACT, TrainingConfig(time_column="ts", calibration_method=method, calibration_jobs=1))
-            same = folds == serial
-        for k, model in enumerate(folds, 1):
-            held, c = rows.where(F.col("fold") == k), model.calibrator
-            m, p, y = fit.margin(Q.FEATURES, model), score.fold_probability(Q.FEATURES, model), F.col("label")
-            if method == "sigmoid":
-                ones, zeros = held.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-                t = F.when(y == 1, (ones + 1) / (ones + 2)).otherwise(1 / (zeros + 2))
-                one = held.agg(_zero(F.avg(p - t), 4), _zero(F.avg((p - t) * m), 4)).first()
-                out.append((k, method, *one, True, same))
-            else:
-                rises = all(a <= b for v in (c.boundaries, c.values) for a, b in zip(v, v[1:], strict=False))
-                out.append((k, method, held.agg(_zero(F.avg(p - y), 3)).first()[0], 0.0, rises, same))
+    rows, out, y = _parts(spark, d), [], F.col("label")
+    config = lambda method, jobs: TrainingConfig(time_column="ts", calibration_method=method, calibration_jobs=jobs)
+    sigmoid = fit.fit_folds(rows, Q.CONTRACT, config("sigmoid", -1))
+    serial = fit.fit_folds(rows, Q.CONTRACT, config("sigmoid", 1))
+    isotonic = fit.fit_folds(rows, Q.CONTRACT, config("isotonic", -1), sigmoid)
+    same = all(_near(a.as_dict(), b.as_dict()) for a, b in zip(sigmoid, serial, strict=True))
+    counts = rows.groupBy("fold").agg(F.sum(y), F.sum(1 - y)).orderBy("fold").collect()
+    platt = _by_fold([F.when(y == 1, (ones + 1) / (ones + 2)).otherwise(1 / (zeros + 2)) for _, ones, zeros in counts])
+    for method, folds, target, places in (("sigmoid", sigmoid, platt, 4), ("isotonic", isotonic, y, 3)):
+        m, p = (_by_fold([of(Q.FEATURES, model) for model in folds]) for of in (fit.margin, score.fold_probability))
+        # all folds in one pass, each row by the model that has not seen it
+        gaps = rows.select("fold", m.alias("m"), (p - target).alias("gap")).groupBy("fold").agg(_zero(F.avg("gap"), places), _zero(F.avg(F.col("gap") * F.col("m")), places))
+        for k, mean, slope in gaps.orderBy("fold").collect():
+            c = folds[k - 1].calibrator
+            rises = all(a <= b for v in (c.boundaries, c.values) for a, b in zip(v, v[1:], strict=False))
+            out.append((k, method, mean, slope if method == "sigmoid" else 0.0, rises, same))
     return spark.createDataFrame(out, "fold int, method string, mean_gap double, slope_gap double, rising boolean, parallel_agrees boolean")
 
 
